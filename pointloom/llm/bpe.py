@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 from array import array
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -21,12 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm.common import append
+from pointloom.llm.common import Recent, append
 
-#: Blanks below U+0250. Texts with higher characters go through the tokenizer file's own normaliser and splitter.
+#: Blanks below U+0250, at which str.split() parts, too. Texts with higher characters, or with the four separators that
+#: only str.split() takes for blanks, go through the tokenizer file's own normaliser and splitter.
 LATIN_BLANK = r"\t-\r \x85\xa0"
-CACHE_WORDS = 200_000
-CACHE_LENGTH = 64
+#: Entries of each cache of a worker, at about 300 bytes.
+CACHE = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -38,20 +40,6 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-class _Words(dict):
-    """word -> (ids as int32 bytes, tokens joined by a space); long words are not kept."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word):
-        out = self.encode(word)
-        if len(word) <= CACHE_LENGTH:
-            self[word] = out
-        return out
-
-
 class Codec:
     """Encoder and decoder for a lower-casing byte-level BPE file whose words end in a suffix."""
 
@@ -69,16 +57,19 @@ class Codec:
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
+            self.merges[self.vocab[a] << 16 | self.vocab[b]] = rank << 16 | self.vocab[a + b]
+        if len(self.vocab) >= 1 << 16:
+            raise ValueError("ids of 16 bits are expected")
         self.inner, self.final = self._pairs()
         self.symbols = byte_symbols()
         self.library = Tokenizer.from_file(path)
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.latin = regex.compile(pattern.replace(r"[^\s", f"[^{LATIN_BLANK}"))
-        self.high = regex.compile("[^\\x00-ɏ]")
+        self.high = regex.compile("[^\\x00-\\x1b\\x20-ɏ]")
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.words = _Words(lambda w: self._entry("".join(map(self.symbols.__getitem__, w.encode()))))
-        self.pieces = _Words(self._entry)
+        self.words = Recent(lambda w: self._entry("".join(map(self.symbols.__getitem__, w.encode()))), CACHE)
+        self.chunks = Recent(self._chunk, CACHE)
+        self.pieces = Recent(self._entry, CACHE)
 
     def _pairs(self) -> tuple[set[str], set[str]]:
         """Neighbouring bytes inside tokens: those before the last symbol of a word, and those that end one."""
@@ -103,14 +94,30 @@ class Codec:
         return out
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Apply merges, lowest rank first and leftmost among equals, in n log n."""
+        """Apply merges, lowest rank first and leftmost among equals."""
+        if len(ids) > 60:
+            return self._merge_long(ids)
+        get, none = self.merges.get, 1 << 60
+        offers = [get(a << 16 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while offers and (best := min(offers)) < none:
+            i = offers.index(best)
+            ids[i : i + 2] = [best & 0xFFFF]
+            del offers[i]
+            if i < len(offers):
+                offers[i] = get(ids[i] << 16 | ids[i + 1], none)
+            if i:
+                offers[i - 1] = get(ids[i - 1] << 16 | ids[i], none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap, in n log n."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
 
         def offer(i: int, j: int) -> None:
-            if found := self.merges.get((ids[i], ids[j])):
-                heapq.heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
+            if found := self.merges.get(ids[i] << 16 | ids[j]):
+                heapq.heappush(heap, (found >> 16, i, ids[i], ids[j], found & 0xFFFF))
 
         for i in range(n - 1):
             offer(i, i + 1)
@@ -144,17 +151,19 @@ class Codec:
         ids = self.encode_word(word)
         return array("i", ids).tobytes(), " ".join(map(self.tokens.__getitem__, ids))
 
+    def _chunk(self, chunk: str) -> tuple[bytes, str] | tuple[()]:
+        """What stands between blanks: its words together; () if it has none."""
+        found = list(map(self.words.__getitem__, self.latin.findall(chunk)))
+        return found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), " ".join([f[1] for f in found])) if found else ()
+
     def _split(self, text: str) -> list[tuple[bytes, str]]:
         if not self.high.search(text):
-            return list(map(self.words.__getitem__, self.latin.findall(text.lower())))
+            return list(filter(None, map(self.chunks.__getitem__, text.lower().split())))
         normal = self.library.normalizer.normalize_str(text)
         return [self.pieces[p] for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)] if normal else []
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids of a whole text as int32 bytes, and what decoding them gives."""
-        for cache in (self.words, self.pieces):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
         if not text:
             return b"", ""
         if self.special and self.special.search(text):
@@ -173,11 +182,17 @@ class Codec:
         return " ".join(self.tokens[int(i)] for i in ids)
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """One codec for all tasks of a worker, so that its caches stay warm."""
+    return Codec(path)
+
+
 def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
     """df with the ids of each text (array of int) and the text decoded from them; no shuffle."""
 
     def make():
-        codec = Codec(path)
+        codec = codec_of(path)
 
         def work(texts: pa.Array) -> list[pa.Array]:
             pairs = [codec.encode(t.as_py()) for t in texts]

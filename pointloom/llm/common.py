@@ -98,3 +98,23 @@ def append(
     return df.select(*(F.col(f"`{c}`") for c in order)).mapInArrow(run, schema)
 
 
+
+
+class Recent(dict):
+    """A bounded cache that fills itself: when full, its entries become the older half, which those in use outlive."""
+
+    def __init__(self, make: Callable, size: int, longest: int = 64):
+        super().__init__()
+        self.make, self.size, self.longest = make, size, longest
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.older = self.copy()
+                self.clear()
+            self[key] = found
+        return found

@@ -375,11 +375,15 @@ def test_language(spark):
 
 
 def test_rank_distance_brute_force(spark):
-    text = "the cat and the hat, the end. Ça va"
-    counts = Counter(g for w in re.findall(r"[^\W\d_]+", text.lower()) for g in langid.grams(w))
-    order = sorted(counts, key=lambda g: (-counts[g], xxhash.xxh32_intdigest(g)))[: langid.TOP]
-    assert langid.Grams().top(text, langid.TOP) == order
-    profiles = {"a": order[::-1], "b": order[5:], "c": ["zz"]}
+    text = "the cat and the hat, the end. Ça va--O'Neil x2y"
+    counts = Counter()
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        padded = f"_{w}_"
+        counts.update(g for n in (1, 2, 3) for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g != "_")
+    number = lambda g: int("".join(f"{ord(c):021b}" for c in g), 2)
+    order = [number(g) for g in sorted(counts, key=lambda g: (-counts[g], number(g)))][: langid.TOP]
+    assert langid.top_grams(text).tolist() == order
+    profiles = {"a": order[::-1], "b": order[5:], "c": [number("zz")]}
     want = {k: sum(abs(i - p.index(g)) if g in p else langid.TOP for i, g in enumerate(order)) for k, p in profiles.items()}
     got = langid.predict(frame(spark, [(1, text)]), profiles).first()
     best = min(want, key=lambda k: (want[k], k))

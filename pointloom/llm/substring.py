@@ -7,8 +7,9 @@ exact repeats; their union is the maximal repeat, and all its words go. Both cop
 that the other probes.
 
 Index and probes meet by hash buckets, packed by batch of documents into byte columns (32-bit hashes for anchors, whose
-false hits the extension discards; 128-bit hashes for full windows). A bucket's index comes first, reduced to distinct
-hashes, and the probes stream past it, so copies of one passage are never paired with each other.
+false hits the extension discards; for full windows 64 bits within buckets that an independent hash chooses). A bucket's index
+comes first, reduced to distinct hashes, and the probes stream past it, so copies of one passage are never paired with
+each other. Texts are shuffled once, compressed, and meet the replies of both steps there.
 
 Defined results: null texts have no words; texts shorter than a window lose nothing; repeated rows are copies of each
 other; extra columns stay.
@@ -21,17 +22,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointloom.llm.common import append, ready
 
-PACKED = "bucket int, kind int, a binary, b binary, docs binary, counts binary, pos binary"
+PACKED = "bucket int, kind int, hashes binary, docs binary, counts binary, pos binary"
 #: Words of a batch of documents packed together.
 BATCH_WORDS = 1 << 20
 
 
+def compressed(docs: DataFrame) -> DataFrame:
+    """docs with text as a Zstandard frame (null: null)."""
+    def make():
+        compress = zstandard.ZstdCompressor(level=3).compress
+        return lambda texts: [pa.array([None if (t := x.as_py()) is None else compress(t.encode()) for x in texts], pa.binary())]
+
+    return append(docs, ["text"], [T.StructField("text", T.BinaryType())], make)
+
+
+def expand(frame: bytes | None) -> bytes:
+    return zstandard.decompress(frame) if frame else b""
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
@@ -61,55 +76,44 @@ def rolling(words: np.ndarray, size: int, base: int) -> np.ndarray:
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
-def _unique(a: np.ndarray, b: np.ndarray | None, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    """Distinct (a, b), sorted, and whether each occurs twice or more."""
-    order = np.argsort(a, kind="stable") if b is None else np.lexsort((b, a))
+def _unique(a: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, and whether each occurs twice or more."""
+    order = np.argsort(a, kind="stable")
     a, twice = a[order], twice[order]
-    b = None if b is None else b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = a[1:] != a[:-1] if b is None else (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    starts = np.flatnonzero(new)
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
     if not len(starts):
-        return a, b, twice
+        return a, twice
     many = np.diff(np.r_[starts, len(a)]) > 1
-    return a[starts], None if b is None else b[starts], many | np.maximum.reduceat(twice, starts)
-
-
-def _find(a: np.ndarray, b: np.ndarray | None, qa: np.ndarray, qb: np.ndarray | None) -> np.ndarray:
-    """Place of each query among the sorted distinct keys; -1 if it is not there."""
-    if not len(a):
-        return np.full(len(qa), -1)
-    at = np.searchsorted(a, qa)
-    at[at == len(a)] = 0
-    if b is not None:
-        while True:
-            further = (a[at] == qa) & (b[at] != qb) & (at + 1 < len(a))
-            further[further] = a[at[further] + 1] == qa[further]
-            if not further.any():
-                break
-            at[further] += 1
-    ok = a[at] == qa if b is None else (a[at] == qa) & (b[at] == qb)
-    return np.where(ok, at, -1)
-
-
-def pack(bucket, a, b, doc, pos, keys, index) -> Iterator[tuple]:
+    return a[starts], many | np.maximum.reduceat(twice, starts)
+
+
+def _find(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Place of each hash in the sorted table; -1 if it is not there."""
+    if not len(table):
+        return np.full(len(hashes), -1)
+    at = np.searchsorted(table, hashes)
+    at[at == len(table)] = 0
+    return np.where(table[at] == hashes, at, -1)
+
+
+def pack(bucket, hashes, doc, pos, keys, index) -> Iterator[tuple]:
     """Rows of PACKED for windows sorted by document: for each bucket the index (kind 0), then the probes (kind 1)."""
     order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0]) if len(order) else np.empty(0, np.int64)
-    for at in np.split(order, cuts[1:]) if len(order) else []:
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    for at in np.split(order, cuts) if len(order) else []:
         k = int(bucket[at[0]])
         if len(mine := at[index[at]]):
-            ua, ub, twice = _unique(a[mine], None if b is None else b[mine], np.zeros(len(mine), bool))
-            yield k, 0, ua.tobytes(), b"" if ub is None else ub.tobytes(), b"", twice.astype(np.uint8).tobytes(), b""
+            known, twice = _unique(hashes[mine], np.zeros(len(mine), bool))
+            yield k, 0, known.tobytes(), b"", twice.astype(np.uint8).tobytes(), b""
         d = doc[at]
         first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
         counts = np.diff(np.r_[first, len(d)]).astype("<u4")
-        planes = pos[at].astype("<u4").view(np.uint8).reshape(-1, 4).T
-        yield k, 1, a[at].tobytes(), b"" if b is None else b[at].tobytes(), keys[d[first]].tobytes(), counts.tobytes(), planes.tobytes()
+        planes = pos[at].astype("<u4").view(np.uint8).reshape(-1, 4).T  # high bytes side by side compress well
+        yield k, 1, hashes[at].tobytes(), keys[d[first]].tobytes(), counts.tobytes(), planes.tobytes()
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
     names = [c.split()[0] for c in PACKED.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -120,8 +124,9 @@ def documents(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple]:
     for batch in batches:
         held, rows, total = [], [], 0
         texts = batch.column("text")
+        plain = not pa.types.is_binary(texts.type)
         for i in range(batch.num_rows):
-            words = (texts[i].as_py() or "").encode().split()
+            words = ((texts[i].as_py() or "").encode() if plain else expand(texts[i].as_py())).split()
             if len(words) >= least:
                 held.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
                 rows.append(i)
@@ -137,39 +142,40 @@ def _keys(batch: pa.RecordBatch, rows: np.ndarray) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in ("k1", "k2")], axis=1).astype("<i8")
 
 
-def reply(rows: DataFrame, block: int | None, wide: bool) -> DataFrame:
+def reply(rows: DataFrame, block: int | None, kind: str) -> DataFrame:
     """(k1, k2, at): positions of probes that occur elsewhere. block: index entries stand at its multiples."""
-    kind = "<u8" if wide else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts, size, table = None, [], 0, None
 
-        def build() -> tuple:
+        def build() -> tuple[np.ndarray, np.ndarray]:
             if not parts:
-                return np.empty(0, kind), np.empty(0, kind) if wide else None, np.empty(0, bool)
-            return _unique(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]) if wide else None, np.concatenate([p[2] for p in parts]))
+                return np.empty(0, kind), np.empty(0, bool)
+            return _unique(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
         for batch in batches:
             k1, k2, at = [], [], []
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in batch.schema.names}
-                if (b := row["bucket"].as_py()) != bucket:
+
+                def raw(column: str, t, i=i, batch=batch) -> np.ndarray:
+                    found = batch.column(column)[i].as_buffer()
+                    return np.frombuffer(found, t) if len(found) else np.empty(0, t)
+
+                if (b := batch.column("bucket")[i].as_py()) != bucket:
                     bucket, parts, size, table = b, [], 0, None
-                raw = lambda c, t: np.frombuffer(row[c].as_buffer(), t) if len(row[c].as_buffer()) else np.empty(0, t)  # noqa: E731, B023
-                a, second = raw("a", kind), raw("b", kind) if wide else None
-                if row["kind"].as_py() == 0:
-                    parts.append((a, second, raw("counts", np.uint8).astype(bool)))
-                    size += len(a)
-                    if size > 1 << 22:
-                        parts = [build()]
-                        size = -len(parts[0][0])  # fold again after as many more
+                hashes = raw("hashes", kind)
+                if batch.column("kind")[i].as_py() == 0:
+                    parts.append((hashes, raw("counts", np.uint8).astype(bool)))
+                    size += len(hashes)
+                    if size > 1 << 22:  # fold, and again after as many more
+                        parts, size = [build()], 0
                     continue
-                table = table or build()
-                parts = []
-                found = _find(table[0], table[1], a, second)
+                if table is None:
+                    table, parts = build(), []
+                found = _find(table[0], hashes)
                 pos = np.ascontiguousarray(raw("pos", np.uint8).reshape(4, -1).T).view("<u4").ravel()
                 hit = found >= 0
-                hit[hit] = table[2][found[hit]] | ((pos[hit] % block != 0) if block else False)
+                hit[hit] = table[1][found[hit]] | ((pos[hit] % block != 0) if block else False)
                 if not hit.any():
                     continue
                 ends = np.cumsum(raw("counts", "<u4"))
@@ -198,11 +204,11 @@ def _spread(lists, n: int, before: int, after: int) -> np.ndarray:
 
 
 def repeats(df: DataFrame, text: str = "text", window: int = 35, buckets: int | None = None) -> DataFrame:
-    """Columns rest (struct of df's other columns), text, and at: packed starts of all windows that occur elsewhere."""
+    """Columns rest (struct of df's other columns), text (compressed), and at: packed starts of all repeated windows."""
     spark = df.sparkSession
     ready(spark)
     block = (window + 1) // 2
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
     rest = [F.col(f"`{c}`") for c in df.columns if c != text]
     docs = df.select(
@@ -218,7 +224,7 @@ def repeats(df: DataFrame, text: str = "text", window: int = 35, buckets: int |
             whole = pos + block <= np.diff(starts)[doc]
             h, doc, pos = h[whole], doc[whole], pos[whole]
             bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-            yield as_batch(list(pack(bucket.astype(np.int64), h.astype("<u4"), None, doc, pos, _keys(batch, rows), pos % block == 0)))
+            yield as_batch(list(pack(bucket.astype(np.int64), h.astype("<u4"), doc, pos, _keys(batch, rows), pos % block == 0)))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows, words, starts in documents(batches, window):
@@ -234,13 +240,14 @@ def repeats(df: DataFrame, text: str = "text", window: int = 35, buckets: int |
                 continue
             doc = np.searchsorted(starts, place, side="right") - 1
             a, b = a[place], b[place]
-            yield as_batch(list(pack((b % np.uint64(buckets)).astype(np.int64), a, b, doc, place - starts[doc], _keys(batch, rows), np.ones(len(place), bool))))
+            yield as_batch(list(pack((b % np.uint64(buckets)).astype(np.int64), a, doc, place - starts[doc], _keys(batch, rows), np.ones(len(place), bool))))
 
-    found = reply(docs.select("k1", "k2", "text").mapInArrow(anchors, PACKED), block, False)
+    found = reply(docs.select("k1", "k2", "text").mapInArrow(anchors, PACKED), block, "<u4")
     # both joins deal docs by the same keys and columns, so texts are shuffled once; keys are unique but for equal rows
-    probed = docs.join(found.hint("shuffle_hash"), ["k1", "k2"]).select("at", *docs.columns)
-    spans = reply(probed.mapInArrow(windows, PACKED), None, True)
-    return docs.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("rest", "text", "at")
+    packed = compressed(docs)
+    probed = packed.join(found.hint("shuffle_hash"), ["k1", "k2"]).select("at", *packed.columns)
+    spans = reply(probed.mapInArrow(windows, PACKED), None, "<u8")
+    return packed.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("rest", "text", "at")
 
 
 def drop_repeats(df: DataFrame, text: str = "text", window: int = 35, buckets: int | None = None, kept: str = "kept_text") -> DataFrame:
@@ -248,9 +255,11 @@ def drop_repeats(df: DataFrame, text: str = "text", window: int = 35, buckets: i
     found = repeats(df, text, window, buckets)
 
     def work(texts: pa.Array, at: pa.Array) -> list[pa.Array]:
-        n_words, n_removed, out = [], [], []
+        plain, n_words, n_removed, out = [], [], [], []
         for t, a in zip(texts, at, strict=True):
-            words = (t.as_py() or "").encode().split()
+            raw = expand(t.as_py())
+            plain.append(raw.decode() if t.is_valid else None)
+            words = raw.split()
             gone = 0
             if a.is_valid and words:
                 drop = _spread(a.as_py(), len(words), 0, window - 1)
@@ -261,9 +270,9 @@ def drop_repeats(df: DataFrame, text: str = "text", window: int = 35, buckets: i
             n_words.append(len(words))
             n_removed.append(gone)
             out.append(b" ".join(words_kept).decode())
-        return [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())]
+        return [pa.array(plain, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())]
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(kept, T.StringType())]
-    out = append(found, ["text", "at"], fields, lambda: work, drop=("at",))
+    out = append(found, ["text", "at"], [T.StructField("text", T.StringType()), *fields], lambda: work, drop=("at",))
     new = {f.name.lower() for f in fields}
     return out.select(*((F.col("text") if c == text else F.col(f"rest.`{c}`")).alias(c) for c in df.columns if c.lower() not in new), *(f.name for f in fields))

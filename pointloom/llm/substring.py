@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from pointloom.llm.common import append, ready
 
 PACKED = "bucket int, kind int, hashes binary, docs binary, counts binary, pos binary"
+#: A document has a reply from each bucket at most; fewer buckets than this leave cores idle on small inputs.
+LEAST_BUCKETS = 24
 #: Words of a batch of documents packed together.
 BATCH_WORDS = 1 << 20
 
@@ -208,7 +210,7 @@ def repeats(df: DataFrame, text: str = "text", window: int = 35, buckets: int |
     spark = df.sparkSession
     ready(spark)
     block = (window + 1) // 2
-    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    buckets = buckets or max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
     rest = [F.col(f"`{c}`") for c in df.columns if c != text]
     docs = df.select(

@@ -233,7 +233,8 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = False) -> Da
                 if seen != records:
                     raise ValueError(f"{path}: {seen} records, {records} were written")
 
-    return manifest.select("path", "records").repartition("path").mapInArrow(run, schema)
+    # a number of its own: adaptive execution would join the few small rows of a manifest into one task
+    return manifest.select("path", "records").repartition(max(1, min(manifest.count(), 10_000))).mapInArrow(run, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

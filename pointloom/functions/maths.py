@@ -134,6 +134,16 @@ def projection(near: float, far: float, fov_x: Column, fov_y: Column) -> Matrix:
     ]
 
 
+def camera_centre(view: Matrix) -> list[Column]:
+    """Where a rigid world-to-view matrix has its camera: -R^T t."""
+    return [-(view[0][j] * view[0][3] + view[1][j] * view[1][3] + view[2][j] * view[2][3]) for j in range(3)]
+
+
+def full_projection(view: Matrix, proj: Matrix) -> Matrix:
+    """World to clip space, for row vectors: the transpose of projection times view."""
+    return transpose(matmul(proj, view))
+
+
 def transform_point(p: list[Column], m: Matrix, eps: float = 1e-7) -> list[Column]:
     """Homogeneous transform and divide."""
     x, y, z, w = (m[i][0] * p[0] + m[i][1] * p[1] + m[i][2] * p[2] + m[i][3] for i in range(4))

@@ -43,5 +43,10 @@ def in_suffix_order(names: list[str], prefix: str) -> list[str]:
     return sorted(mine, key=lambda n: int(n.rsplit("_", 1)[1]))
 
 
+def log_label(t: Column) -> Column:
+    """Day, month and time as log lines show them."""
+    return F.date_format(t, "dd/MM HH:mm:ss")
+
+
 def renamed_keys(m: Column, old: str, new: str) -> Column:
     return F.transform_keys(m, lambda k, _: F.replace(k, F.lit(old), F.lit(new)))

@@ -1,15 +1,20 @@
 """Adaptive density control of a table of splats.
 
 Rows have gid, position x y z, log scales s0 s1 s2, quaternion q0..q3 (w first), opacity before activation, and any
-other columns, which copies take over. New rows get ids from ``next_gid`` on, parent by parent.
+other columns, which copies take over. New rows get ids from ``next_gid`` on, parent by parent. Columns named as optimizer
+``state`` start from 0 in new rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.maths import d, logit, rotation, safe_ratio, sigmoid
+from pointloom.functions.harmonics import from_rgb
+from pointloom.functions.maths import clamp, d, logit, rotation, safe_ratio, sigmoid
+from pointloom.operators.neighbours import mean_distance2
 
 SCALES = ["s0", "s1", "s2"]
 
@@ -32,19 +37,20 @@ def with_gradient(splats: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.withColumn("grad", grad).withColumn("max_radius", F.coalesce(F.col("max_radius").cast("double"), zero)).drop("grad_accum", "denom")
 
 
-def _fresh(rows: DataFrame, next_gid: Column | int, slots: int, slot: Column) -> DataFrame:
+def _fresh(rows: DataFrame, next_gid: Column | int, slots: int, slot: Column, state: Iterable[str] = ()) -> DataFrame:
     """Ids for copies: next_gid + slots * parent + slot; unique, and the same whatever the partitioning."""
     base = next_gid if isinstance(next_gid, Column) else F.lit(next_gid)
-    return rows.withColumn("gid", (base + slots * F.col("gid") + slot).cast("long")).withColumn("grad", d(0.0)).withColumn("max_radius", d(0.0))
+    fresh = rows.withColumn("gid", (base + slots * F.col("gid") + slot).cast("long"))
+    return fresh.withColumns({c: d(0.0) for c in ("grad", "max_radius", *state)})
 
 
-def clones(rows: DataFrame, threshold: float, extent: float, dense: float = 0.01, next_gid: int = 1 << 40) -> DataFrame:
+def clones(rows: DataFrame, threshold: float, extent: float, dense: float = 0.01, next_gid: int = 1 << 40, state: Iterable[str] = ()) -> DataFrame:
     """Copies of small splats with a large gradient."""
     small = rows.filter((F.col("grad") >= threshold) & (largest_scale() <= dense * extent))
-    return _fresh(small, next_gid, 3, F.lit(0))
+    return _fresh(small, next_gid, 3, F.lit(0), state)
 
 
-def children(rows: DataFrame, noise: DataFrame | None, threshold: float, extent: float, dense: float = 0.01, next_gid: int = 1 << 40, seed: int = 0) -> DataFrame:
+def children(rows: DataFrame, noise: DataFrame | None, threshold: float, extent: float, dense: float = 0.01, next_gid: int = 1 << 40, seed: int = 0, state: Iterable[str] = ()) -> DataFrame:
     """Two children of each large splat with a large gradient, at mean + R (noise * scale), 1.6 times smaller.
 
     noise: gid, child, n0, n1, n2; without it normal noise is drawn from the seed, row by row.
@@ -63,7 +69,7 @@ def children(rows: DataFrame, noise: DataFrame | None, threshold: float, extent:
     step = [F.col(f"n{k}") * F.exp(SCALES[k]) for k in range(3)]
     moved = {c: F.col(c) + r[i][0] * step[0] + r[i][1] * step[1] + r[i][2] * step[2] for i, c in enumerate("xyz")}
     two = two.withColumns(moved).withColumns({c: F.ln(F.exp(c) / 1.6) for c in SCALES})
-    return _fresh(two, next_gid, 3, F.col("child") + 1).drop("child", "n0", "n1", "n2")
+    return _fresh(two, next_gid, 3, F.col("child") + 1, state).drop("child", "n0", "n1", "n2")
 
 
 def prune(rows: DataFrame, least_opacity: float, extent: float, size_limit: float | None) -> DataFrame:
@@ -74,14 +80,14 @@ def prune(rows: DataFrame, least_opacity: float, extent: float, size_limit: floa
     return rows.filter(~gone)
 
 
-def control(splats: DataFrame, stats: DataFrame, noise: DataFrame | None, threshold: float = 0.0002, least_opacity: float = 0.005, extent: float = 1.0, size_limit: float | None = None, dense: float = 0.01, next_gid: int = 1 << 40, compat: bool = True) -> DataFrame:
+def control(splats: DataFrame, stats: DataFrame, noise: DataFrame | None, threshold: float = 0.0002, least_opacity: float = 0.005, extent: float = 1.0, size_limit: float | None = None, dense: float = 0.01, next_gid: int = 1 << 40, compat: bool = True, state: Iterable[str] = ()) -> DataFrame:
     """One control step: clone, split, prune. Copies have no gradient, so a clone is not split in the same step.
 
     compat: cloning and splitting reset the largest radii before the size test, which then never fires.
     """
     rows = with_gradient(splats, stats)
     split = (F.col("grad") >= threshold) & (largest_scale() > dense * extent)
-    kept = rows.filter(~split).unionByName(clones(rows, threshold, extent, dense, next_gid)).unionByName(children(rows, noise, threshold, extent, dense, next_gid))
+    kept = rows.filter(~split).unionByName(clones(rows, threshold, extent, dense, next_gid, state)).unionByName(children(rows, noise, threshold, extent, dense, next_gid, state=state))
     if compat:
         kept = kept.withColumn("max_radius", d(0.0))
     return prune(kept, least_opacity, extent, size_limit).drop("grad", "max_radius")
@@ -90,3 +96,22 @@ def control(splats: DataFrame, stats: DataFrame, noise: DataFrame | None, thresh
 def reset_opacity(opacity: Column, cap: float = 0.01) -> Column:
     """Opacity before activation after capping the activated one."""
     return logit(F.least(sigmoid(opacity), d(cap)))
+
+
+def with_reset_opacity(rows: DataFrame, state: Iterable[str] = (), cap: float = 0.01) -> DataFrame:
+    """rows with capped opacity and the optimizer state of opacity back at 0."""
+    return rows.withColumns({"opacity": reset_opacity(F.col("opacity"), cap), **{c: d(0.0) for c in state}})
+
+
+def initial(cloud: DataFrame, opacity: float = 0.1, rest: int = 45) -> DataFrame:
+    """Splats of a point cloud (gid, x y z, red green blue in 0..1): round, as large as their neighbours are near.
+
+    Log scales are the logarithm of the root mean squared distance to the three nearest others; the colour is the harmonic
+    of degree 0, all others are 0; the rotation is the identity.
+    """
+    size = mean_distance2(cloud.select("gid", "x", "y", "z")).select("gid", F.ln(F.sqrt(clamp(F.col("dist2"), low=1e-7))).alias("_size"))
+    rows = cloud.join(size, "gid")
+    return rows.select(
+        "gid", "x", "y", "z", F.array(*(from_rgb(F.col(c)) for c in ("red", "green", "blue"))).alias("f_dc"), F.array_repeat(d(0.0), rest).alias("f_rest"),
+        logit(d(opacity)).alias("opacity"), *(F.col("_size").alias(c) for c in SCALES), *(d(float(k == 0)).alias(f"q{k}") for k in range(4)),
+    )

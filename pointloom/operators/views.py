@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.maths import d
-from pointloom.functions.text import stem
+from pointloom.functions.text import numbered, stem
 from pointloom.session import written
 
 
@@ -89,6 +89,27 @@ def as_of(frames: DataFrame, poses: DataFrame, by: list[str], time: str, ident:
     return out.select(*frames.columns, F.col("_last._at").alias("pose_time"), *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
+def capture_frames(frames: DataFrame, poses: DataFrame, by: list[str], time: str, ident: str, values: list[str], tolerance: int | None = None) -> DataFrame:
+    """Frames of a capture that have a pose, with dense image ids from 1 on in order of time, and file names."""
+    posed = global_index(as_of(frames, poses, by, time, ident, values, tolerance), [*by, time, ident], "image_id")
+    return posed.withColumn("image_id", F.col("image_id") + 1).withColumn("name", numbered(F.col("image_id")))
+
+
+def with_exposure(views: DataFrame, exposures: DataFrame, name: str = "image_name") -> DataFrame:
+    """views with the 3 x 4 exposure of their name, the identity where there is none."""
+    identity = F.array(*(F.array(*(d(float(i == j)) for j in range(4))) for i in range(3)))
+    return views.join(exposures.select(name, "m"), name, "left").withColumn("m", F.coalesce("m", identity))
+
+
+def validation_views(train: DataFrame, test: DataFrame, order: list[str], first: int = 5, last: int = 30, step: int = 5) -> DataFrame:
+    """All test views, and the training views at places first, first + step, ... below last, modulo their number."""
+    rows = global_index(train, order)
+    n = rows.agg(F.count("*").alias("_n"))  # one row
+    places = F.transform(F.sequence(F.lit(first), F.lit(last - 1), F.lit(step)), lambda k: F.pmod(k.cast("long"), F.col("_n")))
+    picked = rows.join(F.broadcast(n)).filter(F.array_contains(places, F.col("idx"))).drop("idx", "_n")
+    return picked.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
 def bilinear(samples: DataFrame, pixels: DataFrame, by: list[str]) -> DataFrame:
     """samples (by, sx, sy) with the interpolated pixel value v of pixels (by, x, y, v); borders are repeated."""
     size = pixels.groupBy(*by).agg(F.max("x").alias("_w"), F.max("y").alias("_h"))

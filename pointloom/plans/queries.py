@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import harmonics, maths, text
 from pointloom.functions.maths import d
-from pointloom.operators import calibrate, density, metrics, neighbours, structure, views
+from pointloom.operators import calibrate, density, metrics, neighbours, render, structure, views
 from pointloom.streaming import requests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -455,6 +455,22 @@ def composite_splats(spark, sf):
     return rounded(metrics.composite(hits, ["px"], ["red"], background=0.5), ["red", "transmittance"])
 
 
+@query(f"""WITH {S}, {ROT}, k AS (SELECT *, """ + ", ".join(f"0.0025::DOUBLE * (r{3*i}*r{3*j}*exp(s0)*exp(s0) + r{3*i+1}*r{3*j+1}*exp(s1)*exp(s1) + r{3*i+2}*r{3*j+2}*exp(s2)*exp(s2)) AS k{i}{j}" for i in range(3) for j in range(i, 3)) + """, z + 3 AS d FROM rot WHERE z + 3 > 0.2),
+j AS (SELECT *, 30/d AS fa, -30*x/(d*d) AS fb, 28/d AS fc, -28*y/(d*d) AS fe FROM k),
+t AS (SELECT gid, x, y, z, d, opacity, 30*x/d + 15.5::DOUBLE AS pu, 28*y/d + 11.5::DOUBLE AS pv, fa*fa*k00 + 2*fa*fb*k02 + fb*fb*k22 + 0.3::DOUBLE AS xx, fa*fc*k01 + fa*fe*k02 + fb*fc*k12 + fb*fe*k22 AS xy, fc*fc*k11 + 2*fc*fe*k12 + fe*fe*k22 + 0.3::DOUBLE AS yy FROM j),
+b AS (SELECT *, xx*yy - xy*xy AS det, ceil(3 * sqrt((xx+yy)/2 + sqrt(greatest(((xx+yy)/2)*((xx+yy)/2) - (xx*yy - xy*xy), 0)))) AS rad FROM t),
+h AS (SELECT gid, d, u, v, abs(x) AS red, abs(y) AS green, abs(z) AS blue, least(exp(-0.5::DOUBLE * (yy/det*(u-pu)*(u-pu) + xx/det*(v-pv)*(v-pv)) + xy/det*(u-pu)*(v-pv)) / (1 + exp(-opacity)), 0.99) AS a
+  FROM b, range(32) p(u), range(24) q(v) WHERE u // 16 BETWEEN floor((pu-rad)/16) AND floor((pu+rad)/16) AND v // 16 BETWEEN floor((pv-rad)/16) AND floor((pv+rad)/16)),
+w AS (SELECT *, a * exp(coalesce(sum(ln(1 - a)) OVER (PARTITION BY u, v ORDER BY d, gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS k FROM h WHERE a >= 1.0::DOUBLE / 255),
+s2 AS (SELECT u, v, sum(k*red) AS red, sum(k*green) AS green, sum(k*blue) AS blue, sum(k/d) AS inv, exp(sum(ln(1 - a))) AS left_ FROM w GROUP BY 1, 2)
+SELECT p.u::INT AS u, q.v::INT AS v, round(least(coalesce(red, 0) + coalesce(left_, 1), 1), 5) AS red, round(least(coalesce(green, 0) + 0.5::DOUBLE * coalesce(left_, 1), 1), 5) AS green, round(least(coalesce(blue, 0), 1), 5) AS blue,
+  round(coalesce(inv, 0), 5) AS inverse_depth, round(coalesce(left_, 1), 5) AS transmittance FROM range(32) p(u) CROSS JOIN range(24) q(v) LEFT JOIN s2 ON s2.u = p.u AND s2.v = q.v""")
+def render_view(spark, sf):
+    rows = splats(spark, sf).withColumns({c: F.abs(k) for c, k in zip(render.COLOURS, "xyz", strict=True)})
+    out = render.render(rows, render.View(32, 24, 30.0, 28.0, translation=(0.0, 0.0, 3.0)), background=(1.0, 0.5, 0.0), modifier=0.05)
+    return rounded(out, [*render.COLOURS, "inverse_depth", "transmittance"], 5)
+
+
 @query(f"""WITH {S}, t AS (SELECT gid, (x + 1) * 100 AS px, (y + 1) * 60 AS py, gid % 30 AS radius FROM s),
 b AS (SELECT *, greatest(floor((px - radius) / 16), 0)::INT AS x0, least(floor((px + radius) / 16), 12)::INT AS x1, greatest(floor((py - radius) / 16), 0)::INT AS y0, least(floor((py + radius) / 16), 7)::INT AS y1 FROM t WHERE radius > 0)
 SELECT gid, tx AS tile_x, ty AS tile_y FROM b, range(0, 13) a(tx), range(0, 8) c(ty) WHERE tx BETWEEN x0 AND x1 AND ty BETWEEN y0 AND y1""")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.harmonics import from_rgb
-from pointloom.session import workers_import
+from pointloom.session import workers_import, written
 
 PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "ushort": "u2", "int": "i4", "int32": "i4", "uint": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 
@@ -81,6 +84,23 @@ def write_splats(rows: DataFrame, path: str) -> None:
     write_ply(rows, dict.fromkeys(SPLAT_COLUMNS, "float"), path)
 
 
+def splat_columns(spark: SparkSession, path: str) -> list[str]:
+    """Vertex properties of a splat file, of any degree, from the header of the first file."""
+    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("head")).first()[0]
+    return list(ply_header(bytes(head))[0].names)
+
+
+def read_splats(spark: SparkSession, path: str) -> DataFrame:
+    """Splats with arrays f_dc, f_rest, scale and rot in the order of their numbers; a file without whole sets is an error."""
+    from pointloom.operators.structure import to_arrays
+
+    names = splat_columns(spark, path)
+    rest = sum(n.startswith("f_rest_") for n in names)
+    if rest % 3 or round((rest / 3 + 1) ** 0.5) ** 2 != rest / 3 + 1:
+        raise ValueError(f"{rest} higher harmonics are no whole degree")
+    return to_arrays(read_ply(spark, path, names), ["f_dc", "f_rest", "scale", "rot"])
+
+
 def random_cloud(spark: SparkSession, n: int = 100_000, seed: int = 0, half: float = 1.3) -> DataFrame:
     """Points uniform in a cube, with random colours; the same for a seed whatever the partitioning."""
     def u(k: int):
@@ -193,6 +213,30 @@ def encode_png(pixels: DataFrame, by: list[str]) -> DataFrame:
     return pixels.groupBy(*by).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in by) + ", png binary")
 
 
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """Write png of each row below folder under its path (such as test/ours_7000/renders/00000.png); returns path and bytes.
+
+    A file appears whole under its name, also when a task is run again.
+    """
+    workers_import(images.sparkSession)
+    target = folder if "://" in folder else f"file://{folder}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(target)
+        for batch in batches:
+            names, sizes = batch.column("path").to_pylist(), []
+            for name, png in zip(names, batch.column("png"), strict=True):
+                place = f"{base}/{name}"
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                temporary = f"{place}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(temporary, compression=None) as f:
+                    sizes.append(f.write(png.as_buffer()))
+                store.move(temporary, place)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    return written(images.select("path", "png").mapInArrow(run, "path string, bytes long"), "images")
+
+
 # ---- JSON and CSV
 
 
@@ -246,9 +290,27 @@ def write_version(df: DataFrame, folder: str, iteration: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/iteration={iteration}")
 
 
-def latest(spark: SparkSession, folder: str, iteration: int | None = None) -> DataFrame:
+def write_checkpoint(df: DataFrame, folder: str, iteration: int, settings: dict) -> None:
+    """A version with its optimizer state as columns, and the settings beside it as one JSON document."""
+    write_version(df, f"{folder}/rows", iteration)
+    one = df.sparkSession.createDataFrame([(iteration, json.dumps(settings, sort_keys=True))], "iteration long, value string")
+    one.coalesce(1).select("value").write.mode("overwrite").text(f"{folder}/settings/iteration={iteration}")
+
+
+def read_checkpoint(spark: SparkSession, folder: str, iteration: int | None = None) -> tuple[DataFrame, dict]:
+    """Rows (with their iteration) and settings of the version named, else the largest."""
+    saved = latest(spark, f"{folder}/settings", iteration, "text").first()
+    return latest(spark, f"{folder}/rows", saved["iteration"]), json.loads(saved["value"])
+
+
+def append_scalars(rows: DataFrame, folder: str) -> None:
+    """Add rows (run, iteration, tag, value) to a table of scalars."""
+    rows.select(F.col("run").cast("string"), F.col("iteration").cast("long"), F.col("tag").cast("string"), F.col("value").cast("double")).write.mode("append").parquet(folder)
+
+
+def latest(spark: SparkSession, folder: str, iteration: int | None = None, kind: str = "parquet") -> DataFrame:
     """A version of a table: the one named (0 too), else the largest."""
-    rows = spark.read.parquet(folder)
+    rows = spark.read.format(kind).load(folder)
     if iteration is None:
         iteration = rows.agg(F.max("iteration")).first()[0]
     return rows.filter(F.col("iteration") == iteration)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.functions import harmonics, maths, text
-from pointloom.operators import calibrate, density, metrics, neighbours, structure, views
+from pointloom.operators import calibrate, density, metrics, neighbours, render, structure, views
 from pointloom.sources import files, sparse
 from pointloom.streaming import requests
 
@@ -258,3 +258,104 @@ def test_settings_and_requests(spark, tmp_path):
 def test_names_without_extension(spark):
     row = spark.createDataFrame([("a.b.png", "plain", "d.r/x")], "a string, b string, c string").select(*(text.stem(F.col(c)) for c in "abc")).first()
     assert tuple(row) == ("a.b", "plain", "d.r/x")
+
+
+def test_render_brute_force(spark):
+    rng = np.random.default_rng(8)
+    data = [(k, *map(float, rng.normal(0, 0.6, 3)), float(rng.normal()), *map(float, rng.normal(-2.5, 0.5, 3)), *map(float, rng.normal(size=4)), *map(float, rng.random(3))) for k in range(12)]
+    data[0] = (0, 0.0, 0.0, -9.0, *data[0][4:])  # behind the camera
+    names = ["x", "y", "z", "opacity", "s0", "s1", "s2", "q0", "q1", "q2", "q3", "red", "green", "blue"]
+    rows = spark.createDataFrame(data, "gid long, " + ", ".join(f"{n} double" for n in names))
+    turn = ((0.0, 0.0, 1.0), (0.0, 1.0, 0.0), (-1.0, 0.0, 0.0))
+    view = render.View(20, 9, 15.0, 14.0, turn, (0.1, -0.2, 3.0))
+    exposure = [[0.9, 0.0, 0.1, 0.02], [0.0, 1.0, 0.0, 0.0], [0.0, 0.2, 0.8, -0.01]]
+    got = {(r.u, r.v): r for r in render.render(rows, view, (0.2, 0.4, 0.6), exposure).collect()}
+    assert len(got) == 180
+    rot, shots = np.array(turn), []
+    for gid, x, y, z, o, s0, s1, s2, q0, q1, q2, q3, *rgb in data:
+        c = rot @ [x, y, z] + view.translation
+        if c[2] <= 0.2:
+            continue
+        w, i, j, k = np.array([q0, q1, q2, q3]) / np.linalg.norm([q0, q1, q2, q3])
+        r = np.array([[1 - 2 * (j * j + k * k), 2 * (i * j - w * k), 2 * (i * k + w * j)], [2 * (i * j + w * k), 1 - 2 * (i * i + k * k), 2 * (j * k - w * i)], [2 * (i * k - w * j), 2 * (j * k + w * i), 1 - 2 * (i * i + j * j)]])
+        cov = r @ np.diag(np.exp([2 * s0, 2 * s1, 2 * s2])) @ r.T
+        jac = np.array([[15 / c[2], 0, -15 * c[0] / c[2] ** 2], [0, 14 / c[2], -14 * c[1] / c[2] ** 2]]) @ rot
+        flat = jac @ cov @ jac.T + 0.3 * np.eye(2)
+        radius = math.ceil(3 * math.sqrt(np.linalg.eigvalsh(flat)[1]))
+        shots.append((c[2], gid, np.array([15 * c[0] / c[2] + 9.5, 14 * c[1] / c[2] + 4.0]), np.linalg.inv(flat), radius, 1 / (1 + math.exp(-o)), np.array([*rgb, 1 / c[2]])))
+    for (u, v), r in got.items():
+        left, total = 1.0, np.zeros(4)
+        for _, _, at, inverse, radius, o, value in sorted(shots, key=lambda t: t[:2]):
+            if any(not math.floor((a - radius) / 16) <= p // 16 <= math.floor((a + radius) / 16) for p, a in zip((u, v), at, strict=True)):
+                continue
+            away = np.array([u, v]) - at
+            alpha = min(o * math.exp(-0.5 * away @ inverse @ away), 0.99)
+            if alpha >= 1 / 255:
+                total += left * alpha * value
+                left *= 1 - alpha
+        rgb = total[:3] + left * np.array([0.2, 0.4, 0.6])
+        e = np.array(exposure)
+        want = np.clip(rgb @ e[:, :3] + e[:, 3], 0, 1)
+        assert np.allclose([r.red, r.green, r.blue, r.inverse_depth, r.transmittance], [*want, total[3], left], atol=1e-9)
+    assert {tuple(r)[2:] for r in render.render(rows.limit(0), view).collect()} == {(0.0, 0.0, 0.0, 0.0, 1.0)}
+
+
+def test_state_and_initial_splats(spark):
+    stats = spark.createDataFrame([(0, 1.0, 2, 5), (1, 1.0, 2, 5)], "gid long, grad_accum double, denom long, max_radius int")
+    rows = splats(spark).withColumns({"m_x": F.lit(2.0), "v_x": F.lit(3.0)})
+    out = density.control(rows, stats, None, threshold=0.1, extent=100.0, dense=0.01, state=("m_x", "v_x")).collect()
+    assert {(r.gid >= 1 << 40, r.m_x, r.v_x) for r in out} == {(False, 2.0, 3.0), (True, 0.0, 0.0)}
+    reset = density.with_reset_opacity(rows, ("m_x",)).filter("gid in (0, 3)").orderBy("gid").collect()
+    assert math.isclose(reset[0].opacity, math.log(0.01 / 0.99)) and math.isclose(reset[1].opacity, -9.0) and reset[0].m_x == 0.0 and reset[0].v_x == 3.0
+    cloud = spark.createDataFrame([(k, float(k), 0.0, 0.0, 0.5, 1.0, 0.0) for k in range(4)], "gid long, x double, y double, z double, red double, green double, blue double")
+    first = density.initial(cloud).orderBy("gid").first()
+    assert math.isclose(first.s1, math.log(math.sqrt(14 / 3))) and first.q0 == 1.0 and first.f_dc[0] == 0.0 and len(first.f_rest) == 45
+    assert density.initial(cloud.limit(0)).count() == 0
+
+
+def test_projection_and_centre(spark):
+    m = [[F.lit(v) for v in row] for row in [[0.0, 0.0, 1.0, 1.0], [0.0, 1.0, 0.0, 2.0], [-1.0, 0.0, 0.0, 3.0], [0.0, 0.0, 0.0, 1.0]]]
+    p = maths.projection(0.01, 100.0, F.lit(1.0), F.lit(1.0))
+    row = spark.range(1).select(*maths.camera_centre(m), *(c for r in maths.full_projection(m, p) for c in r)).first()
+    assert tuple(row)[:3] == (3.0, -2.0, -1.0)
+    k, f = 1 / math.tan(0.5), 100 / 99.99
+    want = np.array([[k, 0, 0, 0], [0, k, 0, 0], [0, 0, f, -0.01 * f], [0, 0, 1, 0]]) @ [[0, 0, 1, 1], [0, 1, 0, 2], [-1, 0, 0, 3], [0, 0, 0, 1]]
+    assert np.allclose(np.array(row[3:]).reshape(4, 4), want.T)
+
+
+def test_sinks_and_checkpoints(spark, tmp_path):
+    rows = spark.createDataFrame([(k, *(float(k * 100 + i) for i in range(62))) for k in range(3)], ", ".join(["gid long", *(f"{c} double" for c in structure.SPLAT_COLUMNS)]))
+    files.write_splats(rows, str(tmp_path / "m.ply"))
+    got = files.read_splats(spark, str(tmp_path / "m.ply")).filter("gid = 1").first()
+    assert got.f_rest == [109.0 + i for i in range(45)] and got.rot == [158.0, 159.0, 160.0, 161.0] and got.opacity == 154.0
+    files.write_ply(rows.select("gid", "f_rest_0"), {"f_rest_0": "float"}, str(tmp_path / "bad.ply"))
+    with pytest.raises(ValueError, match="whole degree"):
+        files.read_splats(spark, str(tmp_path / "bad.ply"))
+    for k in (10, 200):
+        files.write_checkpoint(rows.limit(k // 10), str(tmp_path / "c"), k, {"step": k})
+    back, settings = files.read_checkpoint(spark, str(tmp_path / "c"))
+    assert settings == {"step": 200} and back.count() == 3
+    assert files.read_checkpoint(spark, str(tmp_path / "c"), 10)[1] == {"step": 10}
+    for k in (1, 2):
+        files.append_scalars(spark.createDataFrame([("r", k, "loss", 0.5)], "run string, iteration int, tag string, value double"), str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
+    png = files.png_bytes(np.zeros((2, 2, 3), np.uint8))
+    images = spark.createDataFrame([(f"test/ours_7/renders/{k:05d}.png", bytearray(png)) for k in range(5)], "path string, png binary")
+    assert {r.bytes for r in files.write_images(images, str(tmp_path / "out")).collect()} == {len(png)}
+    assert (tmp_path / "out/test/ours_7/renders/00004.png").read_bytes() == png
+    assert len(list((tmp_path / "out/test/ours_7/renders").glob("*.png"))) == 5
+
+
+def test_capture_exposure_and_validation(spark):
+    poses = spark.createDataFrame([("s", 30, 0, 7), ("s", 60, 1, 8)], "scene string, t long, id long, pose int")
+    frames = spark.createDataFrame([("s", t, k) for k, t in enumerate([10, 30, 45, 70])], "scene string, t long, id long")
+    got = views.capture_frames(frames, poses, ["scene"], "t", "id", ["pose"]).orderBy("t").collect()
+    assert [(r.t, r.pose, r.image_id, r.name) for r in got] == [(30, 7, 1, "00001.png"), (45, 7, 2, "00002.png"), (70, 8, 3, "00003.png")]
+    names = spark.createDataFrame([("a",), ("b",)], "image_name string")
+    known = spark.createDataFrame([("b", [[2.0] * 4] * 3)], "image_name string, m array<array<double>>")
+    m = {r.image_name: r.m for r in views.with_exposure(names, known).collect()}
+    assert m["a"] == np.eye(4)[:3].tolist() and m["b"] == [[2.0] * 4] * 3
+    train = spark.createDataFrame([(f"n{k:02d}",) for k in range(12)], "name string")
+    shown = views.validation_views(train, train.limit(1), ["name"]).collect()
+    assert sorted(r.name for r in shown if r.split == "train") == ["n01", "n03", "n05", "n08", "n10"]
+    assert spark.sql("select timestamp'2024-03-05 06:07:08' t").select(text.log_label(F.col("t"))).first()[0] == "05/03 06:07:08"

@@ -63,7 +63,7 @@ def features(text: str | None, stats: tuple[int, int, int, int, int]) -> list[fl
     capitals = sum(map(str.isupper, text)) if not text.isascii() else sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     digits = sum(map(text.count, "0123456789"))
     marks = sum(map(text.count, ".,;:!?"))
-    return [float(np.log1p(n)), chars / n, symbols / chars, dup / lines, repeated / n, capitals / chars, digits / chars, len(set(text.split())) / n if n <= 2000 else 0.5, n / lines, marks / n]
+    return [float(np.log1p(n)), chars / n, symbols / chars, dup / lines, repeated / n, capitals / chars, digits / chars, len(set(text.encode().split())) / n, n / lines, marks / n]
 
 
 @dataclass

@@ -49,6 +49,29 @@ def expand(frame: bytes | None) -> bytes:
     return zstandard.decompress(frame) if frame else b""
 
 
+def gap_bytes(pos: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending positions of one document after another as gaps: as many bytes of 255 as fit, then the rest (below 255).
+
+    first: where each document begins. Also returns where each position's bytes end.
+    """
+    gaps = np.diff(pos, prepend=0)
+    gaps[first] = pos[first]
+    more, rest = np.divmod(gaps, 255)
+    ends = np.cumsum(more + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = rest
+    return out, ends
+
+
+def positions(lists: list[bytes]) -> np.ndarray:
+    """All positions in lists of gap bytes, list by list."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    gaps = np.frombuffer(b"".join(lists), np.uint8)
+    total = np.cumsum(gaps, dtype=np.int64)
+    before = np.r_[0, total][np.cumsum(sizes) - sizes]
+    return (total - np.repeat(before, sizes))[gaps < 255]
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
@@ -110,8 +133,7 @@ def pack(bucket, hashes, doc, pos, keys, index) -> Iterator[tuple]:
         d = doc[at]
         first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
         counts = np.diff(np.r_[first, len(d)]).astype("<u4")
-        planes = pos[at].astype("<u4").view(np.uint8).reshape(-1, 4).T  # high bytes side by side compress well
-        yield k, 1, hashes[at].tobytes(), keys[d[first]].tobytes(), counts.tobytes(), planes.tobytes()
+        yield k, 1, hashes[at].tobytes(), keys[d[first]].tobytes(), counts.tobytes(), zstandard.compress(gap_bytes(pos[at], first)[0].tobytes(), 1)
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -175,19 +197,25 @@ def reply(rows: DataFrame, block: int | None, kind: str) -> DataFrame:
                 if table is None:
                     table, parts = build(), []
                 found = _find(table[0], hashes)
-                pos = np.ascontiguousarray(raw("pos", np.uint8).reshape(4, -1).T).view("<u4").ravel()
+                counts = raw("counts", "<u4").astype(np.int64)
+                ends = np.cumsum(counts)
+                total = positions([zstandard.decompress(batch.column("pos")[i].as_py())])
+                pos = total - np.repeat(np.r_[0, total[ends[:-1] - 1]], counts)
                 hit = found >= 0
                 hit[hit] = table[1][found[hit]] | ((pos[hit] % block != 0) if block else False)
                 if not hit.any():
                     continue
-                ends = np.cumsum(raw("counts", "<u4"))
                 keys = raw("docs", "<i8").reshape(-1, 2)
                 places = np.flatnonzero(hit)
                 owner = np.searchsorted(ends, places, side="right")
-                for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
-                    k1.append(int(keys[owner[part[0]], 0]))
-                    k2.append(int(keys[owner[part[0]], 1]))
-                    at.append(pos[places[part]].astype("<u4").tobytes())
+                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                gaps, stops = gap_bytes(pos[places], first)
+                raw_gaps, begin = gaps.tobytes(), 0
+                for mine, stop in zip(keys[owner[first]].tolist(), stops[np.r_[first[1:], len(owner)] - 1].tolist(), strict=True):
+                    k1.append(mine[0])
+                    k2.append(mine[1])
+                    at.append(raw_gaps[begin:stop])
+                    begin = stop
             if k1:
                 yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.binary())], ["k1", "k2", "at"])
 
@@ -198,7 +226,7 @@ def reply(rows: DataFrame, block: int | None, kind: str) -> DataFrame:
 
 def _spread(lists, n: int, before: int, after: int) -> np.ndarray:
     """True at every place from p - before to p + after, for each p of the packed lists."""
-    at = np.concatenate([np.frombuffer(x, "<u4") for x in lists]).astype(np.int64)
+    at = positions(lists)
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, np.clip(at - before, 0, n), 1)
     np.add.at(edge, np.clip(at + after + 1, 0, n), -1)

@@ -411,3 +411,19 @@ def test_components(spark):
             root[y] = x
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: top(i) for i in root}
+
+
+# ---- SQL twins
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(tuple(r) for r in got.select(columns).collect()) == Counter(want.fetchall())

@@ -339,6 +339,10 @@ def test_quality(spark, sf):
     truth = {r.doc_id: r.quality for r in labels.collect()}
     pairs = [(r.kept, truth[r.doc_id]) for r in out if truth.get(r.doc_id) is not None]
     assert sum(k == bool(q) for k, q in pairs) / len(pairs) > 0.9
+    away = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 1
+    unseen = quality.judge(docs, quality.fit_labelled(docs, labels.filter(~away))).filter("not base_failed")
+    unseen = [(r.kept, bool(truth[r.doc_id])) for r in unseen.filter(away).collect() if truth.get(r.doc_id) is not None]
+    assert len(unseen) > 10 and sum(k == q for k, q in unseen) / len(unseen) > 0.8
     assert quality.fit_labelled(docs, labels.limit(0)) is None
     assert quality.judge(docs.limit(0), None).count() == 0
 

@@ -31,7 +31,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256(F.col("ids")).alias("ids_sha256"), _sha(F.col("decoded")).alias("decoded_sha256"))
 
 
-MAX_RATIO, MIN_PAGES = 0.1, 5
+#: A page's own lines stand on it and its copies; what more than a hundredth of a site's pages repeat is its template.
+MAX_RATIO, MIN_PAGES = 0.01, 5
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

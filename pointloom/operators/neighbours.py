@@ -1,58 +1,81 @@
-"""Exact nearest neighbours by grids of growing cells.
+"""Exact nearest neighbours by blocks of equal count.
 
-Points join the points of the 27 cells around them. A point is settled when its k-th neighbour is no farther than a
-cell's edge: nothing outside those cells can be nearer. The others try again with cells twice as large. Starting small,
-crowded regions settle before cells grow, so no cell's points are all paired with each other; what is left at the end
-are few far points.
+Equal positions become one row with their number. Positions are cut into slabs by x, slabs into tiles by y and tiles into
+blocks by z, all by place in a global order: a block has at most ``block`` positions however unevenly they lie, and a box.
+Its own block bounds a position's k-th distance; slabs, tiles and blocks nearer than the bound are looked up one after the
+other, the farthest corner of a near block tightens it once more, and what is left is searched. A position and a block give
+at most k distances, and a ranking that is cut to k before the shuffle keeps the k smallest of all blocks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.maths import d
+from pointloom.operators.views import global_index
 from pointloom.session import workers_import, written
 
 
-def mean_distance2(points: DataFrame, k: int = 3, cell: float | None = None, rounds: int = 40) -> DataFrame:
+def _apart2(gaps: list[Column]) -> Column:
+    return gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
+
+
+def _near2() -> Column:
+    """The squared distance to a box, never above that to a position in it: it is summed in the same order."""
+    return _apart2([F.greatest(F.col(f"low_{c}") - F.col(c), d(0.0), F.col(c) - F.col(f"high_{c}")) for c in "xyz"])
+
+
+def _far2() -> Column:
+    return _apart2([F.greatest(F.abs(F.col(c) - F.col(f"low_{c}")), F.abs(F.col(c) - F.col(f"high_{c}"))) for c in "xyz"])
+
+
+def _nearest(k: int) -> Column:
+    """The k smallest squared distances from pid, x, y, z to other points of members, in order."""
+    others = F.transform("members", lambda o: F.struct(_apart2([F.col(c) - o[c] for c in "xyz"]).alias("d2"), F.least(F.lit(k), o["m"] - (o["pid"] == F.col("pid")).cast("long")).cast("int").alias("n")))
+    return F.slice(F.sort_array(F.flatten(F.transform(others, lambda o: F.array_repeat(o["d2"], o["n"])))), 1, k)
+
+
+def mean_distance2(points: DataFrame, k: int = 3, block: int = 32) -> DataFrame:
     """gid and dist2, the mean squared distance to the k nearest other points. points: gid, x, y, z.
 
-    With k points or fewer the mean is over those that exist; a single point has 0.
+    With k points or fewer the mean is over those that exist; a single point has 0. Points without a finite position are
+    nobody's neighbours and have NULL.
     """
     points = points.select("gid", *(F.col(c).cast("double").alias(c) for c in "xyz"))
-    box = points.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in "xyz" for f in (F.min, F.max))).first()
-    if not box["n"]:
-        return points.select("gid", d(0.0).alias("dist2"))
-    k_here = min(k, box["n"] - 1)
-    if not k_here:
-        return points.select("gid", d(0.0).alias("dist2"))
-    side = max(box[f"max_{c}"] - box[f"min_{c}"] for c in "xyz") or 1.0
-    cell = cell or side / max(1.0, box["n"] ** (1 / 3))
-    spark, parts, left = points.sparkSession, [], points
-    around = F.explode(F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for n, v in zip("ijk", (i, j, m), strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1))))
-    for _ in range(rounds):
-        where = {f"c{c}": F.floor(F.col(c) / cell) for c in "xyz"}
-        asked = left.withColumns(where).withColumn("_a", around)
-        asked = asked.withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"_a.{n}") for c, n in zip("xyz", "ijk", strict=True)}).drop("_a")
-        others = points.withColumns(where).select("cx", "cy", "cz", F.col("gid").alias("_o"), *(F.col(c).alias(f"_{c}") for c in "xyz"))
-        near = asked.join(others, ["cx", "cy", "cz"]).filter("gid <> _o")
-        far2 = sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("_x")) ** 2)
-        best = near.groupBy("gid").agg(F.slice(F.sort_array(F.collect_list(far2)), 1, k_here).alias("best"))
-        whole = cell >= side
-        settled = (F.size("best") == k_here) & (F.element_at("best", -1) <= cell * cell) if not whole else F.size("best") == k_here
-        found = written(best.filter(settled).select("gid", (F.aggregate("best", d(0.0), lambda a, v: a + v) / k_here).alias("dist2")), "neighbours")
-        parts.append(found)
-        left = written(left.join(found, "gid", "left_anti"), "neighbours-left")
-        if whole or left.isEmpty():
-            break
-        cell *= 2
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    known = F.coalesce((F.abs("x") < math.inf) & (F.abs("y") < math.inf) & (F.abs("z") < math.inf), F.lit(False))
+    at = written(points.filter(known).groupBy(*"xyz").agg(F.count("*").alias("m")), "positions")
+    size = at.agg(F.count("*").alias("places"), F.coalesce(F.sum("m"), F.lit(0)).alias("n")).first()
+    k_here = min(k, size["n"] - 1)
+    if k_here < 1:
+        return points.select("gid", F.when(known, d(0.0)).alias("dist2"))
+    s = math.ceil((size["places"] / block) ** (1 / 3))
+    for name, rows, order in (("slab", s * s * block, "xyz"), ("tile", s * block, ("slab", *"yzx")), ("block", block, ("tile", *"zxy"))):
+        at = global_index(at, list(order), "pid").withColumn(name, F.floor(F.col("pid") / rows))
+        at = written(at, "blocks") if name == "block" else at.drop("pid")
+    box = [f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("low", F.min), ("high", F.max))]
+    slabs, tiles = at.groupBy("slab").agg(*box), at.groupBy("slab", "tile").agg(*box)
+    blocks = written(at.groupBy("tile", "block").agg(F.collect_list(F.struct("pid", *"xyz", "m")).alias("members"), F.sum("m").alias("held"), *box), "block-rows")
+    members = blocks.select("block", "members")
+    best = at.filter(F.col("m") <= k_here).join(members, "block").select("pid", *"xyz", _nearest(k_here).alias("best"))
+    asked = written(best.select("pid", *"xyz", F.when(F.size("best") == k_here, F.element_at("best", -1)).otherwise(d(math.inf)).alias("bound2")), "asked")
+    # slabs are s rows and tiles s * s, s the cube root of the number of blocks
+    in_slab = asked.join(F.broadcast(slabs), _near2() <= F.col("bound2")).select(*asked.columns, "slab")
+    in_tile = in_slab.join(F.broadcast(tiles), "slab").filter(_near2() <= F.col("bound2")).select(*asked.columns, "tile")
+    near = in_tile.join(blocks.drop("members"), "tile").filter(_near2() <= F.col("bound2"))
+    near = written(near.select(*asked.columns, "block", _near2().alias("near2"), F.when(F.col("held") > k_here, _far2()).alias("far2")), "near-blocks")
+    tight = near.groupBy("pid").agg(F.min("far2").alias("tight2"))
+    left = near.join(tight, "pid").filter(F.col("near2") <= F.least("bound2", "tight2"))
+    hits = left.join(members, "block").select("pid", F.explode(_nearest(k_here)).alias("d2"))
+    top = hits.withColumn("_n", F.row_number().over(Window.partitionBy("pid").orderBy("d2"))).filter(F.col("_n") <= k_here)
+    found = top.groupBy("pid").agg((F.sum("d2") / k_here).alias("dist2"))
+    placed = written(at.join(found, "pid", "left").select(*"xyz", F.coalesce("dist2", d(0.0)).alias("dist2")), "neighbours")
+    out = points.filter(known).join(placed, [*"xyz"]).select("gid", "dist2")
+    return out.unionByName(points.filter(~known).select("gid", F.lit(None).cast("double").alias("dist2")))
 
 
 def rotation_quaternions(df: DataFrame, matrix: str = "r", out: str = "q") -> DataFrame:

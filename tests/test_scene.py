@@ -176,6 +176,19 @@ def test_neighbours(spark):
     assert neighbours.mean_distance2(rows.limit(1)).first().dist2 == 0
 
 
+def test_neighbours_uneven(spark):
+    """A far outlier, a third of the points at one place, a dense and a sparse cloud: no cell may hold all of them."""
+    rng = np.random.default_rng(1)
+    pts = np.concatenate([rng.normal(0, 1e-3, (10_000, 3)), np.full((10_000, 3), 0.5), rng.normal(0, 50, (9_990, 3)), [[1e9, -1e9, 3.0]], [[7.0, 7, 7]] * 2])
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pts.tolist())] + [(-1, None, 0.0, 0.0)], "gid long, x double, y double, z double").repartition(8)
+    got = {r.gid: r.dist2 for r in neighbours.mean_distance2(rows).collect()}
+    assert len(got) == len(pts) + 1 and got.pop(-1) is None
+    for k in [*range(0, len(pts), 300), *range(29_980, len(pts))]:
+        d2 = ((pts - pts[k]) ** 2).sum(axis=1)
+        d2[k] = np.inf
+        assert math.isclose(got[k], np.sort(np.partition(d2, 3)[:3]).mean(), rel_tol=1e-9)
+
+
 def test_image_metrics(spark):
     v = np.random.default_rng(2).random((16, 16, 3))
     w = np.clip(v + np.random.default_rng(3).normal(0, 0.1, v.shape), 0, 1)

@@ -5,12 +5,16 @@ A pixel relation has keys (such as scene, method, image), c, y, x and v in 0..1;
 
 from __future__ import annotations
 
+import functools
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from pointloom.functions.maths import d, gaussian_window
+from pointloom.session import workers_import, written
 
 
 def pairs(renders: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,16 +98,42 @@ def total_loss(l1: Column, ssim_: Column, depth: Column, depth_weight: Column, m
 
 
 def smoothed(rows: DataFrame, by: list[str], order: list[str], value: str, keep: float = 0.6) -> DataFrame:
-    """Exponential moving average e = (1 - keep) x + keep e before, from 0, as an ordered fold over a group."""
-    row = F.struct(*order, F.col(value).alias("_x"))
-    start = F.struct(d(0.0).alias("e"), F.array().cast("array<double>").alias("all"))
-
-    def step(acc: Column, t: Column) -> Column:
-        e = (1 - keep) * t["_x"] + keep * acc["e"]
-        return F.struct(e.alias("e"), F.concat(acc["all"], F.array(e)).alias("all"))
+    """Exponential moving average e = (1 - keep) x + keep e before, from 0, in the order of a group's rows.
 
-    folded = rows.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("_rows")).withColumn("_e", F.aggregate("_rows", start, step)["all"])
-    return folded.select(*by, F.explode(F.arrays_zip("_rows", "_e")).alias("_z")).select(*by, *(F.col(f"_z._rows.{c}").alias(c) for c in order), F.col("_z._e").alias("ema"))
+    Rows are dealt by ranges of (by, order) and folded range by range, row after row. A fold is linear in its start, so what
+    a group has at the end of earlier ranges is added with keep to the power of the rows since. After a NULL value e is NULL.
+    """
+    workers_import(rows.sparkSession)
+    dealt = rows.select(*by, *order, F.col(value).cast("double").alias("_x")).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_range", F.spark_partition_id())
+
+    def fold(batches):
+        last, e, n = None, 0.0, 0
+        for batch in batches:
+            es, ns = [], []
+            keys = zip(*(batch.column(c).to_pylist() for c in by), strict=True) if by else [()] * len(batch)
+            for key, x in zip(keys, batch.column("_x").to_pylist(), strict=True):
+                if key != last:
+                    last, e, n = key, 0.0, 0
+                e = None if e is None or x is None else (1 - keep) * x + keep * e
+                n += 1
+                es.append(e)
+                ns.append(n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, *order, "_range")), pa.array(es, pa.float64()), pa.array(ns, pa.int64())], [*by, *order, "_range", "_e", "_n"])
+
+    fields = {f.name: f for f in dealt.schema.fields}
+    schema = StructType([*(fields[c] for c in (*by, *order, "_range")), StructField("_e", DoubleType()), StructField("_n", LongType())])
+    folded = written(dealt.mapInArrow(fold, schema), "folded")
+    # a row for each range of a group: those of one group are no more than there are ranges
+    ends = folded.groupBy(*by, "_range").agg(F.max(F.struct("_n", "_e")).alias("_end"))
+    each = ends.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_range", F.col("_end._n").alias("n"), F.col("_end._e").alias("e")))).alias("_ends")).filter(F.size("_ends") > 1)
+    start = F.struct(d(0.0).alias("e"), F.array().cast("array<double>").alias("all"))
+    carried = F.aggregate("_ends", start, lambda acc, t: F.struct((t["e"] + F.pow(d(keep), t["n"]) * acc["e"]).alias("e"), F.concat(acc["all"], F.array(acc["e"])).alias("all")))["all"]
+    carry = each.select(*by, F.explode(F.arrays_zip(F.col("_ends._range").alias("r"), carried.alias("e"))).alias("_z"))
+    carry = carry.select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), F.col("_z.r").alias("_r"), F.col("_z.e").alias("_before"), F.lit(True).alias("_later"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]
+    # a group goes on into a range only as its first, so carry has at most two rows for each range
+    joined = folded.join(F.broadcast(carry), functools.reduce(lambda a, b: a & b, same, F.col("_range") == F.col("_r")), "left")
+    return joined.select(*by, *order, F.when(F.col("_later"), F.col("_e") + F.pow(d(keep), F.col("_n")) * F.col("_before")).otherwise(F.col("_e")).alias("ema"))
 
 
 def histogram(rows: DataFrame, value: Column, bins: int) -> DataFrame:

@@ -189,6 +189,30 @@ def test_neighbours_uneven(spark):
         assert math.isclose(got[k], np.sort(np.partition(d2, 3)[:3]).mean(), rel_tol=1e-9)
 
 
+def test_smoothed_hot_user(spark):
+    """A user whose rows go over all ranges, one with few, one without a name, and one with a NULL value."""
+    rng = random.Random(4)
+    rows = [("hot", k, rng.gauss(0, 1)) for k in range(60_000)] + [(u, k, float(k)) for u in (None, "a", "z") for k in range(5)] + [("n", 0, 1.0), ("n", 1, None), ("n", 2, 1.0)]
+    want, last = {}, {}
+    for u, k, x in rows:
+        before = last.get(u, 0.0)
+        want[u, k] = last[u] = None if x is None or before is None else (1 - 0.999) * x + 0.999 * before
+    rng.shuffle(rows)
+    out = metrics.smoothed(spark.createDataFrame(rows, "u string, k int, x double").repartition(8), ["u"], ["k"], "x", 0.999)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_rows" not in plan and out.columns == ["u", "k", "ema"]
+    got = out.collect()
+    assert len(got) == len(want)
+    assert all((r.ema is None) == (want[r.u, r.k] is None) and (r.ema is None or math.isclose(r.ema, want[r.u, r.k], abs_tol=1e-9)) for r in got)
+
+
+def test_track_stats_counts(spark, sf):
+    """Tracks are counted, not collected; a row without an image counts, as in the SQL."""
+    from pointloom.plans import queries
+
+    assert "collect_list" not in queries.track_stats(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_image_metrics(spark):
     v = np.random.default_rng(2).random((16, 16, 3))
     w = np.clip(v + np.random.default_rng(3).normal(0, 0.1, v.shape), 0, 1)

@@ -222,6 +222,14 @@ def test_warc_reader_refuses_faults():
 
 # ---- mixing
 
+def test_mixing_takes_the_whole_supply(spark):
+    """With the share of the queries: epochs of the heavier leaves fill what the lighter ones' weights leave over."""
+    rows = [(k, "a b c d", "en" if k % 2 else "es", f"s{k % 4}") for k in range(400)]
+    out = mixing.mix(frame(spark, rows, "doc_id long, text string, lang string, source string"), queries.tree(), mixing.word_count(F.col("text")), queries.WEIGHTS, queries.SHARE, queries.MAX_EPOCHS, queries.SEED)
+    taken = sum(r.copies for r in out.collect())
+    assert 396 <= taken <= 400  # each of the four leaves may end within a document
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["en", "de", None]), rng.choice(["src1", "src2", "src15", "odd", None])) for i in range(400)]

@@ -1,4 +1,4 @@
-"""Session settings and tables written to cut lineage."""
+"""Session settings, and tables written to cut lineage."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution and the time zone the queries count on; partition counts are left to the cluster.
 CONF = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC"}
+#: Bytes of input that a task of an explicit repartitioning is to hold.
+TASK_BYTES = 64 << 20
 
 
 def builder(name: str = "pointloom"):
@@ -29,19 +31,61 @@ def workers_import(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir; on a local master a temporary folder where that is unset, elsewhere an error.
+
+    A folder of one machine would take each executor's part of a table to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("pointloom.scratch.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all of {master} share")
         found = tempfile.mkdtemp(prefix="spark-pointloom-")
         spark.conf.set("pointloom.scratch.dir", found)
     return found.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path as a URI with its scheme: files written by tasks go where spark.read and spark.write take the same path."""
+    place, store = _place(spark, path)
+    out = store.makeQualified(place).toString()
+    return f"file://{out[5:]}" if out.startswith("file:/") and not out.startswith("file://") else out
+
+
+def fresh_folder(spark: SparkSession, what: str) -> str:
+    """A new path below the shared folder; Hadoop removes it when the application ends, ``clear`` earlier."""
+    path = f"{shared_folder(spark)}/pointloom-{what}-{uuid.uuid4().hex}"
+    place, store = _place(spark, path)
+    store.deleteOnExit(place)
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that nothing reads any more."""
+    place, store = _place(spark, path)
+    store.delete(place, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables made so far, for sessions that run many jobs; results must have been written."""
+    for path in list(_made):
+        discard(spark, path)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back; removed when the application ends."""
+    """df as a Parquet table in the shared folder, read back: lineage ends there, and any executor can be lost."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/pointloom-{what}-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    path = fresh_folder(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,60 +2,24 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointloom.session import fresh_folder, qualified, workers_import
+from pointloom.session import written as materialize
+
+__all__ = ["BLANK", "WORD", "Recent", "append", "fresh_folder", "materialize", "new_name", "qualified", "workers_import"]
+
 #: White space as the contracts define it: space and the five ASCII control blanks.
 BLANK = r"[\x20\x09-\x0D]+"
 #: A word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ready(spark: SparkSession) -> str:
-    """Make the package importable on workers and return the shared folder for intermediate tables."""
-    sc = spark.sparkContext
-    root = str(Path(__file__).resolve().parents[2])
-    paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = spark.conf.get("pointloom.scratch.dir", None)
-        if not shared:
-            shared = tempfile.mkdtemp(prefix="spark-pointloom-")
-            spark.conf.set("pointloom.scratch.dir", shared)
-    return shared.rstrip("/")
-
-
-def fresh_folder(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder; Hadoop removes it when the application ends."""
-    path = f"{ready(spark)}/pointloom-{what}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and any executor can be lost."""
-    path = fresh_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """bytes.split() parts at exactly the ASCII blanks of BLANK."""
-    return text.encode().split() if text else []
-
-
 def new_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
@@ -78,7 +42,7 @@ def append(
     ``make()`` runs once a task and returns a function of the input arrays. A column of df that has the name of a
     new one is replaced. Output leaves in slices of ``rows`` rows, so no batch of long texts piles up.
     """
-    ready(df.sparkSession)
+    workers_import(df.sparkSession)
     new = {f.name.lower() for f in fields}
     gone = {c.lower() for c in drop} | new
     kept = [f for f in df.schema.fields if f.name.lower() not in gone]
@@ -98,8 +62,6 @@ def append(
     return df.select(*(F.col(f"`{c}`") for c in order)).mapInArrow(run, schema)
 
 
-
-
 class Recent(dict):
     """A bounded cache that fills itself: when full, its entries become the older half, which those in use outlive."""
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pointloom.llm.common import materialize, new_name, ready
+from pointloom.llm.common import materialize, new_name, workers_import
 
 FANOUT_BITS = 4
 #: Bytes of texts a table may hold.
@@ -121,7 +121,7 @@ def normalised(text: Column) -> Column:
 
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
     """One row per distinct normalised text: text_sha256, keep_id, group_size."""
-    ready(df.sparkSession)
+    workers_import(df.sparkSession)
     kind = dict(df.dtypes)[doc_id]
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), normalised(F.col(f"`{text}`")).alias("text"))
     arrow = to_arrow_type(df.schema[doc_id].dataType)

@@ -26,9 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm.common import append, ready
+from pointloom.functions.maths import d
+from pointloom.llm.common import append, materialize, workers_import
 
 TOP = 300
+#: Steps in which the share of a language's rows in the sample is set: fine enough for any number of rows.
+SHARES = 1 << 52
 PAD = ord("_")
 
 
@@ -64,16 +67,16 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, per_language: int = 2000, max_languages: int = 500, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[int]]:
-    """Profiles of the max_languages most frequent languages, from rows that are not held out."""
-    ready(docs.sparkSession)
+def learn(docs: DataFrame, per_language: int = 2000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[int]]:
+    """Profiles of all languages, from rows that are not held out. The driver gets TOP numbers for each language."""
+    workers_import(docs.sparkSession)
     rows = docs.filter(~held_out(doc_id) & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     rows = rows.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
-        return {}
-    part = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, per_language / r["count"]) * (1 << 20)))))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.coalesce(F.try_element_at(part, F.col("lang")), F.lit(0)))
+    part = F.least(d(1.0), d(per_language) / F.count("*")) * SHARES  # a row for each language
+    counts = materialize(rows.groupBy("lang").agg(part.cast("long").alias("part")), "languages")
+    # rows without an id are told apart by their text
+    chance = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(SHARES))
+    sample = rows.join(counts, "lang").filter(chance < F.col("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,20 +101,24 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
 
     def make():
         names = sorted(profiles)
-        known = np.unique(np.concatenate([np.array(profiles[n], np.int64) for n in names])) if names else np.empty(0, np.int64)
-        ranks = np.full((len(known) + 1, len(names)), -1, np.int64)  # the last row: an n-gram of no profile
-        for k, name in enumerate(names):
-            ranks[np.searchsorted(known, profiles[name]), k] = np.arange(len(profiles[name]))
+        grams = np.concatenate([np.array(profiles[n], np.int64) for n in names]) if names else np.empty(0, np.int64)
+        order = np.argsort(grams, kind="stable")
+        # for each known n-gram in ascending order: a language that has it, and its rank there
+        grams, owner = grams[order], np.repeat(np.arange(len(names)), [len(profiles[n]) for n in names])[order]
+        ranks = np.concatenate([np.arange(len(profiles[n])) for n in names])[order] if names else grams
 
         def one(body: str | None) -> tuple[str, float]:
             top = top_grams(body) if body and names else ()
             if not len(top):
                 return "und", 0.0
-            at = np.minimum(np.searchsorted(known, top), len(known) - 1)
-            found = ranks[np.where(known[at] == top, at, len(known))]
-            distance = np.where(found < 0, TOP, np.abs(found - np.arange(len(top))[:, None])).sum(axis=0)
-            best = int(distance.argmin())
-            return names[best], float(1 - distance[best] / (TOP * len(top)))
+            first = np.searchsorted(grams, top, side="left")
+            many = np.searchsorted(grams, top, side="right") - first
+            place = np.repeat(np.arange(len(top)), many)
+            at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+            # n-grams that a profile lacks count TOP; known ones give back what they are nearer
+            nearer = np.bincount(owner[at], TOP - np.abs(ranks[at] - place), len(names))
+            best = int(nearer.argmax())
+            return names[best], float(1 - (TOP * len(top) - nearer[best]) / (TOP * len(top)))
 
         def work(texts: pa.Array) -> list[pa.Array]:
             out = [one(t.as_py()) for t in texts]

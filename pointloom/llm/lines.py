@@ -1,7 +1,9 @@
 """Line deduplication by site-relative frequency.
 
-A page is a row, a site its host. A line is boilerplate on a site when more than ``max_ratio`` of the site's pages, and
-at least ``min_pages`` of them, contain it (trimmed of spaces). Boilerplate lines go from every page of that site.
+A page is a row, a site its host. A line is boilerplate on a site when two pages or more, and more than ``max_ratio`` of
+the site's pages, contain it (trimmed of spaces). Boilerplate lines go from every page of that site. A line of a single
+page is no repeat, whatever its ratio: on a site of few pages it would pass any. A site that wants more than two pages
+sets ``min_pages``; nothing else depends on a site's size.
 
 Lines travel as 16-byte digests. A page counts a line once, counting is a partial aggregate by (host, line), so neither
 a hot host nor a hot line gathers in a task. A site has at most mean distinct lines per page / max_ratio boilerplate
@@ -23,7 +25,7 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line)))
 
 
-def drop_site_lines(df: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5, removed: str | None = None) -> DataFrame:
+def drop_site_lines(df: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 2, removed: str | None = None) -> DataFrame:
     """df with boilerplate lines cut from text; ``removed`` names a column for the number of lines cut."""
     site, body = F.col(f"`{host}`"), F.col(f"`{text}`")
     lines = F.split(body, "\n", -1)

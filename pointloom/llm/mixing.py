@@ -6,8 +6,8 @@ siblings, and only what the whole subtree cannot use is left to its parent's sib
 floors, so at most one token a child is lost at each level.
 
 A leaf's share buys whole epochs and a token-prefix of one more: its documents in the order of a seeded digest of
-(seed, epoch, doc_id), as long as the running sum of tokens fits. The prefix is found through sums over 4,096 ranges of
-the digest and a window within the one range where the share ends, so no task orders a whole leaf.
+(seed, epoch, doc_id), as long as the running sum of tokens fits. The prefix is found through sums over ranges of the
+digest (16 ** ``digits`` of them a leaf) and a window within the one range where the share ends, so no task orders a leaf.
 
 Defined results: null levels are nodes named ''; documents without tokens take nothing and are in the prefix when what
 precedes them fits; null ids are ordered as ''; rows of equal id are in or out together; extra columns stay.
@@ -70,6 +70,7 @@ def mix(
     seed: int = 0,
     doc_id: str = "doc_id",
     copies: str = "copies",
+    digits: int = 3,
 ) -> DataFrame:
     """df with the number of copies of each row in the mix, 0 for rows left out. share: budget over all tokens."""
     names = [new_name(df, f"_level{k}_{n}") for k, (n, _) in enumerate(levels)]
@@ -85,7 +86,7 @@ def mix(
     def key(i: Column) -> Column:
         return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), i).cast("binary"))
 
-    keyed = rows.join(plan, names).withColumn("key", key(F.col("ident"))).withColumn("range", F.substring("key", 1, 3))
+    keyed = rows.join(plan, names).withColumn("key", key(F.col("ident"))).withColumn("range", F.substring("key", 1, digits))
     sums = keyed.groupBy(*names, "range").agg(F.sum("tokens").alias("t"), F.first("room").alias("room"))
     upto = F.sum("t").over(Window.partitionBy(*names).orderBy("range"))
     ends = sums.withColumn("upto", upto).filter((F.col("upto") - F.col("t") <= F.col("room")) & (F.col("upto") > F.col("room")))
@@ -104,6 +105,6 @@ def mix(
 
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), col("epochs").cast("string"), ident).cast("binary"))
     mine = F.struct(digest.alias("key"), ident.alias("ident"))
-    here = F.substring(digest, 1, 3)
+    here = F.substring(digest, 1, digits)
     chosen = col("range").isNull() | (here < col("range")) | F.coalesce((here == col("range")) & (mine <= col("last")), F.lit(False))
     return wide.join(cut, names).select(*(F.col(f"`{c}`") for c in df.columns if c != copies), (col("epochs") + chosen.cast("long")).alias(copies))

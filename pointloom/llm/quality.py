@@ -155,8 +155,8 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, doc
     n = known.count()
     if not n:
         return None
-    part = int(min(1.0, max_rows / n) * (1 << 20))
-    sample = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < part)
+    part = int(min(1.0, max_rows / n) * (1 << 52))
+    sample = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 52)) < part)
     rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), "_id").select("_y", "text")
 
     def make():

@@ -32,12 +32,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A page's own lines stand on it and its copies; what more than a hundredth of a site's pages repeat is its template.
-MAX_RATIO, MIN_PAGES = 0.01, 5
+MAX_RATIO = 0.01
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = lines.drop_site_lines(docs, "source", "text", MAX_RATIO, MIN_PAGES, removed="n_removed")
+    out = lines.drop_site_lines(docs, "source", "text", MAX_RATIO, removed="n_removed")
     return out.select("doc_id", "n_removed", _sha(F.coalesce("text", F.lit(""))).alias("text_sha256"))
 
 
@@ -50,7 +50,7 @@ total AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 bad AS (
   SELECT l.source, l.said FROM line l JOIN total t ON l.source = t.source WHERE l.said <> ''
   GROUP BY l.source, l.said, t.pages
-  HAVING count(DISTINCT l.row) >= {MIN_PAGES} AND count(DISTINCT l.row) > t.pages * {MAX_RATIO}::double),
+  HAVING count(DISTINCT l.row) >= 2 AND count(DISTINCT l.row) > t.pages * {MAX_RATIO}::double),
 marked AS (
   SELECT l.*, b.said IS NOT NULL AS gone FROM line l LEFT JOIN bad b ON l.source = b.source AND l.said = b.said)
 SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm.common import append, materialize, ready
+from pointloom.llm.common import append, materialize, workers_import
 from pointloom.llm.graph import components
 
 SEED = 42
@@ -141,7 +141,7 @@ def trie_links(group: np.ndarray, bits: np.ndarray, width: int, budget: int) ->
 def fingerprint_links(classes: DataFrame, max_bits: int = 3, blocks: int = 8) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints (column fp) as all pairs within max_bits would."""
     spark = classes.sparkSession
-    ready(spark)
+    workers_import(spark)
     size = 64 // blocks
     full = (1 << 64) - 1
     signed = lambda x: x - (1 << 64) if x >> 63 else x

@@ -1,75 +1,45 @@
 """Substring deduplication with fixed-block anchors.
 
 Texts are cut into non-overlapping reference blocks of (window + 1) // 2 words, which are indexed; any window of
-``window`` words holds one whole block. Every rolling window of a block's length probes the index. A hit elsewhere is an
-anchor: it is extended to all windows of full length around it, and those whose word sequence occurs twice or more are
-exact repeats; their union is the maximal repeat, and all its words go. Both copies find anchors: each holds a block
-that the other probes.
-
-Index and probes meet by hash buckets, packed by batch of documents into byte columns (32-bit hashes for anchors, whose
-false hits the extension discards; for full windows 64 bits within buckets that an independent hash chooses). A bucket's index
-comes first, reduced to distinct hashes, and the probes stream past it, so copies of one passage are never paired with
-each other. Texts are shuffled once, compressed, and meet the replies of both steps there.
+``window`` words holds one whole block. Every rolling window of a block's length probes the index. A block that is indexed
+and stands in two places or more is an anchor wherever it stands; both copies of a repeat hold one, since each holds a
+block that the other probes. An anchor is extended to all full windows around it. These windows travel as the words they
+consist of and are equal when their words are: hashes deal them out and bring them side by side, they decide nothing. The
+union of windows that stand in two places is the maximal repeat, and all its words go.
+
+Documents are packed into batches of about ``BATCH_BYTES`` and written once. Each batch reduces its probes to distinct
+hashes, and its windows to distinct stretches of words, before a shuffle: a passage in a third of all documents leaves a
+batch once. Probes and windows meet in buckets whose number follows the size of the corpus (``bucket_bytes`` of text for
+each), so a task holds as much at any size. A stretch is a run of windows that share the least hash of a few neighbouring
+words: equal windows share it, too, and meet in its bucket. Answers are bits, in an order that the batch makes again.
 
 Defined results: null texts have no words; texts shorter than a window lose nothing; repeated rows are copies of each
-other; extra columns stay.
+other; extra columns stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm.common import append, ready
-
-PACKED = "bucket int, kind int, hashes binary, docs binary, counts binary, pos binary"
-#: A document has a reply from each bucket at most; fewer buckets than this leave cores idle on small inputs.
-LEAST_BUCKETS = 24
-#: Words of a batch of documents packed together.
-BATCH_WORDS = 1 << 20
-
-
-def compressed(docs: DataFrame) -> DataFrame:
-    """docs with text as a Zstandard frame (null: null)."""
-    def make():
-        compress = zstandard.ZstdCompressor(level=3).compress
-        return lambda texts: [pa.array([None if (t := x.as_py()) is None else compress(t.encode()) for x in texts], pa.binary())]
-
-    return append(docs, ["text"], [T.StructField("text", T.BinaryType())], make)
-
+from pointloom.llm.common import materialize, workers_import
 
-def expand(frame: bytes | None) -> bytes:
-    return zstandard.decompress(frame) if frame else b""
-
-
-def gap_bytes(pos: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending positions of one document after another as gaps: as many bytes of 255 as fit, then the rest (below 255).
-
-    first: where each document begins. Also returns where each position's bytes end.
-    """
-    gaps = np.diff(pos, prepend=0)
-    gaps[first] = pos[first]
-    more, rest = np.divmod(gaps, 255)
-    ends = np.cumsum(more + 1)
-    out = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
-    out[ends - 1] = rest
-    return out, ends
-
-
-def positions(lists: list[bytes]) -> np.ndarray:
-    """All positions in lists of gap bytes, list by list."""
-    sizes = np.array([len(x) for x in lists], np.int64)
-    gaps = np.frombuffer(b"".join(lists), np.uint8)
-    total = np.cumsum(gaps, dtype=np.int64)
-    before = np.r_[0, total][np.cumsum(sizes) - sizes]
-    return (total - np.repeat(before, sizes))[gaps < 255]
+#: Text of documents packed together; a longer document is a batch of its own.
+BATCH_BYTES = 6 << 20
+#: Text for each bucket of probes and windows. Far above a terabyte it should grow, or a batch has few probes for a bucket.
+BUCKET_BYTES = 12 << 20
+#: Buckets of the smallest corpora, so that no core is idle.
+LEAST_BUCKETS = 8
+FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 class WordHashes(dict):
@@ -86,7 +56,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def rolling(words: np.ndarray, size: int, base: int) -> np.ndarray:
+def rolling(words: np.ndarray, size: int, base: int = FIRST) -> np.ndarray:
     """Hash of each run of size words; runs that would pass the end are left out."""
     n = len(words) - size + 1
     if n <= 0:
@@ -98,211 +68,285 @@ def rolling(words: np.ndarray, size: int, base: int) -> np.ndarray:
     return mixed(out)
 
 
-FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-
+def least_of(h: np.ndarray, size: int) -> np.ndarray:
+    """The least of each run of size values, by doubling."""
+    have = 1
+    while 2 * have <= size:
+        h, have = np.minimum(h[: len(h) - have], h[have:]), 2 * have
+    rest = size - have
+    return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
+
+
+def bits_of(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+class Batch:
+    """Words of the documents packed in one row, and what is computed from them alike in each step."""
+
+    def __init__(self, sizes: bytes, texts: bytes, cache: WordHashes, window: int, buckets: int):
+        raw, at = zstandard.decompress(texts), 0
+        self.window, self.block, self.buckets = window, (window + 1) // 2, buckets
+        self.texts: list[bytes | None] = []
+        self.words: list[bytes] = []
+        starts = [0]
+        for n in np.frombuffer(sizes, "<i8").tolist():
+            self.texts.append(raw[at : at + n] if n >= 0 else None)
+            at += max(n, 0)
+            if n > 0:
+                self.words += self.texts[-1].split()
+            starts.append(len(self.words))
+        self.starts = np.array(starts)
+        n = len(self.words)
+        self.hashes = np.fromiter(map(cache.__getitem__, self.words), np.uint64, n)
+        doc = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+        self.place = np.arange(n) - self.starts[doc]
+        self.left = self.starts[doc + 1] - np.arange(n)
+        self.long = (np.diff(self.starts) >= window)[doc]
+
+    def probes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of rolling blocks in documents of a window or more, their distinct hashes, numbers of these, counts."""
+        at = np.flatnonzero(self.long & (self.left >= self.block))
+        known, number, counts = np.unique(rolling(self.hashes, self.block)[at], return_inverse=True, return_counts=True)
+        return at, known, number, counts
+
+    def cuts(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of ascending hashes, and where each bucket's run begins and the last ends."""
+        bucket = ((known >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+        return bucket[first], np.r_[first, len(bucket)]
+
+    def windows(self, anchored: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """Stretches of windows around anchors: first window, number of windows, number among distinct ones; the distinct
+        ones as words joined by spaces, their order by bucket, and their buckets. anchored: (bucket, bits) of the answers."""
+        at, known, number, _ = self.probes()
+        names, edges = self.cuts(known)
+        hot = np.zeros(len(known), bool)
+        for a in anchored:
+            k = int(np.searchsorted(names, a["bucket"]))
+            hot[edges[k] : edges[k + 1]] = bits_of(a["bits"], edges[k + 1] - edges[k])
+        mine = at[hot[number]]
+        edge = np.bincount(np.maximum(mine - (self.window - self.block), mine - self.place[mine]), minlength=len(self.words) + 1)
+        edge[mine + 1] -= 1
+        wanted = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (self.left >= self.window))
+        few = max(1, self.window // 4)
+        least = least_of(rolling(self.hashes, few, SECOND), self.window - few + 1)[wanted] if len(wanted) else np.empty(0, np.uint64)
+        new = np.r_[True, (np.diff(wanted) > 1) | (self.place[wanted[1:]] == 0) | (least[1:] != least[:-1])] if len(wanted) else np.empty(0, bool)
+        begin = np.flatnonzero(new)
+        first, count = wanted[begin], np.diff(np.r_[begin, len(wanted)])
+        joined = b" ".join(self.words)
+        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1)
+        begins = np.r_[0, ends]
+        distinct: dict[bytes, int] = {}
+        numbers = np.array([distinct.setdefault(joined[a:b], len(distinct)) for a, b in zip(begins[first].tolist(), (ends[first + count + self.window - 2] - 1).tolist(), strict=True)], np.int64)
+        key = np.empty(len(distinct), np.uint64)
+        key[numbers] = least[begin]
+        bucket = ((key & np.uint64(0xFFFFFFFF)) % np.uint64(self.buckets)).astype(np.int64)
+        return first, count, numbers, list(distinct), np.argsort(bucket, kind="stable"), bucket
+
+
+def pack(df: DataFrame, text: str) -> DataFrame:
+    """Batches: batch, bytes, sizes (-1: null) and the compressed texts of its documents, and their other columns in rest."""
+    others = [F.col(f"`{c}`") for c in df.columns if c != text] or [F.lit(0).alias("none")]
+    rows = df.select(F.struct(*others).alias("rest"), F.col(f"`{text}`").alias("text"))
+    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("sizes", T.BinaryType()), T.StructField("texts", T.BinaryType()), T.StructField("rest", T.ArrayType(rows.schema["rest"].dataType))])
 
-def _unique(a: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, sorted, and whether each occurs twice or more."""
-    order = np.argsort(a, kind="stable")
-    a, twice = a[order], twice[order]
-    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
-    if not len(starts):
-        return a, twice
-    many = np.diff(np.r_[starts, len(a)]) > 1
-    return a[starts], many | np.maximum.reduceat(twice, starts)
-
-
-def _find(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Place of each hash in the sorted table; -1 if it is not there."""
-    if not len(table):
-        return np.full(len(hashes), -1)
-    at = np.searchsorted(table, hashes)
-    at[at == len(table)] = 0
-    return np.where(table[at] == hashes, at, -1)
-
-
-def pack(bucket, hashes, doc, pos, keys, index) -> Iterator[tuple]:
-    """Rows of PACKED for windows sorted by document: for each bucket the index (kind 0), then the probes (kind 1)."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for at in np.split(order, cuts) if len(order) else []:
-        k = int(bucket[at[0]])
-        if len(mine := at[index[at]]):
-            known, twice = _unique(hashes[mine], np.zeros(len(mine), bool))
-            yield k, 0, known.tobytes(), b"", twice.astype(np.uint8).tobytes(), b""
-        d = doc[at]
-        first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        counts = np.diff(np.r_[first, len(d)]).astype("<u4")
-        yield k, 1, hashes[at].tobytes(), keys[d[first]].tobytes(), counts.tobytes(), zstandard.compress(gap_bytes(pos[at], first)[0].tobytes(), 1)
-
-
-def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    names = [c.split()[0] for c in PACKED.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-
-def documents(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple]:
-    """(batch, rows, word hashes, starts) for runs of documents with at least ``least`` words."""
-    cache = WordHashes()
-    for batch in batches:
-        held, rows, total = [], [], 0
-        texts = batch.column("text")
-        plain = not pa.types.is_binary(texts.type)
-        for i in range(batch.num_rows):
-            words = ((texts[i].as_py() or "").encode() if plain else expand(texts[i].as_py())).split()
-            if len(words) >= least:
-                held.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
-                rows.append(i)
-                total += len(words)
-            if held and (total > BATCH_WORDS or i == batch.num_rows - 1):
-                yield batch, np.array(rows), np.concatenate(held), np.r_[0, np.cumsum([len(h) for h in held])]
-                held, rows, total = [], [], 0
-        if held:
-            yield batch, np.array(rows), np.concatenate(held), np.r_[0, np.cumsum([len(h) for h in held])]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, packer = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3)
+        raws: list[bytes] = []
+        sizes: list[int] = []
+        parts: list[pa.Array] = []
+        total = 0
 
+        def full() -> pa.RecordBatch:
+            rest = pa.concat_arrays(parts)
+            columns = [pa.array([number], pa.int64()), pa.array([total], pa.int64()), pa.array([np.array(sizes, "<i8").tobytes()]), pa.array([packer.compress(b"".join(raws))]), pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest)]
+            return pa.RecordBatch.from_arrays(columns, schema.names)
 
-def _keys(batch: pa.RecordBatch, rows: np.ndarray) -> np.ndarray:
-    return np.stack([batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in ("k1", "k2")], axis=1).astype("<i8")
+        for batch in batches:
+            rest, start = batch.column("rest"), 0
+            for i, t in enumerate(batch.column("text")):
+                raw = t.as_py().encode() if t.is_valid else None
+                sizes.append(-1 if raw is None else len(raw))
+                raws.append(raw or b"")
+                total += len(raw or b"")
+                if total > BATCH_BYTES or len(sizes) >= 1 << 16:
+                    parts.append(rest.slice(start, i + 1 - start))
+                    yield full()
+                    number, start, total, raws, sizes, parts = number + 1, i + 1, 0, [], [], []
+            if start < batch.num_rows:
+                parts.append(rest.slice(start))
+        if sizes:
+            yield full()
+
+    return rows.mapInArrow(run, schema)
+
+
+def each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of one bucket after the other, from rows sorted by bucket."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["bucket"] != held[0]["bucket"]:
+                yield held[0]["bucket"], held
+                held = []
+            held.append(row)
+    if held:
+        yield held[0]["bucket"], held
 
 
-def reply(rows: DataFrame, block: int | None, kind: str) -> DataFrame:
-    """(k1, k2, at): positions of probes that occur elsewhere. block: index entries stand at its multiples."""
+def answers(rows: DataFrame, buckets: int, settle: Callable[[list[dict]], list[np.ndarray]], out: str) -> DataFrame:
+    """For each batch the (bucket, bits) that settle says of its rows, buckets without a set bit left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, parts, size, table = None, [], 0, None
-
-        def build() -> tuple[np.ndarray, np.ndarray]:
-            if not parts:
-                return np.empty(0, kind), np.empty(0, bool)
-            return _unique(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        for bucket, held in each_bucket(batches):
+            found = [(row["batch"], np.packbits(bits).tobytes()) for row, bits in zip(held, settle(held), strict=True) if bits.any()]
+            for k in range(0, len(found), 4096):
+                part = found[k : k + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in part], pa.int64()), pa.array([bucket] * len(part), pa.int32()), pa.array([f[1] for f in part], pa.binary())], ["batch", "bucket", "bits"])
+
+    dealt = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "batch long, bucket int, bits binary").groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias(out))
+
+
+def settle_probes(held: list[dict]) -> list[np.ndarray]:
+    """Which hashes of each row are indexed somewhere and stand in two places or more."""
+    hashes = [np.frombuffer(r["hashes"], "<u4") for r in held]
+    sizes = [len(h) for h in hashes]
+    flags = [bits_of(r["flags"], 2 * n) for r, n in zip(held, sizes, strict=True)]
+    whole = np.concatenate(hashes)
+    order = np.argsort(whole, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(whole[order]) != 0])
+    count = np.diff(np.r_[first, len(whole)])
+    indexed, many = (np.logical_or.reduceat(np.concatenate([f[k * n : (k + 1) * n] for f, n in zip(flags, sizes, strict=True)])[order], first) for k in (0, 1))
+    out = np.empty(len(whole), bool)
+    out[order] = np.repeat(indexed & (many | (count > 1)), count)
+    return np.split(out, np.cumsum(sizes)[:-1])
+
+
+def repeated_windows(words: np.ndarray, at: np.ndarray, window: int, hashed: Callable[..., np.ndarray] = rolling) -> np.ndarray:
+    """Whether the window at each place has the same words (numbers) as another one."""
+    h = hashed(words.astype(np.uint64), window)[at]
+    order = np.argsort(h, kind="stable")
+    h, at = h[order], at[order]
+    same = h[1:] == h[:-1]
+    pair = np.flatnonzero(same)
+    equal = np.ones(len(pair), bool)
+    for k in range(window):
+        equal &= words[at[pair] + k] == words[at[pair + 1] + k]
+    again = np.zeros(len(at), bool)
+    again[pair[equal]] = again[pair[equal] + 1] = True
+    if not equal.all():  # other words with an equal hash: compare all windows of such a hash
+        group = np.cumsum(np.r_[0, ~same])
+        mine = np.flatnonzero(np.isin(group, group[pair[~equal]]))
+        _, which, counts = np.unique(words[at[mine][:, None] + np.arange(window)], axis=0, return_inverse=True, return_counts=True)
+        again[mine] = counts[which] > 1
+    out = np.empty(len(at), bool)
+    out[order] = again
+    return out
+
+
+def settle_windows(held: list[dict], window: int) -> list[np.ndarray]:
+    """Which windows of each row's stretches stand in two places or more, stretch after stretch. Words are compared."""
+    known: dict[bytes, int] = {}
+    numbers, counts = [], []
+    for r in held:
+        mine = np.array([known.setdefault(x, len(known)) for x in zstandard.decompress(r["texts"]).split(b"\n")], np.int64)
+        numbers.append(mine)
+        counts.append(1 + bits_of(r["many"], len(mine)))
+    times = np.bincount(np.concatenate(numbers), np.concatenate(counts), len(known))
+    vocabulary: dict[bytes, int] = {}
+    lines = [x.split() for x in known]
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    words = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for line in lines for w in line), np.int32, sizes.sum())
+    del lines, known
+    begins = np.cumsum(sizes) - sizes
+    many = sizes - window + 1
+    ends = np.cumsum(many)
+    at = np.arange(ends[-1]) + np.repeat(begins - ends + many, many)
+    again = repeated_windows(words, at, window) | np.repeat(times > 1, many)
+    out = []
+    for mine in numbers:
+        n = many[mine]
+        out.append(again[np.arange(n.sum()) + np.repeat(ends[mine] - many[mine] - np.cumsum(n) + n, n)])
+    return out
+
+
+def drop_repeats(df: DataFrame, text: str = "text", window: int = 35, bucket_bytes: int = BUCKET_BYTES, kept: str = "kept_text") -> DataFrame:
+    """df with n_words, n_removed and ``kept``, the words that stay joined by one space."""
+    workers_import(df.sparkSession)
+    packed = materialize(pack(df, text), "packed")
+    buckets = max(LEAST_BUCKETS, -(-(packed.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes))
+    cache = WordHashes()
 
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Batch]]:
         for batch in batches:
-            k1, k2, at = [], [], []
             for i in range(batch.num_rows):
-
-                def raw(column: str, t, i=i, batch=batch) -> np.ndarray:
-                    found = batch.column(column)[i].as_buffer()
-                    return np.frombuffer(found, t) if len(found) else np.empty(0, t)
-
-                if (b := batch.column("bucket")[i].as_py()) != bucket:
-                    bucket, parts, size, table = b, [], 0, None
-                hashes = raw("hashes", kind)
-                if batch.column("kind")[i].as_py() == 0:
-                    parts.append((hashes, raw("counts", np.uint8).astype(bool)))
-                    size += len(hashes)
-                    if size > 1 << 22:  # fold, and again after as many more
-                        parts, size = [build()], 0
-                    continue
-                if table is None:
-                    table, parts = build(), []
-                found = _find(table[0], hashes)
-                counts = raw("counts", "<u4").astype(np.int64)
-                ends = np.cumsum(counts)
-                total = positions([zstandard.decompress(batch.column("pos")[i].as_py())])
-                pos = total - np.repeat(np.r_[0, total[ends[:-1] - 1]], counts)
-                hit = found >= 0
-                hit[hit] = table[1][found[hit]] | ((pos[hit] % block != 0) if block else False)
-                if not hit.any():
-                    continue
-                keys = raw("docs", "<i8").reshape(-1, 2)
-                places = np.flatnonzero(hit)
-                owner = np.searchsorted(ends, places, side="right")
-                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                gaps, stops = gap_bytes(pos[places], first)
-                raw_gaps, begin = gaps.tobytes(), 0
-                for mine, stop in zip(keys[owner[first]].tolist(), stops[np.r_[first[1:], len(owner)] - 1].tolist(), strict=True):
-                    k1.append(mine[0])
-                    k2.append(mine[1])
-                    at.append(raw_gaps[begin:stop])
-                    begin = stop
-            if k1:
-                yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.binary())], ["k1", "k2", "at"])
-
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "kind")
-    found = dealt.mapInArrow(run, "k1 long, k2 long, at binary")
-    return found.groupBy("k1", "k2").agg(F.collect_set("at").alias("at"))
-
-
-def _spread(lists, n: int, before: int, after: int) -> np.ndarray:
-    """True at every place from p - before to p + after, for each p of the packed lists."""
-    at = positions(lists)
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.clip(at - before, 0, n), 1)
-    np.add.at(edge, np.clip(at + after + 1, 0, n), -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def repeats(df: DataFrame, text: str = "text", window: int = 35, buckets: int | None = None) -> DataFrame:
-    """Columns rest (struct of df's other columns), text (compressed), and at: packed starts of all repeated windows."""
-    spark = df.sparkSession
-    ready(spark)
-    block = (window + 1) // 2
-    buckets = buckets or max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    rest = [F.col(f"`{c}`") for c in df.columns if c != text]
-    docs = df.select(
-        F.xxhash64(*hashed).alias("k1"), F.xxhash64(F.lit("second"), *hashed).alias("k2"),
-        F.col(f"`{text}`").alias("text"), (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("rest"),
-    )
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows, words, starts in documents(batches, window):
-            h = rolling(words, block, FIRST)
-            doc = np.repeat(np.arange(len(rows)), np.diff(starts))[: len(h)]
-            pos = np.arange(len(h)) - starts[doc]
-            whole = pos + block <= np.diff(starts)[doc]
-            h, doc, pos = h[whole], doc[whole], pos[whole]
-            bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-            yield as_batch(list(pack(bucket.astype(np.int64), h.astype("<u4"), doc, pos, _keys(batch, rows), pos % block == 0)))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows, words, starts in documents(batches, window):
-            a, b = rolling(words, window, FIRST), rolling(words, window, SECOND)
-            sizes = np.diff(starts)
-            wanted = np.zeros(len(words), bool)
-            at = batch.column("at")
-            for k, i in enumerate(rows):
-                n = sizes[k] - window + 1
-                wanted[starts[k] : starts[k] + n] = _spread(at[int(i)].as_py(), int(sizes[k]), window - block, 0)[:n]
-            place = np.flatnonzero(wanted[: len(a)])
-            if not len(place):
-                continue
-            doc = np.searchsorted(starts, place, side="right") - 1
-            a, b = a[place], b[place]
-            yield as_batch(list(pack((b % np.uint64(buckets)).astype(np.int64), a, doc, place - starts[doc], _keys(batch, rows), np.ones(len(place), bool))))
-
-    found = reply(docs.select("k1", "k2", "text").mapInArrow(anchors, PACKED), block, "<u4")
-    # both joins deal docs by the same keys and columns, so texts are shuffled once; keys are unique but for equal rows
-    packed = compressed(docs)
-    probed = packed.join(found.hint("shuffle_hash"), ["k1", "k2"]).select("at", *packed.columns)
-    spans = reply(probed.mapInArrow(windows, PACKED), None, "<u8")
-    return packed.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("rest", "text", "at")
-
-
-def drop_repeats(df: DataFrame, text: str = "text", window: int = 35, buckets: int | None = None, kept: str = "kept_text") -> DataFrame:
-    """df with n_words, n_removed and ``kept``, the words that stay joined by one space."""
-    found = repeats(df, text, window, buckets)
-
-    def work(texts: pa.Array, at: pa.Array) -> list[pa.Array]:
-        plain, n_words, n_removed, out = [], [], [], []
-        for t, a in zip(texts, at, strict=True):
-            raw = expand(t.as_py())
-            plain.append(raw.decode() if t.is_valid else None)
-            words = raw.split()
-            gone = 0
-            if a.is_valid and words:
-                drop = _spread(a.as_py(), len(words), 0, window - 1)
-                gone = int(drop.sum())
-                words_kept = [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
-            else:
-                words_kept = words
-            n_words.append(len(words))
-            n_removed.append(gone)
-            out.append(b" ".join(words_kept).decode())
-        return [pa.array(plain, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())]
-
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(kept, T.StringType())]
-    out = append(found, ["text", "at"], [T.StructField("text", T.StringType()), *fields], lambda: work, drop=("at",))
-    new = {f.name.lower() for f in fields}
-    return out.select(*((F.col("text") if c == text else F.col(f"rest.`{c}`")).alias(c) for c in df.columns if c.lower() not in new), *(f.name for f in fields))
+                yield batch, i, Batch(batch.column("sizes")[i].as_py(), batch.column("texts")[i].as_py(), cache, window, buckets)
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, b in unpacked(batches):
+            at, known, number, counts = b.probes()
+            indexed = np.zeros(len(known), bool)
+            indexed[number[b.place[at] % b.block == 0]] = True
+            names, edges = b.cuts(known)
+            low = known.astype("<u4")
+            spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+            flags = [np.packbits(np.r_[indexed[x:y], counts[x:y] > 1]).tobytes() for x, y in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([batch.column("batch")[i].as_py()] * len(names), pa.int64()), pa.array([low[x:y].tobytes() for x, y in spans], pa.binary()), pa.array(flags, pa.binary())], ["bucket", "batch", "hashes", "flags"])
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch, i, b in unpacked(batches):
+            _, _, numbers, texts, order, bucket = b.windows(batch.column("anchors")[i].as_py())
+            many = np.bincount(numbers, minlength=len(texts)) > 1
+            parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+            words = [packer.compress(b"\n".join([texts[k] for k in p.tolist()])) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([batch.column("batch")[i].as_py()] * len(parts), pa.int64()), pa.array([np.packbits(many[p]).tobytes() for p in parts], pa.binary()), pa.array(words, pa.binary())], ["bucket", "batch", "many", "texts"])
+
+    anchors = materialize(answers(packed.select("batch", "sizes", "texts").mapInArrow(probes, "bucket int, batch long, hashes binary, flags binary"), buckets, settle_probes, "anchors"), "anchors")
+    dealt = packed.repartition(buckets, "batch")
+    anchored = dealt.join(anchors.repartition(buckets, "batch").hint("shuffle_hash"), "batch")
+    spans = answers(anchored.select("batch", "sizes", "texts", "anchors").mapInArrow(stretches, "bucket int, batch long, many binary, texts binary"), buckets, lambda held: settle_windows(held, window), "spans")
+    found = dealt.join(anchors.repartition(buckets, "batch").hint("shuffle_hash"), "batch", "left").join(spans.repartition(buckets, "batch").hint("shuffle_hash"), "batch", "left")
+
+    new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(kept, T.StringType())]
+    names = {f.name.lower() for f in new}
+    stay = [f for f in df.schema.fields if f.name.lower() not in names]
+
+    def gone(b: Batch, anchored: list, answered: list) -> np.ndarray:
+        """Whether each word of a batch goes."""
+        first, count, numbers, texts, order, bucket = b.windows(anchored)
+        many = np.zeros(len(texts), np.int64)
+        many[numbers] = count
+        offset = np.zeros(len(texts), np.int64)  # of a distinct stretch's windows, in the order of the answers
+        offset[order] = np.cumsum(many[order]) - many[order]
+        again = np.zeros(int(many.sum()), bool)
+        runs = bucket[order]
+        for a in answered:
+            x, y = np.searchsorted(runs, a["bucket"], "left"), np.searchsorted(runs, a["bucket"], "right")
+            start, size = offset[order[x]], int(many[order[x:y]].sum())
+            again[start : start + size] = bits_of(a["bits"], size)
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        starts = (np.repeat(first, count) + step)[again[np.repeat(offset[numbers], count) + step]]
+        edge = np.zeros(len(b.words) + 1, np.int64)
+        edge[starts] += 1
+        edge[starts + window] -= 1
+        return np.cumsum(edge[:-1]) > 0
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, b in unpacked(batches):
+            anchored, answered = (batch.column(c)[i].as_py() for c in ("anchors", "spans"))
+            drop = gone(b, anchored, answered) if anchored and answered else np.zeros(len(b.words), bool)
+            removed = np.diff(np.r_[0, np.cumsum(drop)][b.starts])
+            keep = (~drop).tolist()
+            edges = b.starts.tolist()
+            texts = [b" ".join(compress(b.words[x:y], keep[x:y])).decode() for x, y in zip(edges[:-1], edges[1:], strict=True)]
+            rest = batch.column("rest")[i].values
+            plain = pa.array([None if t is None else t.decode() for t in b.texts], pa.string())
+            columns = [plain if f.name == text else rest.field(f.name) for f in stay]
+            whole = pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(b.starts)), pa.array(removed), pa.array(texts, pa.string())], [*(f.name for f in stay), *(f.name for f in new)])
+            for k in range(0, whole.num_rows, 512):
+                yield whole.slice(k, 512)
+
+    return found.select("sizes", "texts", "rest", "anchors", "spans").mapInArrow(finish, T.StructType([*stay, *new]))

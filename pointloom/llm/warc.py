@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import fresh_folder, materialize, ready
+from pointloom.llm.common import fresh_folder, materialize, qualified, workers_import
 
 MAGIC = 0x184D2A5D
 ARCHIVE_BYTES = 64 << 20
@@ -152,8 +152,8 @@ def read_archive(source) -> Iterator[bytes]:
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write pages as archives below folder; returns the manifest (path, records, bytes)."""
-    spark = pages.sparkSession
-    ready(spark)
+    target = qualified(pages.sparkSession, folder)
+    workers_import(pages.sparkSession)
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
     rows = rows.withColumn("content", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
     copies = rows.groupBy("content").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
@@ -161,7 +161,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     rows = rows.join(copies, "content", "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, base = fs.FileSystem.from_uri(target)
         store.create_dir(base, recursive=True)
         writer = sink = temporary = None
         held: list[bytes] = []
@@ -209,6 +209,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
 def read_archives(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
     """Records of the archives that the manifest names; payload: with the bytes of responses."""
+    target = qualified(manifest.sparkSession, folder)
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payload]
     schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * payload
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
@@ -217,7 +218,7 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = False) -> Da
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=False)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, _ = fs.FileSystem.from_uri(target)
         for got in batches:
             for path, records in zip(got.column("path").to_pylist(), got.column("records").to_pylist(), strict=True):
                 seen, rows = 0, []

@@ -99,13 +99,14 @@ def test_line_dedup(spark):
 
 
 def test_line_dedup_large_site(spark):
-    """With the ratio of the queries: a line on 3 % of a large site's pages goes, one on 0.5 % and one on few pages of a small site stay."""
+    """With the ratio of the queries: a line on 3 % of a large site's pages goes, one on 0.5 % stays; a small site needs no number of pages."""
     rows = [(i, "big", "\n".join([f"own {i}", *(["foot"] if i % 100 < 3 else []), *(["said again"] if i % 200 == 7 else [])])) for i in range(2000)]
     rows += [(2000 + i, "small", f"own {i}\nfoot" if i < 4 else f"own {i}") for i in range(40)]
-    out = lines.drop_site_lines(frame(spark, rows, "doc_id long, source string, text string"), "source", "text", queries.MAX_RATIO, queries.MIN_PAGES, removed="n")
+    rows += [(3000 + i, "four", f"foot\nown {i}") for i in range(4)] + [(4000, "one", "foot\nown")]
+    out = lines.drop_site_lines(frame(spark, rows, "doc_id long, source string, text string"), "source", "text", queries.MAX_RATIO, removed="n")
     got = {r.doc_id: (r.text, r.n) for r in out.collect()}
-    want = {i: (text.replace("\nfoot", ""), text.count("\nfoot")) if site == "big" else (text, 0) for i, site, text in rows}
-    assert got == want and sum(n for _, n in got.values()) == 60
+    want = {i: (text, 0) if site == "one" else ("\n".join(x for x in text.split("\n") if x != "foot"), text.split("\n").count("foot")) for i, site, text in rows}
+    assert got == want and sum(n for _, n in got.values()) == 68
 
 
 # ---- SimHash

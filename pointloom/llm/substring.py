@@ -20,11 +20,9 @@ other; extra columns stay; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,15 +37,13 @@ BATCH_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
 #: Buckets of the smallest corpora, so that no core is idle.
 LEAST_BUCKETS = 8
+#: Bits of a block's hash: the upper ones choose its bucket, the lower 32 tell it from others there.
+KEY_BITS = 43
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
+#: For each byte: whether it parts words.
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -81,52 +77,97 @@ def bits_of(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
+def powers(n: int, known: list[np.ndarray] = [np.empty(0, np.uint64)] * 2) -> list[np.ndarray]:  # noqa: B006
+    """The first n powers of a multiplier modulo 2**64 and of its inverse, kept for the next batch."""
+    if len(known[0]) < n:
+        for k, base in enumerate((SECOND, pow(SECOND, -1, 1 << 64))):
+            known[k] = np.full(n, base, np.uint64)
+            known[k][:1] = 1
+            np.cumprod(known[k], out=known[k])
+    return [p[:n] for p in known]
+
+
+def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word raw[begin:end]: a polynomial of its bytes modulo 2**64, from sums over all bytes."""
+    up, down = powers(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(up * (raw + np.uint8(1)), out=total[1:])  # no byte of UTF-8 is 255
+    return mixed((total[end] - total[begin]) * down[begin])
+
+
+def ordered(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of keys below 2**bits, and the keys in it. Places share a number with the keys where they fit."""
+    low = max(1, (len(keys) - 1).bit_length())
+    if bits + low > 64:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    both = np.sort(keys << np.uint64(low) | np.arange(len(keys), dtype=np.uint64))
+    return (both & np.uint64((1 << low) - 1)).astype(np.int64), both >> np.uint64(low)
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin, and how long they are."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return first, np.diff(np.r_[first, len(keys)])
+
+
 class Batch:
-    """Words of the documents packed in one row, and what is computed from them alike in each step."""
+    """Words of the documents packed in one row, and what is computed from them alike in each step.
+
+    plain has all words, a space after each; word k is plain[begins[k] : begins[k + 1] - 1].
+    """
 
-    def __init__(self, sizes: bytes, texts: bytes, cache: WordHashes, window: int, buckets: int):
-        raw, at = zstandard.decompress(texts), 0
+    def __init__(self, sizes: bytes, texts: bytes, window: int, buckets: int):
+        self.raw = zstandard.decompress(texts)
         self.window, self.block, self.buckets = window, (window + 1) // 2, buckets
-        self.texts: list[bytes | None] = []
-        self.words: list[bytes] = []
-        starts = [0]
-        for n in np.frombuffer(sizes, "<i8").tolist():
-            self.texts.append(raw[at : at + n] if n >= 0 else None)
-            at += max(n, 0)
-            if n > 0:
-                self.words += self.texts[-1].split()
-            starts.append(len(self.words))
-        self.starts = np.array(starts)
-        n = len(self.words)
-        self.hashes = np.fromiter(map(cache.__getitem__, self.words), np.uint64, n)
+        self.sizes = np.frombuffer(sizes, "<i8")
+        ends = np.cumsum(np.maximum(self.sizes, 0) + 1)  # a text ends in a line break of its own
+        raw = np.frombuffer(self.raw, np.uint8)
+        blank = BLANK[raw]
+        before, after = np.r_[True, blank[:-1]], np.r_[blank[1:], True]
+        begin, end = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
+        self.hashes = word_hashes(raw, begin, end)
+        self.plain = np.where(blank, np.uint8(0x20), raw)[~blank | ~before]
+        self.begins = np.r_[0, np.cumsum(end - begin + 1)]
+        self.starts = np.r_[0, np.searchsorted(begin, ends)]
+        self.ends = ends - 1
+        n = len(begin)
         doc = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
         self.place = np.arange(n) - self.starts[doc]
         self.left = self.starts[doc + 1] - np.arange(n)
         self.long = (np.diff(self.starts) >= window)[doc]
 
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def texts(self) -> list[str | None]:
+        return [None if n < 0 else self.raw[e - n : e].decode() for n, e in zip(self.sizes.tolist(), self.ends.tolist(), strict=True)]
+
     def probes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places of rolling blocks in documents of a window or more, their distinct hashes, numbers of these, counts."""
+        """Places of rolling blocks in documents of a window or more, in the order of their hashes; the distinct hashes
+        (KEY_BITS bits), where each one's run begins, and how long it is."""
         at = np.flatnonzero(self.long & (self.left >= self.block))
-        known, number, counts = np.unique(rolling(self.hashes, self.block)[at], return_inverse=True, return_counts=True)
-        return at, known, number, counts
+        order, keys = ordered(rolling(self.hashes, self.block)[at] >> np.uint64(64 - KEY_BITS), KEY_BITS)
+        first, counts = runs(keys)
+        return at[order], keys[first], first, counts
 
     def cuts(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of ascending hashes, and where each bucket's run begins and the last ends."""
-        bucket = ((known >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+        bucket = ((known >> np.uint64(KEY_BITS - 32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+        first, _ = runs(bucket)
         return bucket[first], np.r_[first, len(bucket)]
 
     def windows(self, anchored: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
         """Stretches of windows around anchors: first window, number of windows, number among distinct ones; the distinct
         ones as words joined by spaces, their order by bucket, and their buckets. anchored: (bucket, bits) of the answers."""
-        at, known, number, _ = self.probes()
+        at, known, _, counts = self.probes()
         names, edges = self.cuts(known)
         hot = np.zeros(len(known), bool)
         for a in anchored:
             k = int(np.searchsorted(names, a["bucket"]))
             hot[edges[k] : edges[k + 1]] = bits_of(a["bits"], edges[k + 1] - edges[k])
-        mine = at[hot[number]]
-        edge = np.bincount(np.maximum(mine - (self.window - self.block), mine - self.place[mine]), minlength=len(self.words) + 1)
+        mine = at[np.repeat(hot, counts)]
+        edge = np.bincount(np.maximum(mine - (self.window - self.block), mine - self.place[mine]), minlength=len(self) + 1)
         edge[mine + 1] -= 1
         wanted = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (self.left >= self.window))
         few = max(1, self.window // 4)
@@ -134,11 +175,9 @@ class Batch:
         new = np.r_[True, (np.diff(wanted) > 1) | (self.place[wanted[1:]] == 0) | (least[1:] != least[:-1])] if len(wanted) else np.empty(0, bool)
         begin = np.flatnonzero(new)
         first, count = wanted[begin], np.diff(np.r_[begin, len(wanted)])
-        joined = b" ".join(self.words)
-        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1)
-        begins = np.r_[0, ends]
+        plain = self.plain.tobytes()
         distinct: dict[bytes, int] = {}
-        numbers = np.array([distinct.setdefault(joined[a:b], len(distinct)) for a, b in zip(begins[first].tolist(), (ends[first + count + self.window - 2] - 1).tolist(), strict=True)], np.int64)
+        numbers = np.array([distinct.setdefault(plain[a:b], len(distinct)) for a, b in zip(self.begins[first].tolist(), (self.begins[first + count + self.window - 1] - 1).tolist(), strict=True)], np.int64)
         key = np.empty(len(distinct), np.uint64)
         key[numbers] = least[begin]
         bucket = ((key & np.uint64(0xFFFFFFFF)) % np.uint64(self.buckets)).astype(np.int64)
@@ -146,7 +185,8 @@ class Batch:
 
 
 def pack(df: DataFrame, text: str) -> DataFrame:
-    """Batches: batch, bytes, sizes (-1: null) and the compressed texts of its documents, and their other columns in rest."""
+    """Batches: batch, bytes, sizes (-1: null) and the compressed texts of its documents, a line break after each, and their
+    other columns in rest."""
     others = [F.col(f"`{c}`") for c in df.columns if c != text] or [F.lit(0).alias("none")]
     rows = df.select(F.struct(*others).alias("rest"), F.col(f"`{text}`").alias("text"))
     schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("sizes", T.BinaryType()), T.StructField("texts", T.BinaryType()), T.StructField("rest", T.ArrayType(rows.schema["rest"].dataType))])
@@ -160,7 +200,7 @@ def pack(df: DataFrame, text: str) -> DataFrame:
 
         def full() -> pa.RecordBatch:
             rest = pa.concat_arrays(parts)
-            columns = [pa.array([number], pa.int64()), pa.array([total], pa.int64()), pa.array([np.array(sizes, "<i8").tobytes()]), pa.array([packer.compress(b"".join(raws))]), pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest)]
+            columns = [pa.array([number], pa.int64()), pa.array([total], pa.int64()), pa.array([np.array(sizes, "<i8").tobytes()]), pa.array([packer.compress(b"\n".join([*raws, b""]))]), pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest)]
             return pa.RecordBatch.from_arrays(columns, schema.names)
 
         for batch in batches:
@@ -215,9 +255,8 @@ def settle_probes(held: list[dict]) -> list[np.ndarray]:
     sizes = [len(h) for h in hashes]
     flags = [bits_of(r["flags"], 2 * n) for r, n in zip(held, sizes, strict=True)]
     whole = np.concatenate(hashes)
-    order = np.argsort(whole, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(whole[order]) != 0])
-    count = np.diff(np.r_[first, len(whole)])
+    order, keys = ordered(whole.astype(np.uint64), 32)
+    first, count = runs(keys)
     indexed, many = (np.logical_or.reduceat(np.concatenate([f[k * n : (k + 1) * n] for f, n in zip(flags, sizes, strict=True)])[order], first) for k in (0, 1))
     out = np.empty(len(whole), bool)
     out[order] = np.repeat(indexed & (many | (count > 1)), count)
@@ -226,9 +265,9 @@ def settle_probes(held: list[dict]) -> list[np.ndarray]:
 
 def repeated_windows(words: np.ndarray, at: np.ndarray, window: int, hashed: Callable[..., np.ndarray] = rolling) -> np.ndarray:
     """Whether the window at each place has the same words (numbers) as another one."""
-    h = hashed(words.astype(np.uint64), window)[at]
-    order = np.argsort(h, kind="stable")
-    h, at = h[order], at[order]
+    spare = max(1, (len(at) - 1).bit_length())
+    order, h = ordered(hashed(words.astype(np.uint64), window)[at] >> np.uint64(spare), 64 - spare)
+    at = at[order]
     same = h[1:] == h[:-1]
     pair = np.flatnonzero(same)
     equal = np.ones(len(pair), bool)
@@ -277,20 +316,18 @@ def drop_repeats(df: DataFrame, text: str = "text", window: int = 35, bucket_byt
     workers_import(df.sparkSession)
     packed = materialize(pack(df, text), "packed")
     buckets = max(LEAST_BUCKETS, -(-(packed.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes))
-    cache = WordHashes()
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Batch]]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield batch, i, Batch(batch.column("sizes")[i].as_py(), batch.column("texts")[i].as_py(), cache, window, buckets)
+                yield batch, i, Batch(batch.column("sizes")[i].as_py(), batch.column("texts")[i].as_py(), window, buckets)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, b in unpacked(batches):
-            at, known, number, counts = b.probes()
-            indexed = np.zeros(len(known), bool)
-            indexed[number[b.place[at] % b.block == 0]] = True
+            at, known, first, counts = b.probes()
+            indexed = np.logical_or.reduceat(b.place[at] % b.block == 0, first) if len(first) else np.empty(0, bool)
             names, edges = b.cuts(known)
-            low = known.astype("<u4")
+            low = known.astype("<u4")  # the bucket tells the rest
             spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
             flags = [np.packbits(np.r_[indexed[x:y], counts[x:y] > 1]).tobytes() for x, y in spans]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([batch.column("batch")[i].as_py()] * len(names), pa.int64()), pa.array([low[x:y].tobytes() for x, y in spans], pa.binary()), pa.array(flags, pa.binary())], ["bucket", "batch", "hashes", "flags"])
@@ -329,7 +366,7 @@ def drop_repeats(df: DataFrame, text: str = "text", window: int = 35, bucket_byt
             again[start : start + size] = bits_of(a["bits"], size)
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         starts = (np.repeat(first, count) + step)[again[np.repeat(offset[numbers], count) + step]]
-        edge = np.zeros(len(b.words) + 1, np.int64)
+        edge = np.zeros(len(b) + 1, np.int64)
         edge[starts] += 1
         edge[starts + window] -= 1
         return np.cumsum(edge[:-1]) > 0
@@ -337,13 +374,14 @@ def drop_repeats(df: DataFrame, text: str = "text", window: int = 35, bucket_byt
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, b in unpacked(batches):
             anchored, answered = (batch.column(c)[i].as_py() for c in ("anchors", "spans"))
-            drop = gone(b, anchored, answered) if anchored and answered else np.zeros(len(b.words), bool)
+            drop = gone(b, anchored, answered) if anchored and answered else np.zeros(len(b), bool)
             removed = np.diff(np.r_[0, np.cumsum(drop)][b.starts])
-            keep = (~drop).tolist()
-            edges = b.starts.tolist()
-            texts = [b" ".join(compress(b.words[x:y], keep[x:y])).decode() for x, y in zip(edges[:-1], edges[1:], strict=True)]
+            wide = np.diff(b.begins) * ~drop
+            rest_bytes = b.plain[np.repeat(~drop, np.diff(b.begins))].tobytes()
+            edges = np.r_[0, np.cumsum(wide)][b.starts].tolist()
+            texts = [rest_bytes[x : max(x, y - 1)].decode() for x, y in zip(edges[:-1], edges[1:], strict=True)]
             rest = batch.column("rest")[i].values
-            plain = pa.array([None if t is None else t.decode() for t in b.texts], pa.string())
+            plain = pa.array(b.texts(), pa.string())
             columns = [plain if f.name == text else rest.field(f.name) for f in stay]
             whole = pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(b.starts)), pa.array(removed), pa.array(texts, pa.string())], [*(f.name for f in stay), *(f.name for f in new)])
             for k in range(0, whole.num_rows, 512):

@@ -96,8 +96,8 @@ def learn(docs: DataFrame, per_language: int = 2000, doc_id: str = "doc_id", tex
     return out
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs with lang_pred and score; no shuffle."""
+def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", drop: tuple[str, ...] = (), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (names: out); no shuffle."""
 
     def make():
         names = sorted(profiles)
@@ -121,9 +121,9 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
             return names[best], float(1 - (TOP * len(top) - nearer[best]) / (TOP * len(top)))
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            out = [one(t.as_py()) for t in texts]
-            return [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
+            found = [one(t.as_py()) for t in texts]
+            return [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
 
         return work
 
-    return append(docs, [text], [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make, drop=drop)
+    return append(docs, [text], [T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())], make, drop=drop)

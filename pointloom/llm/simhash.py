@@ -10,7 +10,8 @@ A task returns a spanning forest of the links it finds, never all pairs of a den
 in one component are not walked further. Equal fingerprints are one class before the join.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; a component is named by its
-smallest doc_id, null ids apart (null when all are null); repeated rows share their class; extra columns stay.
+smallest doc_id, null ids apart (null when all are null); repeated rows share their class; extra columns stay; of a group
+one row stays, whatever its rows repeat (``keep_one_per_group``).
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm.common import append, materialize, workers_import
+from pointloom.llm.common import append, materialize, new_name, workers_import
 from pointloom.llm.graph import components
 
 SEED = 42
+#: A fingerprint is hot when more than one row in HOT has it.
+HOT = 1000
 CHUNK = 1 << 18
 
 
@@ -197,17 +200,30 @@ def fingerprint_links(classes: DataFrame, max_bits: int = 3, blocks: int = 8) ->
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 3, shingle: int = 3) -> DataFrame:
-    """One row per input row: doc_id, fp (signed long) and component_id, the smallest doc_id reachable."""
-    rows = materialize(with_fingerprint(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), drop=("text",)), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def _named(rows: DataFrame, max_bits: int) -> DataFrame:
+    """rows (fp, doc_id and others) with component_id.
+
+    Every row looks its fingerprint up. A fingerprint of more than 1 in HOT rows would send all of these to one task; there
+    are fewer than HOT such fingerprints, whatever the data, so they are broadcast, and only the others are dealt out.
+    """
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     links = materialize(fingerprint_links(classes.select("fp"), max_bits), "fingerprint-links")
     member = components(links)
     linked = member.join(classes.withColumnRenamed("fp", "node"), "node")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    ids = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
+    ids = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    ids = materialize(ids, "components")
+    total = rows.count()
+    hot = ids.filter(F.col("n") * HOT > total).select("fp", "component_id")
+    cold = ids.filter(F.col("n") * HOT <= total).select("fp", "component_id")
+    return rows.join(F.broadcast(hot), "fp").unionByName(rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp"))
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 3, shingle: int = 3) -> DataFrame:
+    """One row per input row: doc_id, fp (signed long) and component_id, the smallest doc_id reachable."""
+    rows = with_fingerprint(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), shingle=shingle, drop=("text",))
+    return _named(materialize(rows, "fingerprints"), max_bits).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: str) -> F.Column:
@@ -216,7 +232,17 @@ def hex16(fp: str) -> F.Column:
 
 
 def keep_one_per_group(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 3, shingle: int = 3) -> DataFrame:
-    """Rows of df whose doc_id names their group. Rows with a null doc_id stay: no id says which of them to drop."""
-    groups = near_duplicates(df, doc_id, text, max_bits, shingle)
-    dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return df.join(dropped, doc_id, "left_anti")
+    """One row of df for each component: that with the smallest doc_id, null ids last, and of rows that repeat it the first.
+
+    Rows are decided one by one, so two texts of one id are not confused, and repeated rows and rows without an id are
+    copies like any other. df is written with its fingerprints and a number for each row; only these meet in shuffles until
+    the numbers of the rows that go are joined back.
+    """
+    fp, row = new_name(df, "_fp"), new_name(df, "_row")
+    whole = materialize(with_fingerprint(df, text, fp, shingle).withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
+    rows = whole.select(F.col(fp).alias("fp"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(row).alias("row"))
+    # components are named by the row that stays: the order of rows is that of (no id, id, row)
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    named = _named(rows.select("fp", best.alias("doc_id"), "row"), max_bits)
+    gone = named.filter(F.col("component_id.row") != F.col("row")).select(F.col("row").alias(row))
+    return whole.join(gone, row, "left_anti").select(*(f"`{c}`" for c in df.columns))

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of documents; the last one
 returns token ids. Decisions are made on the stage's own input.
+
+Defined results, stage by stage: columns beyond those of documents stay, whatever their names (the last stage returns its
+own); an empty table stays empty; repeated rows are decided each for itself until near-duplicates leave one of them.
+Documents with a null or letterless text have no language and go in the first stage; a null lang or source is a level
+named '' in the mix, and pages without a source have no site whose lines could repeat.
 """
 
 from __future__ import annotations
@@ -16,10 +21,10 @@ LEAST_SCORE = 0.1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognised language; profiles are learned from the labelled ones."""
-    names = docs.columns
-    known = langid.predict(docs, langid.learn(docs))
-    return known.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(names)
+    """Drop documents without a recognised language; profiles are learned from the labelled ones. Without any, all go."""
+    told, score = (common.new_name(docs, f"_{c}") for c in ("told", "score"))
+    known = langid.predict(docs, langid.learn(docs), out=(told, score))
+    return known.filter((F.col(told) != "und") & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,15 +34,16 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
+    """One document of each group of near copies stays, that with the smallest id; documents without an id come last."""
     return simhash.keep_one_per_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the target weights; one that is taken for several epochs has as many rows."""
-    out = mixing.mix(docs, queries.tree(), mixing.word_count(F.col("text")), queries.WEIGHTS, queries.SHARE, queries.MAX_EPOCHS, queries.SEED)
-    taken = out.filter("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return taken.select(docs.columns)
+    copies = common.new_name(docs, "_copies")
+    out = mixing.mix(docs, queries.tree(), mixing.word_count(F.col("text")), queries.WEIGHTS, queries.SHARE, queries.MAX_EPOCHS, queries.SEED, copies=copies)
+    one = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
+    return out.filter(F.col(copies) > 0).withColumn(copies, one).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +60,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Fingerprint components, learned profiles and BPE are beyond SQL; tests hold the stages against brute force.
+#: Fingerprint components, learned profiles and BPE are beyond SQL; tests/llm/test_pipeline.py holds the stages and the run against brute force.
 ORACLE_SQL = None
 
 

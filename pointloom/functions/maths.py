@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Matrix = list[list[Column]]
@@ -163,12 +163,15 @@ def flip_axes(r: Matrix) -> Matrix:
     return [[row[0], -row[1], -row[2], *row[3:]] for row in r]
 
 
-def resolution(width: Column, height: Column, setting: Column) -> tuple[Column, Column]:
-    """Pixels after scaling. 1, 2, 4, 8: a divisor, rounded half to even; -1: at most 1,600 wide; else the width."""
+def resolution(width: Column, height: Column, setting: Column, extra: float = 1.0) -> tuple[Column, Column]:
+    """Pixels after scaling. 1, 2, 4, 8: a divisor, rounded half to even; -1: at most 1,600 wide; else the width.
+
+    extra divides both sizes once more, as for pyramids of one scene.
+    """
     target = F.when(setting == -1, F.when(width > 1600, d(1600)).otherwise(width.cast("double"))).otherwise(setting.cast("double"))
-    factor = width / target
+    factor = width / target * extra
     fixed = setting.isin(1, 2, 4, 8)
-    sizes = [F.when(fixed, F.bround(x / setting.cast("double")).cast("int")).otherwise((x / factor).cast("int")) for x in (width, height)]
+    sizes = [F.when(fixed, F.bround(x / (extra * setting.cast("double"))).cast("int")).otherwise((x / factor).cast("int")) for x in (width, height)]
     return sizes[0], sizes[1]
 
 
@@ -195,10 +198,31 @@ def gaussian_window(size: int = 11, sigma: float = 1.5) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def adam(value: Column, grad: Column, m: Column, v: Column, step: int, rate: float, beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-15) -> tuple[Column, Column, Column]:
+def adam(value: Column, grad: Column, m: Column, v: Column, step: int | Column, rate: float | Column, beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-15) -> tuple[Column, Column, Column]:
     """Value and both moments after one step."""
     m, v = beta1 * m + (1 - beta1) * grad, beta2 * v + (1 - beta2) * grad * grad
-    return value - rate * (m / (1 - beta1**step)) / (F.sqrt(v / (1 - beta2**step)) + eps), m, v
+    left = [1 - F.pow(d(b), d(step)) for b in (beta1, beta2)]
+    return value - rate * (m / left[0]) / (F.sqrt(v / left[1]) + eps), m, v
+
+
+def adam_groups(rows: DataFrame, groups: dict[str, tuple[list[str], float | Column]], step: int | Column, visible: Column | None = None, beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-15) -> DataFrame:
+    """One optimizer step over groups of columns, each with its own rate: {name: (columns, rate)}.
+
+    Column c has its gradient in grad_c and its moments in m_c and v_c. Rows that are not visible keep values and moments.
+    A rate may be a Column, such as ``learning_rate``; step counts from 1.
+    """
+    new: dict[str, Column] = {}
+    for columns, rate in groups.values():
+        for c in columns:
+            value, m, v = adam(F.col(c), F.col(f"grad_{c}"), F.col(f"m_{c}"), F.col(f"v_{c}"), step, rate, beta1, beta2, eps)
+            for name, moved in ((c, value), (f"m_{c}", m), (f"v_{c}", v)):
+                new[name] = moved if visible is None else F.when(visible, moved).otherwise(F.col(name))
+    return rows.withColumns(new)
+
+
+def scalar_first(q: Column) -> Column:
+    """A quaternion given as array (x, y, z, w) in the order (w, x, y, z)."""
+    return F.array(F.get(q, F.lit(3)), *(F.get(q, F.lit(k)) for k in range(3)))
 
 
 def projected_covariance(cov: list[Column], view: Matrix, p: list[Column], fx: Column, fy: Column, low_pass: float) -> list[Column]:

@@ -50,3 +50,8 @@ def log_label(t: Column) -> Column:
 
 def renamed_keys(m: Column, old: str, new: str) -> Column:
     return F.transform_keys(m, lambda k, _: F.replace(k, F.lit(old), F.lit(new)))
+
+
+def run_id(key: Column, digits: int = 10) -> Column:
+    """A short name for a run, the same for the same key: the start of its digest."""
+    return F.substring(F.sha2(key.cast("string").cast("binary"), 256), 1, digits)

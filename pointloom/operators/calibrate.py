@@ -6,12 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.maths import d
+from pointloom.operators.views import global_index
+from pointloom.session import written
 
 
-def spread(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Exact median and mean absolute deviation about it, in two passes over groups."""
-    middle = rows.groupBy(*by).agg(F.median(value).alias(f"t_{name}"))
-    return rows.join(middle, by).groupBy(*by).agg(F.first(f"t_{name}").alias(f"t_{name}"), F.avg(F.abs(F.col(value) - F.col(f"t_{name}"))).alias(f"s_{name}"))
+def spread(rows: DataFrame, by: list[str], values: dict[str, str], valid: str, model: str) -> DataFrame:
+    """By group: exact medians t_NAME of valid values, mean absolute deviations s_NAME about them, n_valid, and _range of model.
+
+    Two passes, whatever the number of values: medians with counts, then deviations. values: column by name. A median's
+    buffer holds the distinct values of one group, the observations of one view.
+    """
+    ok = F.col(valid)
+    middles = [F.median(F.when(ok, F.col(c))).alias(f"t_{n}") for n, c in values.items()]
+    first = rows.groupBy(*by).agg(*middles, F.count_if(ok).alias("n_valid"), (F.max(model) - F.min(model)).alias("_range"))
+    away = [F.avg(F.when(ok, F.abs(F.col(c) - F.col(f"t_{n}")))).alias(f"s_{n}") for n, c in values.items()]
+    same = [F.first(c).alias(c) for c in first.columns if c not in by]
+    return rows.join(first, by).groupBy(*by).agg(*same, *away)
 
 
 def calibrate(rows: DataFrame, by: list[str], model: str, prior: str, valid: str, least: int = 10, least_range: float = 1e-3) -> DataFrame:
@@ -20,21 +30,28 @@ def calibrate(rows: DataFrame, by: list[str], model: str, prior: str, valid: str
     The range is that of all rows; medians, deviations and the count are those of valid ones. Groups without any valid
     row have 0, 0 as well.
     """
-    known = rows.filter(F.col(valid))
-    count = rows.groupBy(*by).agg(F.count_if(F.col(valid)).alias("n_valid"), (F.max(model) - F.min(model)).alias("_range"))
-    out = count.join(spread(known, by, model, "model"), by, "left").join(spread(known, by, prior, "prior"), by, "left")
+    out = spread(rows, by, {"model": model, "prior": prior}, valid, model)
     good = (F.col("n_valid") > least) & (F.col("_range") > least_range) & (F.col("s_prior") > 0)
     scale = F.when(good, F.col("s_model") / F.nullif("s_prior", d(0.0))).otherwise(d(0.0))
     out = out.withColumn("scale", scale)
     return out.select(*by, "n_valid", "scale", F.when(good, F.col("t_model") - F.col("t_prior") * F.col("scale")).otherwise(d(0.0)).alias("offset"))
 
 
+def overall_median(rows: DataFrame, value: str) -> DataFrame:
+    """One row: median, the exact median of all values that are not NULL, by their places in the order; no task has them all."""
+    placed = global_index(rows.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v")), ["_v"], "_at")
+    n = placed.agg(F.count("*").alias("_n"))  # one row
+    here = placed.crossJoin(F.broadcast(n)).filter(F.col("_at").isin(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))
+    return here.agg(F.avg("_v").alias("median"))
+
+
 def gate(params: DataFrame, low: float = 0.2, high: float = 5.0) -> DataFrame:
     """params with med_scale (median of positive scales, 0 without any) and reliable.
 
-    A NULL scale is reliable: nothing is known against it.
+    A NULL scale is reliable: nothing is known against it. params are written first, since they are read three times.
     """
-    middle = params.agg(F.coalesce(F.median(F.when(F.col("scale") > 0, F.col("scale"))), d(0.0)).alias("med_scale"))  # one row
+    params = written(params, "params")
+    middle = overall_median(params.filter("scale > 0"), "scale").select(F.coalesce("median", d(0.0)).alias("med_scale"))
     far = (F.col("scale") < low * F.col("med_scale")) | (F.col("scale") > high * F.col("med_scale"))
     return params.crossJoin(F.broadcast(middle)).withColumn("reliable", ~F.coalesce(far, F.lit(False)))
 

@@ -1,7 +1,8 @@
 """Adaptive density control of a table of splats.
 
 Rows have gid, position x y z, log scales s0 s1 s2, quaternion q0..q3 (w first), opacity before activation, and any
-other columns, which copies take over. New rows get ids from ``next_gid`` on, parent by parent. Columns named as optimizer
+other columns, which copies take over. New rows are numbered one by one in the order of their parents, from ``next_gid`` on
+or after the largest id there is, so ids stay unique and grow by the number of new rows only. Columns named as optimizer
 ``state`` start from 0 in new rows.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pointloom.functions.harmonics import from_rgb
 from pointloom.functions.maths import clamp, d, logit, rotation, safe_ratio, sigmoid
 from pointloom.operators.neighbours import mean_distance2
+from pointloom.operators.views import global_index
 
 SCALES = ["s0", "s1", "s2"]
 
@@ -37,21 +39,32 @@ def with_gradient(splats: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.withColumn("grad", grad).withColumn("max_radius", F.coalesce(F.col("max_radius").cast("double"), zero)).drop("grad_accum", "denom")
 
 
-def _fresh(rows: DataFrame, next_gid: Column | int, slots: int, slot: Column, state: Iterable[str] = ()) -> DataFrame:
-    """Ids for copies: next_gid + slots * parent + slot; unique, and the same whatever the partitioning."""
-    base = next_gid if isinstance(next_gid, Column) else F.lit(next_gid)
-    fresh = rows.withColumn("gid", (base + slots * F.col("gid") + slot).cast("long"))
-    return fresh.withColumns({c: d(0.0) for c in ("grad", "max_radius", *state)})
+def _fresh(rows: DataFrame, slot: Column, state: Iterable[str] = ()) -> DataFrame:
+    """Copies without a gradient or state; slot tells those of one parent apart."""
+    return rows.withColumn("_slot", slot).withColumns({c: d(0.0) for c in ("grad", "max_radius", *state)})
 
 
-def clones(rows: DataFrame, threshold: float, extent: float, dense: float = 0.01, next_gid: int = 1 << 40, state: Iterable[str] = ()) -> DataFrame:
-    """Copies of small splats with a large gradient."""
-    small = rows.filter((F.col("grad") >= threshold) & (largest_scale() <= dense * extent))
-    return _fresh(small, next_gid, 3, F.lit(0), state)
+def numbered(fresh: DataFrame, next_gid: int | DataFrame) -> DataFrame:
+    """New rows with ids of their own instead of their parents', from next_gid on, or after the largest id of a table.
+
+    The order is that of parents, so ids do not depend on the partitioning.
+    """
+    rows = global_index(fresh, ["gid", "_slot"], "_n").drop("_slot")
+    if isinstance(next_gid, DataFrame):
+        start = next_gid.agg((F.coalesce(F.max("gid"), F.lit(-1)) + 1).alias("_first"))  # one row
+        rows = rows.crossJoin(F.broadcast(start))
+    else:
+        rows = rows.withColumn("_first", F.lit(next_gid))
+    return rows.withColumn("gid", (F.col("_first") + F.col("_n")).cast("long")).drop("_first", "_n")
+
+
+def clones(rows: DataFrame, threshold: float, extent: float, dense: float = 0.01, state: Iterable[str] = ()) -> DataFrame:
+    """Copies of small splats with a large gradient, to be numbered."""
+    return _fresh(rows.filter((F.col("grad") >= threshold) & (largest_scale() <= dense * extent)), F.lit(0), state)
 
 
-def children(rows: DataFrame, noise: DataFrame | None, threshold: float, extent: float, dense: float = 0.01, next_gid: int = 1 << 40, seed: int = 0, state: Iterable[str] = ()) -> DataFrame:
-    """Two children of each large splat with a large gradient, at mean + R (noise * scale), 1.6 times smaller.
+def children(rows: DataFrame, noise: DataFrame | None, threshold: float, extent: float, dense: float = 0.01, seed: int = 0, state: Iterable[str] = ()) -> DataFrame:
+    """Two children of each large splat with a large gradient, at mean + R (noise * scale), 1.6 times smaller, to be numbered.
 
     noise: gid, child, n0, n1, n2; without it normal noise is drawn from the seed, row by row.
     """
@@ -69,7 +82,7 @@ def children(rows: DataFrame, noise: DataFrame | None, threshold: float, extent:
     step = [F.col(f"n{k}") * F.exp(SCALES[k]) for k in range(3)]
     moved = {c: F.col(c) + r[i][0] * step[0] + r[i][1] * step[1] + r[i][2] * step[2] for i, c in enumerate("xyz")}
     two = two.withColumns(moved).withColumns({c: F.ln(F.exp(c) / 1.6) for c in SCALES})
-    return _fresh(two, next_gid, 3, F.col("child") + 1, state).drop("child", "n0", "n1", "n2")
+    return _fresh(two, F.col("child") + 1, state).drop("child", "n0", "n1", "n2")
 
 
 def prune(rows: DataFrame, least_opacity: float, extent: float, size_limit: float | None) -> DataFrame:
@@ -80,14 +93,16 @@ def prune(rows: DataFrame, least_opacity: float, extent: float, size_limit: floa
     return rows.filter(~gone)
 
 
-def control(splats: DataFrame, stats: DataFrame, noise: DataFrame | None, threshold: float = 0.0002, least_opacity: float = 0.005, extent: float = 1.0, size_limit: float | None = None, dense: float = 0.01, next_gid: int = 1 << 40, compat: bool = True, state: Iterable[str] = ()) -> DataFrame:
+def control(splats: DataFrame, stats: DataFrame, noise: DataFrame | None, threshold: float = 0.0002, least_opacity: float = 0.005, extent: float = 1.0, size_limit: float | None = None, dense: float = 0.01, next_gid: int | None = None, compat: bool = True, state: Iterable[str] = (), seed: int = 0) -> DataFrame:
     """One control step: clone, split, prune. Copies have no gradient, so a clone is not split in the same step.
 
-    compat: cloning and splitting reset the largest radii before the size test, which then never fires.
+    compat: cloning and splitting reset the largest radii before the size test, which then never fires. seed: of the noise,
+    if none is given; another one for each step. Write the result before the next step, which reads it several times.
     """
     rows = with_gradient(splats, stats)
     split = (F.col("grad") >= threshold) & (largest_scale() > dense * extent)
-    kept = rows.filter(~split).unionByName(clones(rows, threshold, extent, dense, next_gid, state)).unionByName(children(rows, noise, threshold, extent, dense, next_gid, state=state))
+    fresh = clones(rows, threshold, extent, dense, state).unionByName(children(rows, noise, threshold, extent, dense, seed, state))
+    kept = rows.filter(~split).unionByName(numbered(fresh, splats if next_gid is None else next_gid))
     if compat:
         kept = kept.withColumn("max_radius", d(0.0))
     return prune(kept, least_opacity, extent, size_limit).drop("grad", "max_radius")

@@ -8,9 +8,12 @@ from __future__ import annotations
 import functools
 import math
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from pointloom.functions.maths import d, gaussian_window
@@ -44,26 +47,43 @@ def channel_psnr(both: DataFrame, keys: list[str]) -> DataFrame:
     return errors(both, [*keys, "c"]).groupBy(*keys).agg(F.avg("psnr").alias("psnr_channels"))
 
 
+def _plane(rows: pa.Table, column: str, shape: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(shape)
+    out[rows["y"].to_numpy(), rows["x"].to_numpy()] = rows[column].to_numpy()
+    return out
+
+
+def _blurred(plane: np.ndarray, window: list[float]) -> np.ndarray:
+    """A separable stencil, zeros beyond the border."""
+    r = len(window) // 2
+    for _ in range(2):
+        wide = np.pad(plane, ((r, r), (0, 0)))
+        plane = sum(w * wide[k : k + len(plane)] for k, w in enumerate(window)).T
+    return plane
+
+
 def ssim(both: DataFrame, keys: list[str], size: int = 11, sigma: float = 1.5) -> DataFrame:
-    """Structural similarity by image: a separable Gaussian stencil, zeros beyond the border.
+    """Structural similarity by image: a separable Gaussian stencil, zeros beyond the border and for missing pixels.
 
-    Each pixel adds its five moments to the size pixels around it in x, sums are taken, and again in y: 2 * size rows for
-    a pixel, not size squared, with partial sums before each shuffle.
+    One shuffle brings the pixels of a channel of an image together, and its two planes are filtered as arrays: a task holds
+    one channel at a time. Images are means over the pixels of all their channels.
     """
-    w, r = gaussian_window(size, sigma), size // 2
-    moments = {"ma": F.col("a"), "mb": F.col("b"), "saa": F.col("a") * F.col("a"), "sbb": F.col("b") * F.col("b"), "sab": F.col("a") * F.col("b")}
-    at = [*keys, "c", "y", "x"]
-    limits = both.groupBy(*keys).agg(F.max("x").alias("_w"), F.max("y").alias("_h"))
-    rows = both.select(*at, *(e.alias(n) for n, e in moments.items()))
-    taps = F.explode(F.array(*(F.struct(F.lit(k - r).alias("o"), d(w[k]).alias("k")) for k in range(size))))
-    for axis in ("x", "y"):
-        spread = rows.withColumn("_t", taps).withColumn(axis, (F.col(axis) + F.col("_t.o")).cast("int"))
-        rows = spread.groupBy(*at).agg(*(F.sum(F.col("_t.k") * F.col(n)).alias(n) for n in moments))
-    rows = rows.join(limits, keys).filter("x >= 0 and y >= 0 and x <= _w and y <= _h")
-    ma, mb = F.col("ma"), F.col("mb")
-    saa, sbb, sab = F.col("saa") - ma * ma, F.col("sbb") - mb * mb, F.col("sab") - ma * mb
-    value = (2 * ma * mb + 1e-4) * (2 * sab + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (saa + sbb + 9e-4))
-    return rows.groupBy(*keys).agg(F.avg(value).alias("ssim"))
+    workers_import(both.sparkSession)
+    w = gaussian_window(size, sigma)
+
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        shape = pc.max(rows["y"]).as_py() + 1, pc.max(rows["x"]).as_py() + 1
+        a, b = _plane(rows, "a", shape), _plane(rows, "b", shape)
+        ma, mb, aa, bb, ab = (_blurred(p, w) for p in (a, b, a * a, b * b, a * b))
+        aa, bb, ab = aa - ma * ma, bb - mb * mb, ab - ma * mb
+        value = (2 * ma * mb + 1e-4) * (2 * ab + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (aa + bb + 9e-4))
+        return pa.table([*([k.as_py()] for k in key[: len(keys)]), [float(value.sum())], [value.size]], schema=out)
+
+    fields = [both.schema[k] for k in keys]
+    schema = StructType([*fields, StructField("_total", DoubleType()), StructField("_n", LongType())])
+    out = to_arrow_schema(schema)
+    rows = both.select(*keys, "c", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.col(v).cast("double").alias(v) for v in "ab"))
+    return rows.groupBy(*keys, "c").applyInArrow(one, schema).groupBy(*keys).agg((F.sum("_total") / F.sum("_n")).alias("ssim"))
 
 
 def feature_distance(features: DataFrame, keys: list[str], eps: float = 1e-10) -> DataFrame:
@@ -141,6 +161,23 @@ def histogram(rows: DataFrame, value: Column, bins: int) -> DataFrame:
     return rows.groupBy(F.least(F.floor(value * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def first_k(rows: DataFrame, by: list[str], order: list[Column | str], k: int, rank: str = "rank") -> DataFrame:
+    """The first k rows of each group, ranked from 1; the ranking is cut to k before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn(rank, place).filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
+
+
+def z_score(value: Column, mean: float, deviation: float) -> Column:
+    """A channel as backbones take it."""
+    return (value - mean) / deviation
+
+
+def elapsed(rows: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """Wall seconds of each suite: from its first start to its last end, and the sum of its runs. One pass."""
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    return rows.groupBy(*by).agg((F.max(seconds(end)) - F.min(seconds(start))).alias("elapsed"), F.sum(seconds(end) - seconds(start)).alias("busy"), F.count("*").alias("runs"))
+
+
 def composite(hits: DataFrame, pixel: list[str], channels: list[str], background: float = 0.0, cap: float = 0.99) -> DataFrame:
     """Front-to-back compositing: hits (pixel, depth, gid, alpha, channels) to one row a pixel.
 

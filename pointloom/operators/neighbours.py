@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pointloom.functions.maths import d
 from pointloom.operators.views import global_index
@@ -78,25 +79,43 @@ def mean_distance2(points: DataFrame, k: int = 3, block: int = 32) -> DataFrame:
     return out.unionByName(points.filter(~known).select("gid", F.lit(None).cast("double").alias("dist2")))
 
 
+def _product(q: tuple[int, ...], left: bool) -> np.ndarray:
+    """Matrix of the product of quaternions q * x (left) or x * q, on x as (w, x, y, z)."""
+    w, v, side = q[0], np.array(q[1:]), 1 if left else -1
+    out = w * np.eye(4)
+    out[0, 1:] -= v
+    out[1:, 0] += v
+    out[1:, 1:] += side * np.cross(v, np.eye(3)).T
+    return out
+
+
+def rotation_forms() -> np.ndarray:
+    """A with rotation(q)[i, j] = q A[i, j] q for a unit quaternion q.
+
+    Entry i, j is the part along e_i of q e_j q*, which is the scalar product of e_i q and q e_j.
+    """
+    units = [tuple(int(k == i) for k in range(4)) for i in (1, 2, 3)]
+    return np.array([[_product(a, True).T @ _product(b, False) for b in units] for a in units])
+
+
 def rotation_quaternions(df: DataFrame, matrix: str = "r", out: str = "q") -> DataFrame:
-    """Quaternions (w, x, y, z), w >= 0, of rotation matrices (arrays of nine), by the largest eigenvector.
+    """Quaternions (w, x, y, z), w >= 0, of rotation matrices (arrays of nine, by rows); NULL for NULL.
 
-    The eigen form also gives the nearest rotation's quaternion for matrices that are not quite orthogonal.
+    The unit quaternion whose rotation has the largest scalar product with the matrix: the eigenvector of the largest
+    eigenvalue of a quadratic form. It is the nearest rotation, too, when the matrix is not quite orthogonal.
     """
     workers_import(df.sparkSession)
+    forms = rotation_forms()
 
     def run(batches):
         for batch in batches:
-            m = np.array(batch.column(matrix).to_pylist(), float).reshape(-1, 3, 3)
-            xx, yx, zx, xy, yy, zy, xz, yz, zz = (m[:, i, j] for i in range(3) for j in range(3))
-            zero = np.zeros(len(m))
-            k = np.array([[xx - yy - zz, zero, zero, zero], [yx + xy, yy - xx - zz, zero, zero], [zx + xz, zy + yz, zz - xx - yy, zero], [yz - zy, zx - xz, xy - yx, xx + yy + zz]])
-            values, vectors = np.linalg.eigh(np.moveaxis(k, 2, 0) / 3)  # the lower triangle is read
-            v = vectors[np.arange(len(m)), :, values.argmax(axis=1)]
-            q = v[:, [3, 0, 1, 2]]
+            given = batch.column(matrix)
+            m = given.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, 3)
+            q = np.linalg.eigh(np.einsum("nij,ijab->nab", m, forms))[1][:, :, 3]
             q = np.where(q[:, :1] < 0, -q, q)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), pa.array(list(q), pa.list_(pa.float64()))], [*batch.schema.names, out])
-
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+            known = given.is_valid().to_numpy(zero_copy_only=False)
+            ends = np.r_[0, np.cumsum(4 * known)].astype(np.int32)
+            made = pa.ListArray.from_arrays(pa.array(ends), pa.array(q.ravel()), mask=pa.array(~known))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), made], [*batch.schema.names, out])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, ArrayType(DoubleType()))]))

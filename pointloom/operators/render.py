@@ -1,20 +1,24 @@
 """Rendering of a table of splats for a stated view: projection, tiles, coverage of pixels, compositing, exposure.
 
 A view is a handful of numbers and enters the plan as literals, so nothing is joined to it. A splat becomes a row for each
-tile it touches, then for each pixel of that tile where its opacity counts; pixels are the only shuffle key.
+tile it touches; these rows are dealt by ranges of (tile, depth) and composited range by range, all pixels of a tile at
+once. Compositing is associative, so a tile that lies in several ranges is put together from one layer for each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.harmonics import exposed
 from pointloom.functions.maths import Matrix, clamp, covariance, d, projected_covariance, rotation, sigmoid, to_camera
-from pointloom.operators.metrics import composite, tiles
-from pointloom.session import written
+from pointloom.operators.metrics import tiles
+from pointloom.session import workers_import, written
 
 COLOURS = ["red", "green", "blue"]
 
@@ -64,6 +68,55 @@ def coverage(projected: DataFrame, view: View, tile: int = 16, least: float = 1
     return rows.filter((F.col("u") < view.width) & (F.col("v") < view.height)).withColumn("alpha", alpha).filter(F.col("alpha") >= least).drop("_k", "tile_x", "tile_y")
 
 
+def layers(projected: DataFrame, view: View, values: list[str], tile: int = 16, least: float = 1 / 255, cap: float = 0.99) -> DataFrame:
+    """u, v, _range, values and transmittance: the splats of each range of (tile, depth, gid) composited front to back.
+
+    projected: px, py, depth, gid, ca, cb, cc, alpha (the largest one) and values. Rows of one tile follow each other, so a
+    task holds one tile's pixels and a few splats; a pixel has a row for each range that its tile lies in.
+    """
+    workers_import(projected.sparkSession)
+    order = ["tile_y", "tile_x", "depth", "gid"]
+    numbers = ["px", "py", "ca", "cb", "cc", "alpha", *values]
+    rows = tiles(projected, view.width, view.height, tile).select("tile_y", "tile_x", "depth", "gid", *numbers)
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = seen = left = None
+
+        def done() -> pa.RecordBatch:
+            part, ty, tx = here
+            v, u = (g.ravel() for g in np.mgrid[ty * tile : (ty + 1) * tile, tx * tile : (tx + 1) * tile])
+            inside = (u < view.width) & (v < view.height)
+            columns = [u[inside].astype(np.int32), v[inside].astype(np.int32), np.full(inside.sum(), part, np.int32), *(c[inside] for c in seen), left[inside]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "_range", *values, "transmittance"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_range", "tile_y", "tile_x")], axis=1)
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in numbers])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if here != (mine := tuple(keys[a].tolist())):
+                    if here:
+                        yield done()
+                    here, seen, left = mine, np.zeros((len(values), tile * tile)), np.ones(tile * tile)
+                    v, u = (g.ravel() for g in np.mgrid[mine[1] * tile : (mine[1] + 1) * tile, mine[2] * tile : (mine[2] + 1) * tile])
+                for at in range(a, b, 256):  # splats by pixels
+                    px, py, ca, cb, cc, top = (r[at : min(at + 256, b), None] for r in x[:6])
+                    dx, dy = u - px, v - py
+                    alpha = np.minimum(top * np.exp(-0.5 * (ca * dx * dx + cc * dy * dy) - cb * dx * dy), cap)
+                    alpha[alpha < least] = 0.0
+                    passed = np.cumprod(1 - alpha, axis=0)
+                    weight = alpha * left * np.r_[np.ones((1, tile * tile)), passed[:-1]]
+                    seen += x[6:, at : min(at + 256, b)] @ weight
+                    left = left * passed[-1]
+        if here:
+            yield done()
+
+    return rows.mapInArrow(run, "u int, v int, _range int, " + ", ".join(f"{c} double" for c in values) + ", transmittance double")
+
+
 def render(splats: DataFrame, view: View, background: tuple[float, float, float] = (0.0, 0.0, 0.0), exposure: list[list[float]] | None = None, modifier: float = 1.0, low_pass: float = 0.3) -> DataFrame:
     """Every pixel (u, v) of a view: red, green, blue within 0..1, inverse depth, transmittance.
 
@@ -71,9 +124,14 @@ def render(splats: DataFrame, view: View, background: tuple[float, float, float]
     are composited to the last one; there is no cut-off at low transmittance.
     """
     # written: the optimizer would copy the projection's expressions into each filter on what is computed from them
-    seen_splats = written(project(splats, view, modifier, low_pass).select("gid", "px", "py", "depth", "radius", "ca", "cb", "cc", "opacity", *COLOURS), "projected")
-    hits = coverage(seen_splats, view).withColumn("inverse_depth", 1 / F.col("depth"))
-    seen = composite(hits.select("u", "v", "depth", "gid", "alpha", "inverse_depth", *COLOURS), ["u", "v"], [*COLOURS, "inverse_depth"])
+    columns = ["gid", "px", "py", "depth", "radius", "ca", "cb", "cc", sigmoid(F.col("opacity")).alias("alpha"), *COLOURS, (1 / F.col("depth")).alias("inverse_depth")]
+    values = [*COLOURS, "inverse_depth"]
+    parts = layers(written(project(splats, view, modifier, low_pass).select(*columns), "projected"), view, values)
+    # the layers of a pixel, nearest first: each shines through those before it
+    layer = F.struct("_range", *values, "transmittance")
+    zero = F.struct(*(d(0.0).alias(c) for c in values), d(1.0).alias("transmittance"))
+    over = lambda acc, x: F.struct(*((acc[c] + acc["transmittance"] * x[c]).alias(c) for c in values), (acc["transmittance"] * x["transmittance"]).alias("transmittance"))
+    seen = parts.groupBy("u", "v").agg(F.aggregate(F.sort_array(F.collect_list(layer)), zero, over).alias("_s")).select("u", "v", "_s.*")
     pixel = F.col("id")
     grid = splats.sparkSession.range(view.width * view.height).select((pixel % view.width).cast("int").alias("u"), F.floor(pixel / view.width).cast("int").alias("v"))
     rows = grid.join(seen, ["u", "v"], "left").withColumn("transmittance", F.coalesce("transmittance", d(1.0)))

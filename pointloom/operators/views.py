@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.maths import d
+from pointloom.functions.maths import d, inverse_depth, to_camera
 from pointloom.functions.text import numbered, stem
 from pointloom.session import written
 
@@ -25,6 +27,11 @@ def global_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame
     return dealt.join(F.broadcast(starts), "_range").withColumn(out, (inside + F.col("_before")).cast("long")).drop("_range", "_before")
 
 
+def hold_out_step(folder: str, every: int = 8) -> int:
+    """Each which view is held out: 8 for folders with 360 in their name, else as asked; 0 leaves it to a list of names."""
+    return 8 if "360" in folder else every
+
+
 def hold_out(views: DataFrame, order: list[str], every: int = 8) -> DataFrame:
     """views with idx and is_test: each every-th one by name; none when every is 0."""
     rows = global_index(views, order)
@@ -73,17 +80,38 @@ def observations(images: DataFrame, points: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(F.col(c), d(0.0)) for c in ("px", "py", "pz")}).withColumn("gap", F.col("_known").isNull()).drop("_known")
 
 
+def observed_depth(seen: DataFrame, width: Column | int, height: Column | int) -> DataFrame:
+    """Observations with invdepth (of the point in the view) and valid: inside the image and in front of the camera.
+
+    seen: what ``observations`` gives, with the view's rotation r (array of nine, by rows) and translation t (array of three).
+    """
+    z = to_camera([[F.get("r", F.lit(3 * i + j)) for j in range(3)] for i in range(3)], [F.get("t", F.lit(i)) for i in range(3)], [F.col(c) for c in ("px", "py", "pz")])[2]
+    rows = seen.withColumn("invdepth", inverse_depth(z))
+    return rows.withColumn("valid", F.coalesce((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width) & (F.col("y") < height) & (F.col("invdepth") > 0), F.lit(False)))
+
+
 def as_of(frames: DataFrame, poses: DataFrame, by: list[str], time: str, ident: str, values: list[str], tolerance: int | None = None) -> DataFrame:
     """frames with the values of the last pose at or before them; of poses at one time the largest ident counts.
 
-    One union and one window for each key; frames without a pose are left out, as are those farther than tolerance.
+    One union, dealt by ranges of (by, time). Each range finds the last pose within itself; the last one before it comes from
+    a row for each key and range, so a capture of any length is spread over tasks. Frames without a pose are left out, as
+    are those farther than tolerance.
     """
     pose = F.struct(F.col(time).alias("_at"), *(F.col(v) for v in values))
     rows = frames.withColumns({"_pose": F.lit(None).cast(poses.select(pose.alias("p")).schema["p"].dataType), "_kind": F.lit(1)}).unionByName(
         poses.select(*by, time, ident, pose.alias("_pose"), F.lit(0).alias("_kind")), allowMissingColumns=True
     )
-    last = F.last("_pose", ignorenulls=True).over(Window.partitionBy(*by).orderBy(time, "_kind", ident).rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.withColumn("_last", last).filter((F.col("_kind") == 1) & F.col("_last").isNotNull())
+    order = [time, "_kind", ident]
+    rows = written(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "poses")
+    known = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*by, "_range").agg(F.max_by("_pose", F.when(F.col("_pose").isNotNull(), F.struct(*order))).alias("_end"))
+    before = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(known)).filter(F.col("_before").isNotNull())
+    # a key goes on into a range only as its first: one row for each range at most
+    before = before.select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), F.col("_range").alias("_here"), "_before")
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)], F.col("_range") == F.col("_here"))
+    inside = F.last("_pose", ignorenulls=True).over(Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("_inside", inside).filter(F.col("_kind") == 1).join(F.broadcast(before), same, "left")
+    out = out.withColumn("_last", F.coalesce("_inside", "_before")).filter(F.col("_last").isNotNull())
     if tolerance is not None:
         out = out.filter(F.col(time) - F.col("_last._at") <= tolerance)
     return out.select(*frames.columns, F.col("_last._at").alias("pose_time"), *(F.col(f"_last.{v}").alias(v) for v in values))
@@ -142,6 +170,11 @@ def masked(value: Column, alpha: Column) -> Column:
     return value * F.coalesce(alpha, d(1.0))
 
 
+def lit_mask(pixels: DataFrame, by: list[str]) -> DataFrame:
+    """by, y, x and mask: whether a pixel has any light in any channel, as for rectified captures with black borders."""
+    return pixels.groupBy(*by, "y", "x").agg((F.max("v") > 0).alias("mask"))
+
+
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """A fixed pseudo-random order."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
@@ -152,6 +185,24 @@ def epoch_slots(iterations: DataFrame, n: int) -> DataFrame:
     return iterations.withColumn("epoch", F.floor(F.col("it") / n)).withColumn("slot", F.col("it") % n)
 
 
+def epoch_order(views: DataFrame, epochs: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """epoch, slot and key: in which slot of each epoch a view is drawn, without replacement, in a fixed pseudo-random order.
+
+    views are counted by one row for each range, epochs (epoch) are few: rows are the answer's own, epochs times views.
+    """
+    drawn = views.select(key).crossJoin(F.broadcast(epochs.select("epoch").distinct()))
+    drawn = drawn.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(key).cast("string")).cast("binary")))
+    rows = global_index(drawn, ["epoch", "_h", key], "_at")
+    first = rows.groupBy("epoch").agg(F.min("_at").alias("_first"))  # a row for each epoch
+    return rows.join(F.broadcast(first), "epoch").select("epoch", (F.col("_at") - F.col("_first")).alias("slot"), key)
+
+
+def paired(scenes: DataFrame, sources: DataFrame, order: str = "place") -> DataFrame:
+    """Scenes with the source of the same place in their list; a list that is longer than the other is cut to it."""
+    a, b = global_index(scenes, [order], "_pair"), global_index(sources, [order], "_pair")
+    return a.drop(order).join(b.drop(order), "_pair").withColumnRenamed("_pair", order)
+
+
 def triggers(iterations: DataFrame, densify: tuple[int, int, int] = (500, 15_000, 100), reset: int = 3000, ramp: int = 1000, white: bool = False) -> DataFrame:
     """Which periodic actions an iteration (it) calls for."""
     it, (first, last, every) = F.col("it"), densify

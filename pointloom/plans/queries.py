@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.functions import harmonics, maths, text
 from pointloom.functions.maths import d
 from pointloom.operators import calibrate, density, metrics, neighbours, render, structure, views
+from pointloom.session import written
+from pointloom.sources import files
 from pointloom.streaming import requests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,14 +126,31 @@ def image_camera_join(spark, sf):
     return views.with_camera(table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("camera_id")), cameras).select("s_suppkey", "n_name", "camera_id")
 
 
-@query("""WITH top AS (SELECT max(p_partkey) AS t FROM part WHERE p_partkey % 5 <> 0)
-SELECT l_orderkey, l_linenumber, coalesce(p.p_retailprice, 0) AS px, p.p_partkey IS NULL AS gap
-FROM lineitem CROSS JOIN top LEFT JOIN part p ON l_partkey = p.p_partkey AND p.p_partkey % 5 <> 0 WHERE l_partkey >= 0 AND l_partkey <= t""")
-def observation_points(spark, sf):
+#: Observations of lineitem and the points they see: labels cover some ids below the largest one, so there are gaps.
+SEEN = """seen AS (SELECT l_orderkey, l_linenumber, l_quantity, coalesce(quality, 0)::DOUBLE AS px, coalesce(toxic, 0)::DOUBLE AS py, coalesce(doc_id * 0.01::DOUBLE, 0) AS pz, doc_id IS NULL AS gap
+  FROM lineitem LEFT JOIN labels ON l_partkey = doc_id WHERE l_partkey >= 0 AND l_partkey <= (SELECT max(doc_id) FROM labels))"""
+
+
+def _observations(spark, sf) -> DataFrame:
     point = F.struct(F.col("l_orderkey").cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y"), F.col("l_partkey").alias("point3d_id"))
     images = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("image_id"), F.array(point).alias("points2d"))
-    points = table(spark, sf, "part").filter("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("point3d_id"), F.col("p_retailprice").alias("x"), d(0.0).alias("y"), d(0.0).alias("z"))
-    return views.observations(images, points).select(F.col("x").cast("long").alias("l_orderkey"), F.col("y").cast("int").alias("l_linenumber"), "px", "gap")
+    points = table(spark, sf, "labels").select(F.col("doc_id").alias("point3d_id"), F.col("quality").cast("double").alias("x"), F.col("toxic").cast("double").alias("y"), (F.col("doc_id") * 0.01).alias("z"))
+    return views.observations(images, points)
+
+
+@query(f"WITH {SEEN} SELECT l_orderkey, l_linenumber, px, gap FROM seen")
+def observation_points(spark, sf):
+    return _observations(spark, sf).select(F.col("x").cast("long").alias("l_orderkey"), F.col("y").cast("int").alias("l_linenumber"), "px", "gap")
+
+
+@query(f"""WITH {SEEN}, c AS (SELECT *, l_linenumber - 3 - px AS z FROM seen)
+SELECT l_orderkey, l_linenumber, CASE WHEN z = 0 THEN -1 ELSE round(1.0::DOUBLE / z, 6) END AS invdepth, l_orderkey < 900 AND l_linenumber < 6 AND z >= 0 AS valid FROM c""")
+def observation_depth(spark, sf):
+    turn = F.array(*(d(v) for v in (0, 0, 1, 0, 1, 0, -1, 0, 0)))
+    seen = _observations(spark, sf).withColumns({"r": turn, "t": F.array(d(0), d(0), F.col("y") - 3)})
+    out = views.observed_depth(seen, 900, 6)
+    shown = F.when(F.col("invdepth") == float("inf"), d(-1)).otherwise(r(F.col("invdepth")))
+    return out.select(F.col("x").cast("long").alias("l_orderkey"), F.col("y").cast("int").alias("l_linenumber"), shown.alias("invdepth"), "valid")
 
 
 @query("""WITH p AS (SELECT user_id, ts, max(event_id) AS pose FROM events WHERE event_type = 'view' OR event_type = 'error' GROUP BY 1, 2)
@@ -148,6 +167,17 @@ def epoch_sampling(spark, sf):
     return views.epoch_slots(spark.range(0, 30000, 100).select(F.col("id").alias("it")), 200)
 
 
+@query("""SELECT epoch, s_suppkey, row_number() OVER (PARTITION BY epoch ORDER BY md5('7:' || epoch || ':' || s_suppkey), s_suppkey) - 1 AS slot FROM supplier, range(3) t(epoch)""")
+def epoch_order(spark, sf):
+    return views.epoch_order(table(spark, sf, "supplier"), spark.range(3).select(F.col("id").alias("epoch")), "s_suppkey", 7)
+
+
+@query("SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_name, s_suppkey) AS n FROM supplier) JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer) USING (n)")
+def scene_sources(spark, sf):
+    scenes = table(spark, sf, "supplier").select("s_suppkey", F.struct("s_name", "s_suppkey").alias("place"))
+    return views.paired(scenes, table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").alias("place"))).select("s_suppkey", "c_custkey")
+
+
 @query("""SELECT it, it % 1000 = 0 AS raise_degree, it < 15000 AND it > 500 AND it % 100 = 0 AS densify, it < 15000 AND it % 3000 = 0 AS reset_opacity,
 CASE WHEN it > 3000 THEN 20 ELSE -1 END AS size_limit FROM range(0, 30000, 50) t(it)""")
 def periodic_triggers(spark, sf):
@@ -250,11 +280,13 @@ def lr_schedule(spark, sf):
 @query("""WITH p AS (SELECT p_partkey, p_size * 113 AS w, p_size * 61 AS h, CASE p_partkey % 6 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 8 ELSE 640 END AS k FROM part),
 t AS (SELECT *, CASE WHEN k = -1 THEN CASE WHEN w > 1600 THEN 1600 ELSE w END ELSE k END::DOUBLE AS target FROM p)
 SELECT p_partkey, CASE WHEN k IN (1, 2, 4, 8) THEN round_even(w / k::DOUBLE, 0) ELSE trunc(w / (w / target)) END::INT AS out_w,
-CASE WHEN k IN (1, 2, 4, 8) THEN round_even(h / k::DOUBLE, 0) ELSE trunc(h / (w / target)) END::INT AS out_h FROM t""")
+CASE WHEN k IN (1, 2, 4, 8) THEN round_even(h / k::DOUBLE, 0) ELSE trunc(h / (w / target)) END::INT AS out_h,
+CASE WHEN k IN (1, 2, 4, 8) THEN round_even(w / (2.0::DOUBLE * k), 0) ELSE trunc(w / (w / target * 2.0::DOUBLE)) END::INT AS half_w FROM t""")
 def resolution(spark, sf):
     k = F.element_at(F.array(*(F.lit(v) for v in (-1, 1, 2, 4, 8, 640))), (F.col("p_partkey") % 6 + 1).cast("int"))
-    w, h = maths.resolution((F.col("p_size") * 113).cast("int"), (F.col("p_size") * 61).cast("int"), k)
-    return table(spark, sf, "part").select("p_partkey", w.alias("out_w"), h.alias("out_h"))
+    size = [(F.col("p_size") * n).cast("int") for n in (113, 61)]
+    w, h = maths.resolution(*size, k)
+    return table(spark, sf, "part").select("p_partkey", w.alias("out_w"), h.alias("out_h"), maths.resolution(*size, k, 2.0)[0].alias("half_w"))
 
 
 def _sh_sql() -> str:
@@ -278,15 +310,15 @@ def sh_color(spark, sf):
     return splats(spark, sf).select("gid", *(r(c).alias(f"deg{g}") for g, c in enumerate(out)), r(harmonics.from_rgb(v[7])).alias("dc"))
 
 
-@query(f"""WITH {S}, e AS (SELECT vec_id % 7 AS cam, embedding::DOUBLE[] AS m FROM embeddings WHERE vec_id < 5)
-SELECT gid, """ + ", ".join(f"round(x*coalesce(m[{1 + j}],{float(j == 0)}) + y*coalesce(m[{5 + j}],{float(j == 1)}) + z*coalesce(m[{9 + j}],{float(j == 2)}) + coalesce(m[{4 * j + 4}],0), 6) AS c{j}" for j in range(3)) + " FROM s LEFT JOIN e ON gid % 7 = cam")
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS m FROM embeddings), q AS (SELECT doc_id, (n_chars % 256) / 255.0::DOUBLE AS x, (n_chars % 16) / 15.0::DOUBLE AS y, 0.25::DOUBLE AS z FROM documents)
+SELECT doc_id, """ + ", ".join(f"round(x*coalesce(m[{1 + j}],{float(j == 0)}) + y*coalesce(m[{5 + j}],{float(j == 1)}) + z*coalesce(m[{9 + j}],{float(j == 2)}) + coalesce(m[{4 * j + 4}],0), 6) AS c{j}" for j in range(3)) + " FROM q LEFT JOIN e ON doc_id = vec_id")
 def exposure_affine(spark, sf):
-    rows = splats(spark, sf)
-    known = rows.filter("gid < 5").select((F.col("gid") % 7).alias("cam"), F.col("v").alias("m"))
-    joined = rows.withColumn("cam", F.col("gid") % 7).join(known, "cam", "left")
-    cell = lambda i, j: F.coalesce(F.get("m", F.lit(4 * i + j)), d(float(i == j)))
-    out = harmonics.exposed([F.col(c) for c in "xyz"], [[cell(i, j) for j in range(4)] for i in range(3)])
-    return joined.select("gid", *(r(c).alias(f"c{j}") for j, c in enumerate(out)))
+    rows = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("image_name"), ((F.col("n_chars") % 256) / 255).alias("x"), ((F.col("n_chars") % 16) / 15).alias("y"), d(0.25).alias("z"))
+    flat = F.col("embedding").cast("array<double>")
+    known = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_name"), F.array(*(F.slice(flat, 4 * i + 1, 4) for i in range(3))).alias("m"))
+    m = [[F.col("m")[i][j] for j in range(4)] for i in range(3)]
+    out = harmonics.exposed([F.col(c) for c in "xyz"], m)
+    return views.with_exposure(rows, known).select("doc_id", *(r(c).alias(f"c{j}") for j, c in enumerate(out)))
 
 
 @query(f"""WITH {S}, m AS (SELECT *, 0.9::DOUBLE * y + 0.1::DOUBLE * x AS m1, 0.999::DOUBLE * abs(z) + 0.001::DOUBLE * x * x AS v1 FROM s)
@@ -297,6 +329,28 @@ def adam_step(spark, sf):
     return splats(spark, sf).select("gid", r(value, 5).alias("value"), r(m).alias("m1"), r(v).alias("v1"), r(density.reset_opacity(F.col("opacity"))).alias("reset"))
 
 
+_RATE = "exp(ln(0.00016::DOUBLE) * (1 - 0.5::DOUBLE) + ln(0.0000016::DOUBLE) * 0.5::DOUBLE)"
+_MOVED = "{c} - {rate} * ((0.9::DOUBLE * y + 0.1::DOUBLE * {g}) / (1 - 0.9::DOUBLE ** 5)) / (sqrt((0.999::DOUBLE * abs(z) + 0.001::DOUBLE * {g} * {g}) / (1 - 0.999::DOUBLE ** 5)) + 1e-15)"
+
+
+@query(f"""WITH {S} SELECT gid, round(CASE WHEN gid % 3 > 0 THEN {_MOVED.format(c='x', rate=_RATE, g='s0')} ELSE x END, 9) AS x, round(CASE WHEN gid % 3 > 0 THEN {_MOVED.format(c='opacity', rate='0.025::DOUBLE', g='s1')} ELSE opacity END, 5) AS opacity,
+round(CASE WHEN gid % 3 > 0 THEN 0.9::DOUBLE * y + 0.1::DOUBLE * s0 ELSE y END, 6) AS m_x FROM s""")
+def adam_visible(spark, sf):
+    rows = splats(spark, sf).select("gid", "x", "opacity", F.col("s0").alias("grad_x"), F.col("s1").alias("grad_opacity"), *(F.col("y").alias(f"m_{c}") for c in ("x", "opacity")), *(F.abs("z").alias(f"v_{c}") for c in ("x", "opacity")))
+    rate = maths.learning_rate(F.lit(15_000), 0.00016, 0.0000016, 30_000)
+    out = maths.adam_groups(rows, {"xyz": (["x"], rate), "opacity": (["opacity"], 0.025)}, 5, F.col("gid") % 3 > 0)
+    return out.select("gid", r(F.col("x"), 9).alias("x"), r(F.col("opacity"), 5).alias("opacity"), r(F.col("m_x")).alias("m_x"))
+
+
+@query(f"""WITH {S}, {ROT} SELECT gid, round(r1, 6) AS r1, round(r6, 6) AS r6, round(-(r0*x + r3*y + r6*z), 6) AS t0, round(-(r2*x + r5*y + r8*z), 6) AS t2, round(2 * atan(300 / (2 * (400 / (2 * tan(0.35::DOUBLE))))), 6) AS fov_y FROM rot""")
+def transform_camera(spark, sf):
+    m, p = unit_rotation(), [F.col(c) for c in "xyz"]
+    frames = splats(spark, sf).select(F.col("gid").alias("idx"), F.col("gid").alias("image_name"), F.lit("").alias("file_path"), d(0.7).alias("camera_angle_x"), F.array(*(F.array(*m[i], p[i]) for i in range(3))).alias("c2w"))
+    sizes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_name"), F.lit(400).alias("width"), F.lit(300).alias("height"))
+    out = files.transform_cameras(frames, sizes)
+    return out.select(F.col("uid").alias("gid"), r(F.col("R")[1]).alias("r1"), r(F.col("R")[6]).alias("r6"), r(F.col("T")[0]).alias("t0"), r(F.col("T")[2]).alias("t2"), r(F.col("fov_y")).alias("fov_y"))
+
+
 @query(f"""WITH {S}, {ROT}, k AS (SELECT *, """ + ", ".join(f"r{3*i}*r{3*j}*exp(s0)*exp(s0) + r{3*i+1}*r{3*j+1}*exp(s1)*exp(s1) + r{3*i+2}*r{3*j+2}*exp(s2)*exp(s2) AS k{i}{j}" for i in range(3) for j in range(i, 3)) + """, z + 3 AS d FROM rot),
 j AS (SELECT *, 10/d AS fa, -10*x/(d*d) AS fb, 12/d AS fc, -12*y/(d*d) AS fe FROM k)
 SELECT gid, round(fa*fa*k00 + 2*fa*fb*k02 + fb*fb*k22 + 0.3, 4) AS xx, round(fa*fc*k01 + fa*fe*k02 + fb*fc*k12 + fb*fe*k22, 4) AS xy, round(fc*fc*k11 + 2*fc*fe*k12 + fe*fe*k22 + 0.3, 4) AS yy FROM j""")
@@ -327,17 +381,28 @@ def accumulate_stats(spark, sf):
 
 
 _COLS = ["x", "y", "z", "opacity", "s0", "s1", "s2", "q0", "q1", "q2", "q3"]
-G = f"""{S}, {STATS}, g AS (SELECT gid, {', '.join(_COLS)}, coalesce(grad_accum / denom, 0) AS grad, coalesce(max_radius, 0) AS max_radius, greatest(exp(s0), exp(s1), exp(s2)) AS big FROM s LEFT JOIN st USING (gid)),
-cl AS (SELECT {NEXT} + 3 * gid AS gid, {', '.join(_COLS)} FROM g WHERE grad >= {TAU} AND big <= {DENSE}::DOUBLE * {EXTENT}::DOUBLE),
-sp0 AS (SELECT *, sqrt(q0*q0+q1*q1+q2*q2+q3*q3) AS n FROM g WHERE grad >= {TAU} AND big > {DENSE}::DOUBLE * {EXTENT}::DOUBLE),
-sp1 AS (SELECT *, q0/n AS a, q1/n AS b, q2/n AS c, q3/n AS e, child, (gid % 5 - 2 + child) * exp(s0) AS t0, (gid % 3 - 1) * exp(s1) AS t1, (child * 2 - 1) * exp(s2) AS t2 FROM sp0, (VALUES (0), (1)) k(child)),
-ch AS (SELECT {NEXT} + 3 * gid + child + 1 AS gid, x + (1-2*(c*c+e*e))*t0 + 2*(b*c-a*e)*t1 + 2*(b*e+a*c)*t2 AS x, y + 2*(b*c+a*e)*t0 + (1-2*(b*b+e*e))*t1 + 2*(c*e-a*b)*t2 AS y,
-  z + 2*(b*e-a*c)*t0 + 2*(c*e+a*b)*t1 + (1-2*(b*b+c*c))*t2 AS z, opacity, ln(exp(s0)/1.6::DOUBLE) AS s0, ln(exp(s1)/1.6::DOUBLE) AS s1, ln(exp(s2)/1.6::DOUBLE) AS s2, q0, q1, q2, q3 FROM sp1)"""
+_C = ", ".join(_COLS)
+
+
+def _step_sql(g: str, k: str, start: str) -> str:
+    """Clones cl, children ch, both numbered in nw, and the rows before pruning in a, from a table g; k ends their names."""
+    return f"""cl{k} AS (SELECT gid AS p, 0 AS slot, {_C} FROM {g} WHERE grad >= {TAU} AND big <= {DENSE}::DOUBLE * {EXTENT}::DOUBLE),
+sp{k} AS (SELECT *, sqrt(q0*q0+q1*q1+q2*q2+q3*q3) AS n FROM {g} WHERE grad >= {TAU} AND big > {DENSE}::DOUBLE * {EXTENT}::DOUBLE),
+sq{k} AS (SELECT *, q0/n AS a, q1/n AS b, q2/n AS c, q3/n AS e, child, (gid % 5 - 2 + child) * exp(s0) AS t0, (gid % 3 - 1) * exp(s1) AS t1, (child * 2 - 1) * exp(s2) AS t2 FROM sp{k}, (VALUES (0), (1)) k(child)),
+ch{k} AS (SELECT gid AS p, child + 1 AS slot, x + (1-2*(c*c+e*e))*t0 + 2*(b*c-a*e)*t1 + 2*(b*e+a*c)*t2 AS x, y + 2*(b*c+a*e)*t0 + (1-2*(b*b+e*e))*t1 + 2*(c*e-a*b)*t2 AS y,
+  z + 2*(b*e-a*c)*t0 + 2*(c*e+a*b)*t1 + (1-2*(b*b+c*c))*t2 AS z, opacity, ln(exp(s0)/1.6::DOUBLE) AS s0, ln(exp(s1)/1.6::DOUBLE) AS s1, ln(exp(s2)/1.6::DOUBLE) AS s2, q0, q1, q2, q3 FROM sq{k}),
+nw{k} AS (SELECT {start} + row_number() OVER (ORDER BY p, slot) - 1 AS gid, {_C} FROM (SELECT * FROM cl{k} UNION ALL SELECT * FROM ch{k})),
+a{k} AS (SELECT gid, {_C} FROM {g} WHERE NOT (grad >= {TAU} AND big > {DENSE}::DOUBLE * {EXTENT}::DOUBLE) UNION ALL SELECT * FROM nw{k})"""
+
+
+_BIG = "greatest(exp(s0), exp(s1), exp(s2)) AS big"
+G = f"""{S}, {STATS}, g AS (SELECT gid, {_C}, coalesce(grad_accum / denom, 0) AS grad, coalesce(max_radius, 0) AS max_radius, {_BIG} FROM s LEFT JOIN st USING (gid)),
+{_step_sql('g', '', str(NEXT))}"""
 _OUT = "gid, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z, round(s0, 5) AS s0, round(opacity, 5) AS opacity"
 
 
-def _noise(spark, sf) -> DataFrame:
-    two = splats(spark, sf).select("gid", F.explode(F.array(F.lit(0), F.lit(1))).alias("child"))
+def _noise(rows: DataFrame) -> DataFrame:
+    two = rows.select("gid", F.explode(F.array(F.lit(0), F.lit(1))).alias("child"))
     return two.select("gid", "child", (F.col("gid") % 5 - 2 + F.col("child")).alias("n0"), (F.col("gid") % 3 - 1).alias("n1"), (F.col("child") * 2 - 1).alias("n2"))
 
 
@@ -345,14 +410,19 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("gid", *(r(F.col(c), 5).alias(c) for c in ("x", "y", "z", "s0", "opacity")))
 
 
-@query(f"WITH {G} SELECT {_OUT} FROM cl")
+def _numbered(rows: str) -> str:
+    return f"(SELECT {NEXT} + row_number() OVER (ORDER BY p, slot) - 1 AS gid, * FROM {rows})"
+
+
+@query(f"WITH {G} SELECT {_OUT} FROM {_numbered('cl')}")
 def densify_clone(spark, sf):
-    return _shown(density.clones(density.with_gradient(splats(spark, sf).drop("v"), _stats(spark, sf)), TAU, EXTENT, DENSE, NEXT))
+    return _shown(density.numbered(density.clones(density.with_gradient(splats(spark, sf).drop("v"), _stats(spark, sf)), TAU, EXTENT, DENSE), NEXT))
 
 
-@query(f"WITH {G} SELECT {_OUT} FROM ch")
+@query(f"WITH {G} SELECT {_OUT} FROM {_numbered('ch')}")
 def densify_split(spark, sf):
-    return _shown(density.children(density.with_gradient(splats(spark, sf).drop("v"), _stats(spark, sf)), _noise(spark, sf), TAU, EXTENT, DENSE, NEXT))
+    rows = splats(spark, sf).drop("v")
+    return _shown(density.numbered(density.children(density.with_gradient(rows, _stats(spark, sf)), _noise(rows), TAU, EXTENT, DENSE), NEXT))
 
 
 @query(f"WITH {G} SELECT {_OUT} FROM g WHERE NOT (1/(1+exp(-opacity)) < 0.5 OR max_radius > 20 OR big > 0.1::DOUBLE * 14)")
@@ -360,10 +430,20 @@ def densify_prune(spark, sf):
     return _shown(density.prune(density.with_gradient(splats(spark, sf).drop("v"), _stats(spark, sf)), 0.5, 14.0, 20.0))
 
 
-@query(f"""WITH {G}, a AS (SELECT gid, {', '.join(_COLS)} FROM g WHERE NOT (grad >= {TAU} AND big > {DENSE}::DOUBLE * {EXTENT}::DOUBLE) UNION ALL SELECT * FROM cl UNION ALL SELECT * FROM ch)
-SELECT {_OUT} FROM a WHERE 1/(1+exp(-opacity)) >= 0.45""")
+@query(f"WITH {G} SELECT {_OUT} FROM a WHERE 1/(1+exp(-opacity)) >= 0.45")
 def densify_control(spark, sf):
-    return _shown(density.control(splats(spark, sf).drop("v"), _stats(spark, sf), _noise(spark, sf), TAU, 0.45, EXTENT, None, DENSE, NEXT))
+    rows = splats(spark, sf).drop("v")
+    return _shown(density.control(rows, _stats(spark, sf), _noise(rows), TAU, 0.45, EXTENT, None, DENSE, NEXT))
+
+
+@query(f"""WITH {G}, b AS (SELECT * FROM a WHERE 1/(1+exp(-opacity)) >= 0.45), g2 AS (SELECT *, gid % 11 * 0.01::DOUBLE AS grad, {_BIG} FROM b),
+{_step_sql('g2', '2', '(SELECT max(gid) + 1 FROM b)')} SELECT {_OUT} FROM a2 WHERE 1/(1+exp(-opacity)) >= 0.45""")
+def densify_twice(spark, sf):
+    """The second step works on the copies of the first and numbers its own after them."""
+    rows = splats(spark, sf).drop("v")
+    once = written(density.control(rows, _stats(spark, sf), _noise(rows), TAU, 0.45, EXTENT, None, DENSE, NEXT), "step")
+    stats = once.select("gid", (F.col("gid") % 11 * 0.01).alias("grad_accum"), F.lit(1).alias("denom"), F.lit(0).alias("max_radius"))
+    return _shown(density.control(once, stats, _noise(once), TAU, 0.45, EXTENT, None, DENSE))
 
 
 @query(f"""WITH {S}, p AS (SELECT a.gid, (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 AS d2 FROM s a JOIN s b ON a.gid <> b.gid),
@@ -522,10 +602,10 @@ def path_stem(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.base_name(url).alias("base"), text.stem(url).alias("stem"), text.numbered(F.col("page_id"), 8).alias("numbered"))
 
 
-@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events WHERE props->>'$.k' IS NOT NULL")
 def json_params(spark, sf):
-    rows = table(spark, sf, "events").select("event_id", F.from_json("props", "map<string,bigint>").alias("m"))
-    return rows.select("event_id", F.try_element_at("m", F.lit("k")).alias("k"))
+    rows = files.keyed_values(table(spark, sf, "events").select("event_id", "props"), "props", "bigint")
+    return rows.filter("name = 'k'").select("event_id", F.col("value").alias("k"))
 
 
 @query("""SELECT n_nationkey, count(*) AS requests, round(sum(s_acctbal), 2) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 10 <> 0 GROUP BY 1""")
@@ -537,10 +617,22 @@ def viewer_requests(spark, sf):
 
 @query("SELECT event_type, rank, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5")
 def first_k(spark, sf):
-    rank = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id"))
-    return table(spark, sf, "events").withColumn("rank", rank).filter("rank <= 5").select("event_type", F.col("rank").cast("long").alias("rank"), "event_id")
+    return metrics.first_k(table(spark, sf, "events"), ["event_type"], [F.desc("value"), "event_id"], 5).select("event_type", "rank", "event_id")
 
 
 @query("SELECT gid, round(dist, 4) AS z FROM (SELECT vec_id AS gid, (embedding[1]::DOUBLE - 0.485::DOUBLE) / 0.229::DOUBLE AS dist FROM embeddings)")
 def z_score(spark, sf):
-    return splats(spark, sf).select("gid", r((F.col("x") - 0.485) / 0.229, 4).alias("z"))
+    return splats(spark, sf).select("gid", r(metrics.z_score(F.col("x"), 0.485, 0.229), 4).alias("z"))
+
+
+@query("SELECT user_id, round((max(epoch_us(ts) + (value * 1000000)::BIGINT) - min(epoch_us(ts))) / 1000000.0::DOUBLE, 2) AS elapsed, round(sum((value * 1000000)::BIGINT) / 1000000.0::DOUBLE, 2) AS busy, count(*) AS runs FROM events GROUP BY 1")
+def suite_timing(spark, sf):
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = table(spark, sf, "events").select("user_id", F.timestamp_micros(start).alias("start"), F.timestamp_micros(start + F.round(F.col("value") * 1_000_000).cast("long")).alias("end"))
+    return rounded(metrics.elapsed(rows, ["user_id"], "start", "end"), ["elapsed", "busy"], 2)
+
+
+@query(f"WITH {PAIRS} SELECT vec_id, count(*) FILTER (WHERE a > 0.55::DOUBLE) AS lit FROM pr GROUP BY 1")
+def lit_pixels(spark, sf):
+    pixels = image_pairs(spark, sf).select("vec_id", "c", "y", "x", (F.col("a") - 0.55).alias("v"))
+    return views.lit_mask(pixels, ["vec_id"]).groupBy("vec_id").agg(F.count_if("mask").alias("lit"))

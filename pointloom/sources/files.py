@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.harmonics import from_rgb
-from pointloom.session import workers_import, written
+from pointloom.functions.maths import d, focal_to_fov, fov_to_focal
+from pointloom.functions.text import base_name, stem
+from pointloom.session import qualified, workers_import, written
 
 PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "ushort": "u2", "int": "i4", "int32": "i4", "uint": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 
@@ -37,22 +39,37 @@ def ply_header(data: bytes) -> tuple[np.dtype, int, int]:
     return np.dtype(fields), n, end
 
 
-def read_ply(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The named vertex properties as doubles, with the row's place in its file; only these are decoded."""
+def read_ply(spark: SparkSession, path: str, columns: list[str], rows_per_task: int = 1 << 20) -> DataFrame:
+    """The named vertex properties as doubles, with the row's place in its file; only these are decoded.
+
+    Vertices have a fixed width, so a file is read in ranges of rows, by as many tasks as it has ranges and whatever its
+    size. The driver reads the headers only.
+    """
     workers_import(spark)
+    ranges = []
+    for file in spark.read.format("binaryFile").load(path).select("path").collect():  # names of files, one for each model
+        store, place = fs.FileSystem.from_uri(qualified(spark, file["path"]))
+        with store.open_input_file(place) as f:
+            _, n, _ = ply_header(f.read(1 << 16))
+        ranges += [(file["path"], at, min(rows_per_task, n - at)) for at in range(0, n, rows_per_task)]
+    schema = "gid long, " + ", ".join(f"`{c}` double" for c in columns)
+    if not ranges:
+        return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                data = content.as_py()
-                kind, n, start = ply_header(data)
-                rows = np.frombuffer(data, kind, n, start)
-                for at in range(0, n, 1 << 16):
-                    part = rows[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), *(pa.array(part[c].astype(float)) for c in columns)], ["gid", *columns])
+            for where in batch.to_pylist():
+                store, place = fs.FileSystem.from_uri(where["path"])
+                with store.open_input_file(place) as f:
+                    kind, _, start = ply_header(f.read(1 << 16))
+                    f.seek(start + where["first"] * kind.itemsize)
+                    for at in range(where["first"], where["first"] + where["n"], 1 << 16):
+                        n = min(1 << 16, where["first"] + where["n"] - at)
+                        part = np.frombuffer(f.read(n * kind.itemsize), kind, n)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), *(pa.array(part[c].astype(float)) for c in columns)], ["gid", *columns])
 
-    schema = "gid long, " + ", ".join(f"`{c}` double" for c in columns)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    dealt = spark.createDataFrame([(qualified(spark, p), a, n) for p, a, n in ranges], "path string, first long, n long").repartition(len(ranges))
+    return dealt.mapInArrow(run, schema)
 
 
 def read_point_cloud(spark: SparkSession, path: str) -> DataFrame:
@@ -66,8 +83,14 @@ def write_ply(rows: DataFrame, types: dict[str, str], path: str, key: str = "gid
     from pointloom.sources.sparse import packed_parts, write_one_file
 
     kind = np.dtype([(c, "<" + PLY_TYPES[t]) for c, t in types.items()])
-    names = list(types)
-    parts = packed_parts(rows.select(key, *names), key, lambda r: np.array([tuple(r[c] for c in names)], kind).tobytes())
+
+    def packed(batch: pa.RecordBatch) -> bytes:
+        out = np.empty(batch.num_rows, kind)
+        for c in types:
+            out[c] = batch.column(c).to_numpy(zero_copy_only=False)
+        return out.tobytes()
+
+    parts = packed_parts(rows.select(key, *types), key, packed)
     head = ["ply", "format binary_little_endian 1.0", f"element vertex {rows.count()}", *(f"property {t} {c}" for c, t in types.items()), "end_header", ""]
     write_one_file(parts, "\n".join(head).encode(), path)
 
@@ -118,47 +141,54 @@ def splat_dc(rows: DataFrame) -> DataFrame:
 # ---- images
 
 
+def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
+    """Bytes of a PNG's lines without their filters, height x width x step.
+
+    A byte depends on those to the left, above and above to the left, so pixels on one rising diagonal are independent:
+    they are decoded together, whatever filters their lines have.
+    """
+    h, w = len(rows), (rows.shape[1] - 1) // step
+    raw = rows[:, 1:].reshape(h, w, step).astype(np.int16)
+    out = np.zeros((h + 1, w + 1, step), np.int16)  # a line and a column of zeros before the image
+    how = rows[:, 0]
+    if how.max(initial=0) > 4:
+        raise ValueError("unknown PNG filter")
+    for diagonal in range(h + w - 1 if h and w else 0):
+        y = np.arange(max(0, diagonal - w + 1), min(h, diagonal + 1))
+        x = diagonal - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        p = a + b - c
+        pa_, pb, pc = np.abs(p - a), np.abs(p - b), np.abs(p - c)
+        nearest = np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
+        guess = np.choose(how[y][:, None], [np.zeros_like(a), a, b, (a + b) >> 1, nearest])
+        out[y + 1, x + 1] = raw[y, x] + guess & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def png_pixels(data: bytes) -> np.ndarray:
-    """Height x width x channels of a PNG of 8 or 16 bits, not interlaced, without a palette."""
+    """Height x width x channels of a PNG that is not interlaced: 8 or 16 bits, or a palette, whose colours are looked up."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
-    at, raw = 8, b""
+    at, raw, palette = 8, [], None
     while at < len(data):
         n, kind = struct.unpack_from(">I4s", data, at)
         body = data[at + 8 : at + 8 + n]
         if kind == b"IHDR":
             w, h, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
-            raw += body
+            raw.append(body)
         at += 12 + n
-    if depth not in (8, 16) or colour == 3 or interlace:
+    if interlace or depth not in ((1, 2, 4, 8) if colour == 3 else (8, 16)):
         raise ValueError("kind of PNG not supported")
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    step = channels * depth // 8
-    rows = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(h, 1 + w * step)
-    out = np.zeros((h, w * step), np.uint8)
-    above = np.zeros(w * step, np.uint8)
-    for y in range(h):
-        line, how = rows[y, 1:].copy(), rows[y, 0]
-        if how == 2:
-            line += above
-        elif how == 1:
-            for k in range(step):
-                line[k::step] = np.cumsum(line[k::step], dtype=np.uint8)
-        elif how in (3, 4):
-            ints, up = line.astype(int), above.astype(int)
-            for i in range(len(ints)):
-                a, b = (ints[i - step] if i >= step else 0), up[i]
-                if how == 3:
-                    guess = (a + b) // 2
-                else:
-                    c = up[i - step] if i >= step else 0
-                    p = a + b - c
-                    pa_, pb, pc = abs(p - a), abs(p - b), abs(p - c)
-                    guess = a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
-                ints[i] = ints[i] + guess & 255
-            line = ints.astype(np.uint8)
-        out[y] = above = line
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    step = max(1, channels * depth // 8)
+    line = -(-w * channels * depth // 8)
+    out = _unfiltered(np.frombuffer(zlib.decompress(b"".join(raw)), np.uint8).reshape(h, 1 + line), step).reshape(h, line)
+    if colour == 3:
+        bits = np.unpackbits(out, axis=1).reshape(h, -1, depth)[:, :w]
+        return palette[bits @ (1 << np.arange(depth)[::-1])]
     flat = out.view(">u2") if depth == 16 else out
     return flat.reshape(h, w, channels)
 
@@ -183,15 +213,55 @@ def pnm_pixels(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8, offset=head).reshape(int(h), int(w), 3 if kind == b"P6" else 1)
 
 
-def read_pixels(spark: SparkSession, path: str, divisor: float = 255.0) -> DataFrame:
-    """Pixel relation of images: path, c, y, x, v. Divisors of depth maps: 512 for synthetic scenes, 65536 for real ones."""
+def _taps(size: int, target: int) -> np.ndarray:
+    """Weights (target x size) of a cubic filter (a = -1/2) that widens with the step, so that shrinking averages."""
+    step = size / target
+    wide = max(step, 1.0)
+    away = np.abs(np.arange(size) + 0.5 - (np.arange(target) + 0.5)[:, None] * step) / wide
+    near = ((1.5 * away - 2.5) * away) * away + 1
+    far = ((-0.5 * away + 2.5) * away - 4) * away + 2
+    w = np.where(away < 1, near, np.where(away < 2, far, 0.0))
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def resized(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Pixels at another size by a cubic filter along both axes, rounded to their type; as they are at their own size."""
+    h, w, _ = pixels.shape
+    if (w, h) == (width, height):
+        return pixels
+    out = np.einsum("yh,hwc->ywc", _taps(h, height), pixels.astype(float), optimize=True)
+    out = np.einsum("xw,ywc->yxc", _taps(w, width), out, optimize=True)
+    return np.clip(np.round(out), 0, np.iinfo(pixels.dtype).max).astype(pixels.dtype)
+
+
+#: First bytes of image files that need a decoder from outside.
+FOREIGN = {b"\xff\xd8\xff": "jpg", b"RIFF": "webp", b"II*\0": "tif", b"MM\0*": "tif"}
+
+
+def image_pixels(data: bytes, name: str, decoders: dict | None = None) -> np.ndarray:
+    """Pixels of PNG and PNM; other formats by decoders {extension: function of bytes}, refused by name without one."""
+    kind = next((k for start, k in FOREIGN.items() if data.startswith(start)), None)
+    if kind:
+        if not decoders or kind not in decoders:
+            raise ValueError(f"{name} is a {kind} image, and no decoder for {kind} was given")
+        return decoders[kind](data)
+    return (png_pixels if data[:4] == b"\x89PNG" else pnm_pixels)(data)
+
+
+def read_pixels(spark: SparkSession, path: str, divisor: float = 255.0, size=None, decoders: dict | None = None) -> DataFrame:
+    """Pixel relation of images: path, c, y, x, v. Divisors of depth maps: 512 for synthetic scenes, 65536 for real ones.
+
+    size: a function of (width, height) that gives the size to bring images to. decoders: see ``image_pixels``; there is no
+    JPEG decoder here.
+    """
     workers_import(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = content.as_py()
-                v = (png_pixels if data[:4] == b"\x89PNG" else pnm_pixels)(data)
+                v = image_pixels(content.as_py(), name, decoders)
+                if size:
+                    v = resized(v, *size(v.shape[1], v.shape[0]))
                 y, x, c = (i.ravel().astype(np.int32) for i in np.indices(v.shape))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * v.size), pa.array(c), pa.array(y), pa.array(x), pa.array(v.ravel() / divisor)], ["path", "c", "y", "x", "v"])
 
@@ -219,7 +289,7 @@ def write_images(images: DataFrame, folder: str) -> DataFrame:
     A file appears whole under its name, also when a task is run again.
     """
     workers_import(images.sparkSession)
-    target = folder if "://" in folder else f"file://{folder}"
+    target = qualified(images.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(target)
@@ -248,10 +318,42 @@ def read_transforms(spark: SparkSession, path: str, extension: str = ".png") ->
     return rows.select("idx", "camera_angle_x", F.concat("f.file_path", F.lit(extension)).alias("file_path"), F.substring_index("f.file_path", "/", -1).alias("image_name"), flipped.alias("c2w"))
 
 
+def transform_cameras(frames: DataFrame, sizes: DataFrame, is_test: bool = False) -> DataFrame:
+    """Cameras of a synthetic scene. frames: read_transforms; sizes: image_name, width, height.
+
+    R (array of nine, by rows) is the transpose of the world-to-camera rotation and T its translation; fov_y follows from
+    fov_x and the size of the image. Matrices are inverted by cofactors, so scaled or sheared axes are right, too.
+    """
+    rows = frames.join(sizes.select("image_name", "width", "height"), "image_name")
+    rows = rows.withColumns({f"_m{i}{j}": F.get(F.get("c2w", F.lit(i)), F.lit(j)) for i in range(3) for j in range(4)})
+    m = [[F.col(f"_m{i}{j}") for j in range(4)] for i in range(3)]
+    rows = rows.withColumns({f"_c{i}{j}": m[(i + 1) % 3][(j + 1) % 3] * m[(i + 2) % 3][(j + 2) % 3] - m[(i + 1) % 3][(j + 2) % 3] * m[(i + 2) % 3][(j + 1) % 3] for i in range(3) for j in range(3)})
+    rows = rows.withColumn("_det", m[0][0] * F.col("_c00") + m[0][1] * F.col("_c01") + m[0][2] * F.col("_c02"))
+    # a cell of the inverse is the cofactor of the transposed cell, so R, its transpose, has the cofactors as they lie
+    cell = lambda i, j: F.col(f"_c{j}{i}") / F.col("_det")
+    moved = [-(cell(i, 0) * m[0][3] + cell(i, 1) * m[1][3] + cell(i, 2) * m[2][3]) for i in range(3)]
+    fov_y = focal_to_fov(fov_to_focal(F.col("camera_angle_x"), d(F.col("width"))), d(F.col("height")))
+    return rows.select(
+        F.col("idx").alias("uid"), "image_name", "file_path", F.array(*(cell(j, i) for i in range(3) for j in range(3))).alias("R"), F.array(*moved).alias("T"),
+        F.col("camera_angle_x").alias("fov_x"), fov_y.alias("fov_y"), "width", "height", F.lit(is_test).alias("is_test"),
+    )
+
+
+def image_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """image_name, width and height of PNG files, from their first bytes."""
+    number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("long")
+    rows = spark.read.format("binaryFile").load(path).filter(F.hex(F.substring("content", 1, 4)) == "89504E47")
+    return rows.select(stem(base_name(F.col("path"))).alias("image_name"), number(17).alias("width"), number(21).alias("height"))
+
+
 def read_keyed_json(spark: SparkSession, path: str, value: str, key: str = "name") -> DataFrame:
     """{key: value} of one JSON object as rows; a missing file is an error."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias(key, "value"))
+    return keyed_values(spark.read.text(path, wholetext=True), "value", value, key).select(key, "value")
+
+
+def keyed_values(rows: DataFrame, column: str, value: str, key: str = "name") -> DataFrame:
+    """rows with key and value for each entry of their JSON object {key: value}, instead of the text."""
+    return rows.select(*(c for c in rows.columns if c != column), F.explode(F.from_json(column, f"map<string,{value}>")).alias(key, "value"))
 
 
 def read_depth_params(spark: SparkSession, path: str) -> DataFrame:
@@ -308,6 +410,36 @@ def append_scalars(rows: DataFrame, folder: str) -> None:
     rows.select(F.col("run").cast("string"), F.col("iteration").cast("long"), F.col("tag").cast("string"), F.col("value").cast("double")).write.mode("append").parquet(folder)
 
 
+def append_images(images: DataFrame, folder: str) -> None:
+    """Add rows (run, iteration, tag, png) to a table of rendered views."""
+    images.select(F.col("run").cast("string"), F.col("iteration").cast("long"), F.col("tag").cast("string"), "png").write.mode("append").parquet(folder)
+
+
+def append_histogram(counts: DataFrame, folder: str, run: str, iteration: int, tag: str, bins: int) -> None:
+    """Add a histogram of 0..1 (bin, n) to a table of histograms: run, iteration, tag, low, high, n."""
+    edge = lambda k: (k / bins).cast("double")
+    rows = counts.select(F.lit(run).alias("run"), F.lit(iteration).cast("long").alias("iteration"), F.lit(tag).alias("tag"), edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), F.col("n").cast("long").alias("n"))
+    rows.write.mode("append").parquet(folder)
+
+
+def write_timing(elapsed: DataFrame, by: str, path: str) -> None:
+    """One text file of the minutes of each suite (column elapsed, in seconds); suites are few."""
+    line = F.format_string("%s: %s minutes", F.col(by), (F.col("elapsed") / 60).cast("string"))
+    elapsed.orderBy(by).select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_settings(spark: SparkSession, settings: dict, folder: str) -> None:
+    """The settings of a run as one JSON document beside its model."""
+    spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+
+
+def read_settings(spark: SparkSession, folder: str) -> dict:
+    """Saved settings; none where a folder has none, so that a command line alone decides."""
+    from pointloom.sources.sparse import _exists
+
+    return json.loads(spark.read.text(folder, wholetext=True).first()[0]) if _exists(spark, folder) else {}
+
+
 def latest(spark: SparkSession, folder: str, iteration: int | None = None, kind: str = "parquet") -> DataFrame:
     """A version of a table: the one named (0 too), else the largest."""
     rows = spark.read.format(kind).load(folder)

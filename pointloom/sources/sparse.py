@@ -7,16 +7,19 @@ file. Text files are read line by line by Spark. All readers give explicit schem
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.session import workers_import
+from pointloom.functions.maths import scalar_first
+from pointloom.session import qualified, workers_import
 
 #: Camera models of the format by id, with their number of parameters.
 CAMERA_MODELS = {
@@ -217,46 +220,70 @@ def write_model_text(cameras: DataFrame, images: DataFrame, points: DataFrame, f
     write_lines(point_lines(points), ["# 3D point list with one line of data per point:", "#   POINT3D_ID, X, Y, Z, R, G, B, ERROR, TRACK[] as (IMAGE_ID, POINT2D_IDX)", f"# Number of points: {tracks['n']}, mean track length: {tracks['mean']}"], f"{folder}/points3D.txt")
 
 
+def _each(pack):
+    """A function of a batch from one of a row: these records have lists of their own length."""
+    return lambda batch: b"".join([pack(r) for r in batch.to_pylist()])
+
+
 def pack_camera(r) -> bytes:
     return struct.pack("<iiQQ", r["camera_id"], MODEL_IDS[r["model"]], r["width"], r["height"]) + np.array(r["params"], "<f8").tobytes()
 
 
-def pack_image(r) -> bytes:
-    seen = np.array([(p["x"], p["y"], p["point3d_id"]) for p in r["points2d"]], OBSERVED).tobytes()
-    return struct.pack("<i7di", r["image_id"], *r["qvec"], *r["tvec"], r["camera_id"]) + r["name"].encode() + b"\0" + struct.pack("<Q", len(r["points2d"])) + seen
+def _items(lists: pa.Array, kind: np.dtype) -> list[bytes]:
+    """Each list of structs as packed records; the columns of all lists are filled at once."""
+    flat = lists.flatten()
+    out = np.empty(len(flat), kind)
+    for c in kind.names:
+        out[c] = flat.field(c).to_numpy(zero_copy_only=False)
+    raw, sizes = out.tobytes(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes) * kind.itemsize
+    return [struct.pack("<Q", n) + raw[e - n * kind.itemsize : e] for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+
+
+def pack_images(batch: pa.RecordBatch) -> bytes:
+    rows = batch.select(["image_id", "qvec", "tvec", "camera_id", "name"]).to_pylist()
+    heads = [struct.pack("<i7di", r["image_id"], *r["qvec"], *r["tvec"], r["camera_id"]) + r["name"].encode() + b"\0" for r in rows]
+    return b"".join([h + s for h, s in zip(heads, _items(batch.column("points2d"), OBSERVED), strict=True)])
+
 
+POINT_HEAD = np.dtype([("point3d_id", "<u8"), ("x", "<f8"), ("y", "<f8"), ("z", "<f8"), ("r", "u1"), ("g", "u1"), ("b", "u1"), ("error", "<f8")])
 
-def pack_point(r) -> bytes:
-    track = np.array([(t["image_id"], t["point2d_idx"]) for t in r["track"]], TRACKED).tobytes()
-    return struct.pack("<QdddBBBdQ", r["point3d_id"], r["x"], r["y"], r["z"], r["r"], r["g"], r["b"], r["error"], len(r["track"])) + track
+
+def pack_points(batch: pa.RecordBatch) -> bytes:
+    out = np.empty(batch.num_rows, POINT_HEAD)
+    for c in POINT_HEAD.names:
+        out[c] = batch.column(c).to_numpy(zero_copy_only=False)
+    raw, n = out.tobytes(), POINT_HEAD.itemsize
+    return b"".join([raw[k * n : (k + 1) * n] + t for k, t in enumerate(_items(batch.column("track"), TRACKED))])
 
 
 def packed_parts(rows: DataFrame, key: str, pack) -> DataFrame:
-    """Records in binary form, one blob for each partition, with its number and count: parts of one file in order."""
+    """Records in binary form, a blob for each batch of rows, with its first key and count: parts of one file in order."""
     workers_import(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [pack(r) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(key)[0].as_py()], pa.int64()), pa.array([len(out)], pa.int64()), pa.array([b"".join(out)], pa.binary())], ["first", "n", "data"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(key)[0].as_py()], pa.int64()), pa.array([batch.num_rows], pa.int64()), pa.array([pack(batch)], pa.binary())], ["first", "n", "data"])
 
     return rows.repartitionByRange(key).sortWithinPartitions(key).mapInArrow(run, "first long, n long, data binary")
 
 
 def write_one_file(parts: DataFrame, head: bytes, path: str) -> None:
     """head and all parts in order as one file. The format is a single file, so one task writes it, part after part;
-    packing stays parallel, and the task holds one part at a time."""
+    packing stays parallel, and the task holds one part at a time. It appears whole, also when a task is run again."""
     workers_import(parts.sparkSession)
-    target = path if "://" in path else f"file://{path}"
+    target = qualified(parts.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, place = fs.FileSystem.from_uri(target)
-        with store.open_output_stream(f"{place}.tmp", compression=None) as f:
+        temporary = f"{place}.{uuid.uuid4().hex}.tmp"
+        with store.open_output_stream(temporary, compression=None) as f:
             f.write(head)
             for batch in batches:
                 for data in batch.column("data"):
-                    f.write(data.as_py())
-        store.move(f"{place}.tmp", place)
+                    f.write(data.as_buffer())
+        store.move(temporary, place)
         yield pa.RecordBatch.from_arrays([pa.array([place])], ["path"])
 
     parts.repartition(1).sortWithinPartitions("first").mapInArrow(run, "path string").count()
@@ -271,9 +298,18 @@ def write_model(cameras: DataFrame, images: DataFrame, points: DataFrame, folder
     if ext.lstrip(".") == "txt":
         write_model_text(cameras, images, points, folder)
         return
-    write_binary(cameras, "camera_id", pack_camera, f"{folder}/cameras.bin")
-    write_binary(images, "image_id", pack_image, f"{folder}/images.bin")
-    write_binary(points, "point3d_id", pack_point, f"{folder}/points3D.bin")
+    write_binary(cameras, "camera_id", _each(pack_camera), f"{folder}/cameras.bin")
+    write_binary(images, "image_id", pack_images, f"{folder}/images.bin")
+    write_binary(points, "point3d_id", pack_points, f"{folder}/points3D.bin")
+
+
+def export_capture(frames: DataFrame, cameras: DataFrame, points: DataFrame, folder: str, ext: str = "txt") -> None:
+    """A model folder of a device capture. frames: what ``views.capture_frames`` gives for poses with q (x, y, z, w) and t.
+
+    Images have no observations, points no tracks; cameras has one row, camera 1.
+    """
+    images = frames.select(F.col("image_id").cast("int").alias("image_id"), scalar_first(F.col("q")).alias("qvec"), F.col("t").alias("tvec"), F.lit(1).alias("camera_id"), "name", F.array().cast(IMAGE["points2d"].dataType).alias("points2d"))
+    write_model(cameras, images, points, folder, ext)
 
 
 def parse_dense(data: bytes) -> np.ndarray:

@@ -175,9 +175,14 @@ def lit_mask(pixels: DataFrame, by: list[str]) -> DataFrame:
     return pixels.groupBy(*by, "y", "x").agg((F.max("v") > 0).alias("mask"))
 
 
-def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """A fixed pseudo-random order."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+def _draw(seed: int, *parts: Column) -> Column:
+    """A pseudo-random key, the same for the same seed and parts whatever the partitioning."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts)).cast("binary"))
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 0, place: str = "place") -> DataFrame:
+    """df with each row's place in a fixed pseudo-random order."""
+    return global_index(df.withColumn("_h", _draw(seed, F.col(key))), ["_h", key], place).drop("_h")
 
 
 def epoch_slots(iterations: DataFrame, n: int) -> DataFrame:
@@ -191,7 +196,7 @@ def epoch_order(views: DataFrame, epochs: DataFrame, key: str, seed: int = 0) ->
     views are counted by one row for each range, epochs (epoch) are few: rows are the answer's own, epochs times views.
     """
     drawn = views.select(key).crossJoin(F.broadcast(epochs.select("epoch").distinct()))
-    drawn = drawn.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(key).cast("string")).cast("binary")))
+    drawn = drawn.withColumn("_h", _draw(seed, F.col("epoch"), F.col(key)))
     rows = global_index(drawn, ["epoch", "_h", key], "_at")
     first = rows.groupBy("epoch").agg(F.min("_at").alias("_first"))  # a row for each epoch
     return rows.join(F.broadcast(first), "epoch").select("epoch", (F.col("_at") - F.col("_first")).alias("slot"), key)

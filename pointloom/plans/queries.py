@@ -636,3 +636,53 @@ def suite_timing(spark, sf):
 def lit_pixels(spark, sf):
     pixels = image_pairs(spark, sf).select("vec_id", "c", "y", "x", (F.col("a") - 0.55).alias("v"))
     return views.lit_mask(pixels, ["vec_id"]).groupBy("vec_id").agg(F.count_if("mask").alias("lit"))
+
+
+# ---- pieces that files are read with
+
+
+@query("""SELECT p_partkey, p_size * 10.0::DOUBLE AS fx, CASE WHEN p_partkey % 2 = 0 THEN p_size * 10.0::DOUBLE ELSE p_retailprice END AS fy FROM part""")
+def focal_lengths(spark, sf):
+    model = F.when(F.col("p_partkey") % 2 == 0, "SIMPLE_PINHOLE").otherwise("PINHOLE")
+    fx, fy = views.focal_lengths(model, F.array((F.col("p_size") * 10).cast("double"), F.col("p_retailprice"), d(1.0), d(2.0)))
+    return table(spark, sf, "part").select("p_partkey", fx.alias("fx"), fy.alias("fy"))
+
+
+@query("""WITH t AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_name, s_suppkey) - 1 AS idx, count(*) OVER () AS n FROM supplier)
+SELECT s_suppkey AS view_key, 'train' AS split FROM t WHERE idx IN (5 % n, 10 % n, 15 % n, 20 % n, 25 % n) UNION ALL SELECT c_custkey, 'test' FROM customer""")
+def validation_views(spark, sf):
+    train = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("view_key"), F.col("s_name").alias("name"))
+    test = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("view_key"), F.lit("").alias("name"))
+    return views.validation_views(train, test, ["name", "view_key"]).select("view_key", "split")
+
+
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY md5('3:' || s_suppkey), s_suppkey) - 1 AS place FROM supplier")
+def shuffled_views(spark, sf):
+    return views.shuffled(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", 3)
+
+
+@query("""SELECT event_id, strftime(ts, '%d/%m %H:%M:%S') AS label, event_id || ',' || (event_id + 2) AS odd, starts_with(trim(event_type), 'v') AS comment, (props->>'$.k')::BIGINT AS renamed FROM events""")
+def text_tools(spark, sf):
+    rows = table(spark, sf, "events")
+    shown = F.when(F.startswith(F.col("event_type"), F.lit("v")), F.concat(F.lit(" # "), "event_type")).otherwise(F.col("event_type"))
+    keys = text.renamed_keys(F.from_json("props", "map<string,bigint>"), "k", "key")
+    numbers = text.fields(F.concat(F.lit(" "), *(x for i in range(4) for x in ((F.col("event_id") + i).cast("string"), F.lit("  ")))))
+    odd = F.array_join(text.every(numbers, 2), ",")
+    return rows.select("event_id", text.log_label(F.col("ts")).alias("label"), odd.alias("odd"), text.is_comment(shown).alias("comment"), F.try_element_at(keys, F.lit("key")).alias("renamed"))
+
+
+@query(f"""WITH {S}, {ROT} SELECT gid, round(r0 / tan(0.5::DOUBLE), 6) AS m00, round(r5 / tan(0.25::DOUBLE), 6) AS m21, round(r6 * 100 / (100 - 0.01::DOUBLE), 6) AS m02, round(z, 6) AS m33, round(-(r0*x + r3*y + r6*z), 6) AS centre FROM rot""")
+def full_projection(spark, sf):
+    m, p = unit_rotation(), [F.col(c) for c in "xyz"]
+    view = [[*m[i], p[i]] for i in range(3)] + [[d(0.0), d(0.0), d(0.0), d(1.0)]]
+    full = maths.full_projection(view, maths.projection(0.01, 100.0, d(1.0), d(0.5)))  # row vectors: cell i, j takes world i to clip j
+    shown = {"m00": full[0][0], "m21": full[2][1], "m02": full[0][2], "m33": full[3][3], "centre": maths.camera_centre(view)[0]}
+    return splats(spark, sf).select("gid", *(r(c).alias(n) for n, c in shown.items()))
+
+
+@query(f"""WITH {S}, p AS (SELECT a.gid, (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 AS d2 FROM s a JOIN s b ON a.gid <> b.gid),
+k AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY d2) AS n FROM p), m AS (SELECT gid, avg(d2) AS d2 FROM k WHERE n <= 3 GROUP BY 1)
+SELECT gid, round(ln(sqrt(greatest(d2, 1e-7))), 4) AS s1, round((abs(x) - 0.5) / (0.5::DOUBLE * sqrt(1 / pi())), 6) AS dc, round(ln(0.1::DOUBLE / 0.9::DOUBLE), 6) AS opacity, 45 AS rest FROM m JOIN s USING (gid)""")
+def initial_splats(spark, sf):
+    cloud = splats(spark, sf).select("gid", "x", "y", "z", F.abs("x").alias("red"), F.abs("y").alias("green"), F.abs("z").alias("blue"))
+    return density.initial(cloud).select("gid", r(F.col("s1"), 4).alias("s1"), r(F.col("f_dc")[0]).alias("dc"), r(F.col("opacity")).alias("opacity"), F.size("f_rest").alias("rest"))

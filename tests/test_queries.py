@@ -50,5 +50,11 @@ def test_rest_stands_without_llm(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/pointloom", tmp_path / "pointloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    shutil.copytree(f"{root}/tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'depth_calibration' in q and 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
+    tests = [sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests"]
+    found = subprocess.run([*tests, "--collect-only"], cwd=tmp_path, check=True, env=env, capture_output=True, text=True).stdout
+    assert "test_scene.py::test_composite" in found and "llm" not in found.replace("without_llm", "")
+    subprocess.run([*tests, "-k", "test_entry or (test_query_equals_sql and llff_holdout)"], cwd=tmp_path, check=True, env=env)

@@ -28,7 +28,7 @@ from pointloom.llm.common import Recent, append
 #: only str.split() takes for blanks, go through the tokenizer file's own normaliser and splitter.
 LATIN_BLANK = r"\t-\r \x85\xa0"
 #: Entries of each cache of a worker, at about 300 bytes.
-CACHE = 200_000
+CACHE = 128_000
 
 
 def byte_symbols() -> list[str]:

@@ -57,6 +57,7 @@ def append(
                 part = batch.slice(start, rows)
                 made = work(*(part.column(c) for c in inputs))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names)
+        pa.default_memory_pool().release_unused()  # the worker lives on, and later tasks need other memory
 
     order = [c for c in df.columns if c.lower() not in gone or c in inputs]
     return df.select(*(F.col(f"`{c}`") for c in order)).mapInArrow(run, schema)

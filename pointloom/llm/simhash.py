@@ -235,12 +235,13 @@ def keep_one_per_group(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """One row of df for each component: that with the smallest doc_id, null ids last, and of rows that repeat it the first.
 
     Rows are decided one by one, so two texts of one id are not confused, and repeated rows and rows without an id are
-    copies like any other. df is written with its fingerprints and a number for each row; only these meet in shuffles until
-    the numbers of the rows that go are joined back.
+    copies like any other. df is written with a number for each row; only fingerprints, ids and numbers meet in shuffles
+    until the numbers of the rows that go are joined back.
     """
-    fp, row = new_name(df, "_fp"), new_name(df, "_row")
-    whole = materialize(with_fingerprint(df, text, fp, shingle).withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
-    rows = whole.select(F.col(fp).alias("fp"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(row).alias("row"))
+    row = new_name(df, "_row")
+    whole = materialize(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = whole.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(row).alias("row"))
+    rows = materialize(with_fingerprint(rows, shingle=shingle, drop=("text",)), "fingerprints")
     # components are named by the row that stays: the order of rows is that of (no id, id, row)
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     named = _named(rows.select("fp", best.alias("doc_id"), "row"), max_bits)

@@ -5,13 +5,12 @@ import random
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from pointloom.llm import bpe, chat, exact, langid, lines, mixing, quality, queries, simhash, substring
 from test_operators import brute_components, brute_fingerprint, brute_repeats, frame, library
 
-LONG = " ".join(f"w{k % 7919}x{k % 31}" for k in range(150_000))
+LONG = " ".join(f"w{k % 7919}x{k % 31}" for k in range(60_000))
 
 
 # ---- BPE
@@ -39,10 +38,10 @@ def test_long_texts(spark):
     mixed = mixing.mix(df, queries.tree(), mixing.word_count(F.col("text")), {}, (1, 1), 1)
     assert {r.doc_id: r.copies for r in mixed.collect()} == {1: 1, 2: 1, 3: 1}
     told = quality.judge(df, None).filter("doc_id = 1").first()
-    assert told.n_words == 150_000 and told.word_chars == len(LONG) - 149_999
+    assert told.n_words == 60_000 and told.word_chars == len(LONG) - 59_999
     assert langid.predict(df, {"en": langid.top_grams(LONG).tolist()}).first().lang_pred == "en"
     gone = {r.doc_id: (r.n_words, r.n_removed) for r in substring.drop_repeats(df).collect()}
-    assert gone == {1: (150_000, 150_000), 2: (150_001, 150_000), 3: (7, 0)}
+    assert gone == {1: (60_000, 60_000), 2: (60_001, 60_000), 3: (7, 0)}
 
 
 # ---- SimHash
@@ -127,7 +126,7 @@ def test_windows_with_equal_hashes_are_told_apart():
             assert substring.repeated_windows(words, at, 5, hashed).tolist() == want
 
 
-def test_substring_many_buckets_and_batches(spark, sf, monkeypatch):
+def test_substring_many_buckets_and_batches(spark, sf):
     """A passage in a third of all documents, many buckets, and columns of odd types and clashing names."""
     rng = random.Random(9)
     passage = " ".join(f"p{k}" for k in range(50))
@@ -220,9 +219,8 @@ def test_exact_hot_text(spark):
     assert sum(r.kept for r in out) == 1001
 
 
-@pytest.mark.parametrize("digits", [1, 2, 4])
-def test_mixing_ranges_do_not_change_the_mix(spark, digits):
+def test_mixing_ranges_do_not_change_the_mix(spark):
     rows = [(k, "w " * (k % 9), "en", f"src{k % 3}") for k in range(300)]
     df = frame(spark, rows, "doc_id long, text string, lang string, source string")
     take = lambda n: {r.doc_id: r.copies for r in mixing.mix(df, queries.tree(), mixing.word_count(F.col("text")), {"web": 2}, (1, 2), 2, 5, digits=n).collect()}
-    assert take(digits) == take(3)
+    assert take(1) == take(3)

@@ -30,7 +30,7 @@ from pointloom.llm.common import append, materialize, new_name, workers_import
 from pointloom.llm.graph import components
 
 SEED = 42
-#: A fingerprint is hot when more than one row in HOT has it.
+#: A fingerprint or component is hot when it has more than one row in HOT.
 HOT = 1000
 CHUNK = 1 << 18
 
@@ -200,24 +200,27 @@ def fingerprint_links(classes: DataFrame, max_bits: int = 3, blocks: int = 8) ->
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _named(rows: DataFrame, max_bits: int) -> DataFrame:
-    """rows (fp, doc_id and others) with component_id.
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of table, which has key once and n, the number of rows with that key.
 
-    Every row looks its fingerprint up. A fingerprint of more than 1 in HOT rows would send all of these to one task; there
-    are fewer than HOT such fingerprints, whatever the data, so they are broadcast, and only the others are dealt out.
+    A key of more than 1 in HOT rows would send all of these to one task. There are fewer than HOT such keys, whatever the
+    data, so they are broadcast, and only the others are dealt out.
     """
+    total = rows.count()
+    hot, cold = table.filter(F.col("n") * HOT > total).drop("n"), table.filter(F.col("n") * HOT <= total).drop("n")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+def _named(rows: DataFrame, max_bits: int) -> DataFrame:
+    """rows (fp, doc_id and others) with component_id."""
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     links = materialize(fingerprint_links(classes.select("fp"), max_bits), "fingerprint-links")
     member = components(links)
     linked = member.join(classes.withColumnRenamed("fp", "node"), "node")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(least, "root").select(F.col("node").alias("fp"), "component_id")
+    least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "roots")
+    named = looked_up(member, least, "root").select(F.col("node").alias("fp"), "component_id")
     ids = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
-    ids = materialize(ids, "components")
-    total = rows.count()
-    hot = ids.filter(F.col("n") * HOT > total).select("fp", "component_id")
-    cold = ids.filter(F.col("n") * HOT <= total).select("fp", "component_id")
-    return rows.join(F.broadcast(hot), "fp").unionByName(rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp"))
+    return looked_up(rows, materialize(ids, "components"), "fp")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 3, shingle: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import bpe, chat, exact, langid, lines, mixing, quality, simhash, substring, warc
+from pointloom.llm import bpe, chat, exact, importance, langid, lines, mixing, quality, repair, sharding, simhash, substring, warc
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -203,11 +203,125 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = repair.summaries(repair.repair(repair.damage(rows)))
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    out = every.join(told, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", _sha(F.lit(""))).alias("repaired_sha256"))
+
+
+def _op11_sql() -> str:
+    """The cheapest edits from the last row back, for each state of the grammar: so many inserts, then an edit of the row."""
+    step = []  # state, inserts, edit, initial it needs, state after, roles of inserts and of a new role
+    for state in range(4):
+        at, put = state, []
+        for k in range(4):
+            call = repair.CALLS[at]
+            lines = "".join(f"{repair.NAMES[c]}:\\n" for c in put)
+            step += [(state, k, "D", "*", at, lines, ""), (state, k, "R", "*", int(repair.NEXT[at]), lines, repair.NAMES[call])]
+            step += [(state, k, "K", i, int(to[at]), lines, "") for i, to in zip("sua", repair.KEEP, strict=False) if to[at] < 4]
+            at, put = int(repair.NEXT[at]), [*put, call]
+    rows = ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"e'{x}'" for x in r) + ")" for r in step)
+    ends = ", ".join(f"({s}, {c}, '{'I' * (c // 2)}', e'{t}')" for s, c, t in ((0, 0, ""), (1, 4, "user:\\nassistant:\\n"), (2, 2, "assistant:\\n"), (3, 0, "")))
+    return f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+lot AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_sql_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS lot
+  FROM conversations, crc),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+    CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM lot, range(2) t(again) WHERE lot <> 0 AND (again = 0 OR lot = 3)),
+ranked AS (
+  SELECT *, substr(role, 1, 1) AS initial, row_number() OVER w AS rn, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+marked AS (
+  SELECT *, NOT regexp_matches(text, '[^ \\t-\\r]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][ \\t-\\r]*\\z') AS cut,
+    coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY rn) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM ranked),
+step(state, k, edit, needs, after, lines, new_role) AS (VALUES {rows}),
+best(conv_id, rn, state, found) AS (
+  SELECT conv_id, n + 1, state, {{'cost': cost, 'audit': audit, 'lines': lines}}
+  FROM (SELECT DISTINCT conv_id, n FROM ranked), (VALUES {ends}) e(state, cost, audit, lines)
+  UNION ALL
+  SELECT m.conv_id, m.rn, s.state, min({{
+      'cost': b.found.cost + 2 * s.k + CASE s.edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN s.edit <> 'D' AND m.cut THEN 1 ELSE 0 END,
+      'audit': repeat('I', s.k) || s.edit || b.found.audit,
+      'lines': s.lines || CASE WHEN s.edit = 'D' THEN '' ELSE CASE s.edit WHEN 'R' THEN s.new_role ELSE m.role END || ':' || m.text || chr(10) END || b.found.lines}})
+  FROM best b JOIN marked m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.rn = b.rn - 1
+    JOIN step s ON s.after = b.state AND s.needs IN ('*', m.initial) AND (s.edit = 'D' OR NOT (m.blank OR m.again))
+  GROUP BY m.conv_id, m.rn, s.state),
+told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut AND NOT again AND NOT blank) AS truncated,
+    count(*) FILTER (WHERE illegal) AS illegal
+  FROM marked GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(found.cost, 0)::BIGINT AS cost, coalesce(found.audit, '') AS audit,
+  sha256(coalesce(left(found.lines, greatest(length(found.lines) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM d.conv_id
+  LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM d.conv_id AND b.rn = 1 AND b.state = 0
+"""
+
+
+#: CRC-32 in SQL: the table of bytes as one list.
+CRC_TABLE = """SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) t(i)"""
+
+
+def _sql_crc(text: str) -> str:
+    byte = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+#: Features, buckets, the share of documents drawn, and the least words of one that may be.
+NGRAMS, BUCKETS, PERCENT, MIN_WORDS, DRAW_SEED = 1, 10_000, 10, 20, 2024
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    out = importance.resample(docs, target, PERCENT, MIN_WORDS, NGRAMS, BUCKETS, DRAW_SEED, drop=("text",))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = rf"""
+WITH crc AS ({CRC_TABLE}),
+said AS (
+  SELECT row, doc_id, target, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-/:-`{{-\x7F]+')) AS word
+  FROM (SELECT row_number() OVER () AS row, doc_id, text, false AS target FROM documents
+        UNION ALL SELECT NULL, NULL, text, true FROM benchmark)),
+hashed AS (SELECT word, {_sql_crc("word")} % {BUCKETS} AS bucket FROM (SELECT DISTINCT word FROM said), crc),
+feature AS (SELECT row, target, bucket FROM said JOIN hashed USING (word)),
+tally AS (SELECT bucket, count(*) FILTER (WHERE NOT target) AS s, count(*) FILTER (WHERE target) AS t FROM feature GROUP BY bucket),
+total AS (SELECT sum(s)::DOUBLE AS ss, sum(t)::DOUBLE AS tt FROM tally),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (ss + {BUCKETS}) / ((s + 1)::DOUBLE * (tt + {BUCKETS}))))::BIGINT AS gain FROM tally, total),
+doc AS (
+  SELECT d.row, d.doc_id, count(bucket) AS n_features, coalesce(floor(sum(gain)::DOUBLE / nullif(count(bucket), 0)), 0)::BIGINT AS weight
+  FROM (SELECT row_number() OVER () AS row, doc_id FROM documents) d LEFT JOIN feature f ON f.row = d.row AND NOT f.target LEFT JOIN gain USING (bucket)
+  GROUP BY d.row, d.doc_id),
+scored AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('{DRAW_SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM doc),
+placed AS (
+  SELECT *, n_features >= {MIN_WORDS} AS may, count(*) FILTER (WHERE n_features >= {MIN_WORDS}) OVER () AS many,
+         row_number() OVER (PARTITION BY n_features >= {MIN_WORDS} ORDER BY score DESC, doc_id NULLS FIRST, weight, n_features) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= {PERCENT} * many // 100 THEN place END AS rank FROM placed
+"""
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs, 24, drop=("text",)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_bpe, op2_line_dedup, op3_simhash, op4_warc, op5_mixing, op6_chat, op7_substring, op8_exact, op9_quality, op10_langid)
+    named = (op1_bpe, op2_line_dedup, op3_simhash, op4_warc, op5_mixing, op6_chat, op7_substring, op8_exact, op9_quality, op10_langid, op11_repair, op12_importance, op13_sharding)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
     """Operators whose results SQL can express on whole tables in reasonable time."""
-    return {"op2_line_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op5_mixing": _op5_sql(), "op6_chat": OP6_SQL, "op8_exact": OP8_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op5_mixing": _op5_sql(), "op6_chat": OP6_SQL, "op8_exact": OP8_SQL, "op11_repair": _op11_sql(), "op12_importance": OP12_SQL}

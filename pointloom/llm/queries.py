@@ -32,27 +32,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A page's own lines stand on it and its copies; what more than a hundredth of a site's pages repeat is its template.
-MAX_RATIO = 0.01
+MAX_RATIO, PRIOR_PAGES = 0.01, 300
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = lines.drop_site_lines(docs, "source", "text", MAX_RATIO, removed="n_removed")
+    out = lines.drop_site_lines(docs, "source", "text", MAX_RATIO, PRIOR_PAGES, removed="n_removed")
     return out.select("doc_id", "n_removed", _sha(F.coalesce("text", F.lit(""))).alias("text_sha256"))
 
 
 OP2_SQL = f"""
 WITH line AS (
-  SELECT row, doc_id, source, u.line, u.pos, trim(u.line) AS said
-  FROM (SELECT row_number() OVER () AS row, doc_id, source, text FROM documents) d,
+  SELECT row, doc_id, source, content, u.line, u.pos, trim(u.line) AS said
+  FROM (SELECT row_number() OVER () AS row, doc_id, source, text, md5(text) AS content FROM documents) d,
        unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS u(line, pos)),
-total AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+total AS (SELECT source, count(DISTINCT md5(text)) AS pages FROM documents GROUP BY source),
 bad AS (
   SELECT l.source, l.said FROM line l JOIN total t ON l.source = t.source WHERE l.said <> ''
   GROUP BY l.source, l.said, t.pages
-  HAVING count(DISTINCT l.row) >= 2 AND count(DISTINCT l.row) > t.pages * {MAX_RATIO}::double),
+  HAVING count(DISTINCT l.content) > 1 AND count(DISTINCT l.content) > (t.pages + {PRIOR_PAGES}) * {MAX_RATIO}::double),
+found AS (
+  SELECT l.*, b.said IS NOT NULL AS hit FROM line l LEFT JOIN bad b ON l.source = b.source AND l.said = b.said),
 marked AS (
-  SELECT l.*, b.said IS NOT NULL AS gone FROM line l LEFT JOIN bad b ON l.source = b.source AND l.said = b.said)
+  SELECT *, hit AND bool_or(said <> '' AND NOT hit) OVER (PARTITION BY row) AS gone FROM found)
 SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_sha256
 FROM marked GROUP BY row, doc_id

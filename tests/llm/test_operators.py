@@ -73,14 +73,18 @@ def test_bpe_cuts_are_certain():
 
 # ---- line dedup
 
-def brute_lines(rows, ratio, least):
+def brute_lines(rows, ratio, prior):
     total, seen = Counter(), Counter()
-    for _, host, text in rows:
-        if host is not None:
-            total[host] += 1
-            seen.update({(host, x.strip(" ")) for x in (text or "").split("\n") if x.strip(" ")})
-    bad = {k for k, n in seen.items() if n >= least and n > ratio * total[k[0]]}
-    return sorted((i, None if t is None else "\n".join(x for x in t.split("\n") if (h, x.strip(" ")) not in bad)) for i, h, t in rows)
+    for host, text in {(h, t) for _, h, t in rows if h is not None and t is not None}:
+        total[host] += 1
+        seen.update({(host, x.strip(" ")) for x in text.split("\n") if x.strip(" ")})
+    bad = {k for k, n in seen.items() if n > 1 and n > (total[k[0]] + prior) * ratio}
+
+    def cut(host, text):
+        left = [x for x in text.split("\n") if (host, x.strip(" ")) not in bad]
+        return "\n".join(left) if any(x.strip(" ") for x in left) else text
+
+    return sorted((i, None if t is None else cut(h, t)) for i, h, t in rows)
 
 
 def test_line_dedup(spark):
@@ -91,9 +95,9 @@ def test_line_dedup(spark):
         rows.append((i, rng.choice(["a", "a", "a", "b", "c", None]), "\n".join(body)))
     rows += [(900, "a", None), (901, None, "menu\nmenu"), (902, "z", "menu")]
     df = frame(spark, [(*r, 1, "k") for r in rows], "doc_id long, source string, text string, _boilerplate int, _site string")
-    out = lines.drop_site_lines(df, "source", "text", 0.1, 5, removed="n")
+    out = lines.drop_site_lines(df, "source", "text", 0.1, 40, removed="n")
     got = sorted((r.doc_id, r.text) for r in out.collect())
-    assert got == brute_lines(rows, 0.1, 5)
+    assert got == brute_lines(rows, 0.1, 40) and got != brute_lines(rows, 0.1, 300)
     assert out.columns == [*df.columns, "n"]
     assert lines.drop_site_lines(df.limit(0)).count() == 0
 
@@ -103,12 +107,23 @@ def test_line_dedup_large_site(spark):
     rows = [(i, "big", "\n".join([f"own {i}", *(["foot"] if i % 100 < 3 else []), *(["said again"] if i % 200 == 7 else [])])) for i in range(2000)]
     rows += [(2000 + i, "small", f"own {i}\nfoot" if i < 4 else f"own {i}") for i in range(40)]
     rows += [(3000 + i, "four", f"foot\nown {i}") for i in range(4)] + [(4000, "one", "foot\nown")]
-    out = lines.drop_site_lines(frame(spark, rows, "doc_id long, source string, text string"), "source", "text", queries.MAX_RATIO, removed="n")
+    out = lines.drop_site_lines(frame(spark, rows, "doc_id long, source string, text string"), "source", "text", queries.MAX_RATIO, queries.PRIOR_PAGES, removed="n")
     got = {r.doc_id: (r.text, r.n) for r in out.collect()}
     want = {i: (text, 0) if site == "one" else ("\n".join(x for x in text.split("\n") if x != "foot"), text.split("\n").count("foot")) for i, site, text in rows}
     assert got == want and sum(n for _, n in got.values()) == 68
 
 
+def test_line_dedup_keeps_copied_pages(spark):
+    """Copies of a page are one page, whatever the site's size, and no page loses all its lines."""
+    page = "first line of a page\nsecond line of it"
+    rows = [(k, "small", page) for k in range(2)] + [(10 + k, "small", f"own {k}\nfoot") for k in range(48)]
+    rows += [(100 + k, "copies", page) for k in range(30)] + [(200 + k, "near", f"{page}\nend {k}") for k in range(9)] + [(300, "near", page)]
+    out = lines.drop_site_lines(frame(spark, rows, "doc_id long, source string, text string"))
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert [got[k] for k in (0, 1, *range(100, 130), 300)] == [page] * 33
+    assert [got[10 + k] for k in range(48)] == [f"own {k}" for k in range(48)] and [got[200 + k] for k in range(9)] == [f"end {k}" for k in range(9)]
+
+
 # ---- SimHash
 
 def brute_fingerprint(text):

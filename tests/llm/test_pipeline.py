@@ -49,7 +49,7 @@ def told(rows):
 
 def cut(rows):
     """Rows are numbered, since ids repeat."""
-    kept = brute_lines([(k, r[3], r[1]) for k, r in enumerate(rows)], queries.MAX_RATIO, 2)
+    kept = brute_lines([(k, r[3], r[1]) for k, r in enumerate(rows)], queries.MAX_RATIO, queries.PRIOR_PAGES)
     return [(r[0], t, r[2], r[3], None if t is None else len(t)) for r, (_, t) in zip(rows, kept, strict=True)]
 
 
@@ -108,6 +108,19 @@ def test_stages_and_run_equal_a_plain_chain(spark, rows, tmp_path):
     assert "read more" not in " ".join(r[1] or "" for r in plain) and re.search("[a-z]", plain[0][1])
 
 
+def test_copies_on_a_small_site_leave_one_text(spark, sf, tmp_path):
+    """Two exact copies on a site of 50 pages: neither is emptied, and one of them is encoded at the end."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    text = "\n".join(x for (x,) in docs.filter("lang = 'en'").orderBy("doc_id").select("text").limit(2).collect())
+    more = spark.createDataFrame([(5000 + k, text, "en", "src77", len(text)) for k in range(2)], COLUMNS)
+    others = docs.filter("doc_id < 48").withColumn("doc_id", F.col("doc_id") + 6000).withColumn("source", F.lit("src77"))
+    docs.union(more).union(others).write.parquet(str(tmp_path / "documents.parquet"))
+    cut = corpus_pipeline.drop_boilerplate(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {r.text for r in cut.filter("doc_id in (5000, 5001)").collect()} == {text}
+    ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert 5000 in ids and 5001 not in ids
+
+
 def test_stages_on_an_empty_table(spark, rows):
     docs = frame(spark, rows).limit(0)
     for name, stage in corpus_pipeline.STAGES:

@@ -28,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut lines that much of a source repeats; n_chars follows the text. Documents stay, even when no line does."""
-    out = lines.drop_site_lines(docs, "source", "text", queries.MAX_RATIO)
+    """Cut lines that much of a source repeats; n_chars follows the text. Documents stay, and keep a line at least."""
+    out = lines.drop_site_lines(docs, "source", "text", queries.MAX_RATIO, queries.PRIOR_PAGES)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
 
 

@@ -51,10 +51,18 @@ def _place(spark: SparkSession, path: str):
 
 
 def qualified(spark: SparkSession, path: str) -> str:
-    """path as a URI with its scheme: files written by tasks go where spark.read and spark.write take the same path."""
+    """path as a URI for pyarrow's file systems: files that tasks open are those that Spark has at the same path."""
     place, store = _place(spark, path)
-    out = store.makeQualified(place).toString()
-    return f"file://{out[5:]}" if out.startswith("file:/") and not out.startswith("file://") else out
+    return arrow_uri(store.makeQualified(place).toString())
+
+
+def arrow_uri(uri: str) -> str:
+    """Hadoop's name of a place as pyarrow takes it; its connectors for S3 have schemes of their own."""
+    scheme, colon, rest = uri.partition(":")
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    if scheme == "file" and not rest.startswith("//"):
+        rest = f"//{rest}"
+    return scheme + colon + rest
 
 
 def fresh_folder(spark: SparkSession, what: str) -> str:

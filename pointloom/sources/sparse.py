@@ -1,7 +1,8 @@
 """Sparse photogrammetry models: cameras, images and points in binary and text files, read and written.
 
-Records have variable lengths, so a binary file is read by one task; models of many scenes are read in parallel, file by
-file. Text files are read line by line by Spark. All readers give explicit schemas.
+Binary images and points are read in pieces (``model_format``), camera files, which are small, file by file. Text files are
+read line by line by Spark; the two lines of an image are paired across the splits of a file. All readers give explicit
+schemas.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointloom.functions.maths import scalar_first
-from pointloom.session import qualified, workers_import
+from pointloom.session import qualified, workers_import, written
 
 #: Camera models of the format by id, with their number of parameters.
 CAMERA_MODELS = {
@@ -51,17 +52,6 @@ class Cursor:
         self.at += struct.calcsize("<" + form)
         return out
 
-    def name(self) -> str:
-        end = self.data.index(b"\0", self.at)
-        out = self.data[self.at : end].decode("utf-8")
-        self.at = end + 1
-        return out
-
-    def items(self, kind: np.dtype, n: int) -> list[dict]:
-        out = np.frombuffer(self.data, kind, n, self.at)
-        self.at += n * kind.itemsize
-        return [dict(zip(kind.names, row, strict=True)) for row in out.tolist()]
-
 
 def parse_cameras(data: bytes) -> Iterator[dict]:
     c, seen = Cursor(data), set()
@@ -74,36 +64,6 @@ def parse_cameras(data: bytes) -> Iterator[dict]:
         yield {"camera_id": ident, "model": name, "width": width, "height": height, "params": list(c.take("d" * n))}
 
 
-def parse_images(data: bytes) -> Iterator[dict]:
-    c = Cursor(data)
-    for _ in range(c.take("Q")[0]):
-        ident, *pose, camera = c.take("idddddddi")
-        name = c.name()
-        yield {"image_id": ident, "qvec": pose[:4], "tvec": pose[4:], "camera_id": camera, "name": name, "points2d": c.items(OBSERVED, c.take("Q")[0])}
-
-
-def parse_points(data: bytes) -> Iterator[dict]:
-    c = Cursor(data)
-    for _ in range(c.take("Q")[0]):
-        ident, x, y, z, r, g, b, error = c.take("QdddBBBd")
-        yield {"point3d_id": ident, "x": x, "y": y, "z": z, "r": r, "g": g, "b": b, "error": error, "track": c.items(TRACKED, c.take("Q")[0])}
-
-
-def parse_image_lines(text: str) -> Iterator[dict]:
-    """Two lines a record; the second may be blank. Comments count only where a first line is looked for."""
-    rows = iter(text.split("\n"))
-    for line in rows:
-        line = line.strip()
-        if not line or line.startswith("#"):
-            continue
-        f = line.split()
-        seen = next(rows, "").split()
-        yield {
-            "image_id": int(f[0]), "qvec": [float(v) for v in f[1:5]], "tvec": [float(v) for v in f[5:8]], "camera_id": int(f[8]), "name": f[9],
-            "points2d": [{"x": float(seen[i]), "y": float(seen[i + 1]), "point3d_id": int(seen[i + 2])} for i in range(0, len(seen) - 2, 3)],
-        }
-
-
 def _whole_files(spark: SparkSession, path: str, schema: T.StructType, parse) -> DataFrame:
     workers_import(spark)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -129,12 +89,16 @@ def read_cameras_binary(spark: SparkSession, path: str) -> DataFrame:
     return _whole_files(spark, path, CAMERA, parse_cameras)
 
 
-def read_images_binary(spark: SparkSession, path: str) -> DataFrame:
-    return _whole_files(spark, path, IMAGE, parse_images)
+def read_images_binary(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    from pointloom.sources.model_format import read_pieces
 
+    return read_pieces(spark, path, "images", columns)
 
-def read_points_binary(spark: SparkSession, path: str) -> DataFrame:
-    return _whole_files(spark, path, POINT, parse_points)
+
+def read_points_binary(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    from pointloom.sources.model_format import read_pieces
+
+    return read_pieces(spark, path, "points", columns)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -151,8 +115,87 @@ def read_cameras_text(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select(f[0].cast("int").alias("camera_id"), f[1].alias("model"), f[2].cast("long").alias("width"), f[3].cast("long").alias("height"), _numbers(f, 4).alias("params"))
 
 
+def paired_lines(spark: SparkSession, path: str) -> DataFrame:
+    """first, second: the two lines of each record of text files, trimmed, wherever the files are split.
+
+    A comment or a blank line where a first line is looked for is left out; where a second one is, it is that second line.
+    So what a line is depends on those before it, but each leaves one of two states (a first or a second line is next), and
+    a comment or blank line always the former. A split gives its final state for either initial state, and its outermost
+    lines; the initial states of a file's splits follow from these rows, one a split, and records that lie across a split's
+    end are put together from them.
+    """
+    from pyspark.sql import Window
+
+    workers_import(spark)
+    at = ["file", "split"]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.Array, np.ndarray]]:
+        """The rows of one split: its name, trimmed lines, and which of them are comments or blank."""
+        files, splits = batch.column("file"), np.asarray(batch.column("split"))
+        value = pc.utf8_trim_whitespace(batch.column("value"))
+        idle = np.asarray(pc.or_(pc.equal(value, ""), pc.starts_with(value, "#")).cast(pa.int8())).astype(bool)
+        names = np.asarray(files.dictionary_encode().indices)
+        cuts = [0, *(np.flatnonzero((splits[1:] != splits[:-1]) | (names[1:] != names[:-1])) + 1).tolist(), len(splits)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield (files[a].as_py(), int(splits[a])), value.slice(a, b - a), idle[a:b]
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each split: whether a comment or blank line resets it, lines after the last of those, and its outer lines."""
+        found: dict[tuple, list] = {}
+        for batch in batches:
+            for name, value, idle in parts(batch):
+                one = found.setdefault(name, [False, 0, value[0].as_py(), None])
+                resets = np.flatnonzero(idle)
+                one[1] = len(idle) - 1 - int(resets[-1]) if len(resets) else one[1] + len(idle)
+                one[0], one[3] = one[0] or len(resets) > 0, value[-1].as_py()
+        columns = zip(*((*k, *v) for k, v in found.items()), strict=True) if found else [[]] * 6
+        types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*at, "reset", "odd", "top", "bottom"])
+
+    splits = written(lines.mapInArrow(ends, "file string, split long, reset boolean, odd long, top string, bottom string"), "splits")
+    order = Window.partitionBy("file").orderBy("split")  # a row a split
+    runs = splits.withColumn("run", F.count_if("reset").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # lines since the last reset, at each split's end: an odd number leaves a second line to come
+    since = F.sum("odd").over(Window.partitionBy("file", "run").orderBy("split"))
+    states = runs.withColumn("pending", since % 2 == 1).withColumn("entry", F.coalesce(F.lag("pending").over(order), F.lit(False)))
+    states = written(states.withColumn("next", F.coalesce(F.lead("top").over(order), F.lit(""))), "states")
+    across = states.filter("pending").select(F.col("bottom").alias("first"), F.col("next").alias("second"))
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, since, held = None, 0, None
+        for batch in batches:
+            entries = np.asarray(batch.column("entry").cast(pa.int8()))
+            done = 0
+            for name, value, idle in parts(batch):
+                if name != now:
+                    now, since, held = name, int(entries[done]), None
+                done += len(idle)
+                place = np.arange(len(idle))
+                last = np.maximum.accumulate(np.where(idle, place, -1))
+                before = np.concatenate([[-1], last[:-1]])  # the last reset before a line
+                first = ~idle & (np.where(before < 0, place + since, place - before - 1) % 2 == 0)
+                at_first = np.flatnonzero(first)
+                inner = at_first[at_first < len(idle) - 1]
+                left, right = value.take(pa.array(inner)), value.take(pa.array(inner + 1))
+                if held is not None:
+                    left, right = pa.concat_arrays([pa.array([held], value.type), left]), pa.concat_arrays([value.slice(0, 1), right])
+                held = value[-1].as_py() if first[-1] else None
+                since = int(len(idle) - 1 - last[-1]) if last[-1] >= 0 else since + len(idle)
+                yield pa.RecordBatch.from_arrays([left, right], ["first", "second"])
+
+    told = lines.join(F.broadcast(states.select(*at, "entry")), at)  # a row a split; rows stay in order
+    return told.select(*at, "value", "entry").mapInArrow(pair, "first string, second string").unionByName(across)
+
+
 def read_images_text(spark: SparkSession, path: str) -> DataFrame:
-    return _whole_files(spark, path, IMAGE, lambda data: parse_image_lines(data.decode()))
+    f, p = F.col("f"), F.col("p")
+    rows = paired_lines(spark, path).select(F.split("first", r"\s+").alias("f"), F.split("second", r"\s+").alias("p"))
+    count = F.floor(F.size(p) / 3).cast("int")
+    seen = lambda i: F.struct(p[3 * i].cast("double").alias("x"), p[3 * i + 1].cast("double").alias("y"), p[3 * i + 2].cast("long").alias("point3d_id"))
+    points = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), seen)).otherwise(F.array().cast(IMAGE["points2d"].dataType))
+    return rows.select(f[0].cast("int").alias("image_id"), F.slice(f, 2, 4).cast("array<double>").alias("qvec"), F.slice(f, 6, 3).cast("array<double>").alias("tvec"), f[8].cast("int").alias("camera_id"), f[9].alias("name"), points.alias("points2d"))
 
 
 def read_points_text(spark: SparkSession, path: str) -> DataFrame:

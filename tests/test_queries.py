@@ -52,9 +52,16 @@ def test_rest_stands_without_llm(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     shutil.copytree(f"{root}/tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'depth_calibration' in q and 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q)"
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
-    tests = [sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests"]
-    found = subprocess.run([*tests, "--collect-only"], cwd=tmp_path, check=True, env=env, capture_output=True, text=True).stdout
-    assert "test_scene.py::test_composite" in found and "llm" not in found.replace("without_llm", "")
-    subprocess.run([*tests, "-k", "test_entry or (test_query_equals_sql and llff_holdout)"], cwd=tmp_path, check=True, env=env)
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and os.path.realpath(p) != os.path.realpath(root)]
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(tmp_path), *paths])}
+
+    def run(*args):
+        child = subprocess.run([sys.executable, *args], cwd=tmp_path, env=env, stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, text=True)
+        assert child.returncode == 0, child.stdout[-4000:]
+        return child.stdout
+
+    run("-c", code)
+    tests = ["-m", "pytest", "-q", "-p", "no:cacheprovider", "--rootdir", str(tmp_path), "tests"]
+    found = run(*tests, "--collect-only")
+    assert "test_scene.py::test_composite" in found and "tests/llm" not in found
+    run(*tests, "-k", "test_entry or (test_query_equals_sql and llff_holdout)")

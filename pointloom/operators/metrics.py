@@ -191,14 +191,14 @@ def composite(hits: DataFrame, pixel: list[str], channels: list[str], background
     return out.withColumns({c: F.col(c) + background * F.col("transmittance") for c in channels})
 
 
-def tiles(splats: DataFrame, width: int, height: int, tile: int = 16) -> DataFrame:
+def tiles(splats: DataFrame, width: Column | int, height: Column | int, tile: int = 16) -> DataFrame:
     """A row for each tile that a splat's square (px, py, radius) touches."""
     rows = splats.filter("radius > 0")
 
-    def span(centre: str, size: int) -> Column:
-        last = (size + tile - 1) // tile - 1
+    def span(centre: str, size: Column | int) -> Column:
+        last = F.floor((d(size) - 1) / tile)
         low = F.greatest(F.floor((F.col(centre) - F.col("radius")) / tile), F.lit(0))
-        high = F.least(F.floor((F.col(centre) + F.col("radius")) / tile), F.lit(last))
+        high = F.least(F.floor((F.col(centre) + F.col("radius")) / tile), last)
         return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
     return rows.withColumn("tile_x", F.explode(span("px", width))).withColumn("tile_y", F.explode(span("py", height)))

@@ -116,6 +116,71 @@ def test_render_hot_tile(spark):
         assert np.allclose([s.red, s.green, s.blue, s.inverse_depth, s.transmittance], [min(r.red, 1), min(r.green, 1), min(r.blue, 1), r.inverse_depth, r.transmittance], atol=1e-9)
 
 
+def random_splats(rng, n, deep=False):
+    data = [(k, *map(float, rng.normal(0, 0.02 if deep else 0.5, 2)), float(rng.uniform(0, 9) if deep else rng.normal(0, 0.5)), float(rng.normal(-1 if deep else 0, 0.5)), *map(float, rng.normal(-3, 0.3, 3)), *map(float, rng.normal(size=4)), *map(float, rng.random(3))) for k in range(n)]
+    return data, SPLAT + ", red double, green double, blue double"
+
+
+def table_of_views(spark, shots):
+    rows = [(k, v.width, v.height, v.fx, v.fy, [x for row in v.rotation for x in row], list(v.translation), e) for k, (v, e) in enumerate(shots)]
+    return spark.createDataFrame(rows, "shot int, width int, height int, fx double, fy double, r array<double>, t array<double>, m array<array<double>>")
+
+
+def test_views_of_a_table_equal_single_renders(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    data, schema = random_splats(rng, 15)
+    rows = spark.createDataFrame(data, schema).repartition(3)
+    shots = []
+    for k in range(50):
+        c, s = math.cos(k / 8), math.sin(k / 8)
+        shots.append((render.View(10 + k, 7 + k % 20, 15.0 + k, 14.0, ((c, 0.0, s), (0.0, 1.0, 0.0), (-s, 0.0, c)), (0.1, -0.2, 3.0)), None if k % 3 else [[0.9, 0.0, 0.1, 0.02], [0.0, 1.0, 0.0, 0.0], [0.0, 0.2, 0.8, -0.01]]))
+    shots[7] = (render.View(16, 17, 9.0, 9.0, translation=(0.0, 0.0, -50.0)), None)  # all splats behind the camera
+    all_views = session.written(render.render_views(rows, table_of_views(spark, shots), "shot", (0.2, 0.4, 0.6), exposure="m"), "shown")
+    shown = {}
+    for r in all_views.collect():
+        shown.setdefault(r.shot, {})[r.u, r.v] = tuple(r)[3:]
+    assert {k: len(v) for k, v in shown.items()} == {k: v.width * v.height for k, (v, _) in enumerate(shots)}
+    for k in (0, 7, 16, 31, 49):
+        one = {(r.u, r.v): tuple(r)[2:] for r in render.render(rows, shots[k][0], (0.2, 0.4, 0.6), shots[k][1]).collect()}
+        assert one.keys() == shown[k].keys() and all(np.allclose(one[p], shown[k][p], atol=1e-9) for p in one)
+    made = render.write_views(all_views.filter("shot < 4"), F.format_string("test/renders/%05d.png", "shot"), str(tmp_path / "out"))
+    assert {r.path for r in made.collect()} == {f"test/renders/{k:05d}.png" for k in range(4)}
+    image = files.png_pixels((tmp_path / "out" / "test" / "renders" / "00002.png").read_bytes())
+    assert image.shape == (9, 12, 3) and all(abs(image[v, u, 0] / 255 - x[0]) < 0.003 for (u, v), x in shown[2].items())
+
+
+def test_early_stop_is_the_same_in_any_ranges(spark):
+    """Hot tiles over several ranges: a pixel stops where a walk over its splats, one by one, does."""
+    rng = np.random.default_rng(6)
+    data, schema = random_splats(rng, 1500, deep=True)
+    rows = spark.createDataFrame(data, schema).repartition(8)
+    view, stop = render.View(20, 16, 20.0, 20.0, translation=(0.0, 0.0, 1.0)), 0.02
+    views_ = table_of_views(spark, [(view, None), (render.View(18, 16, 25.0, 20.0, translation=(0.1, 0.0, 1.0)), None)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small ranges would be one task
+    try:
+        shown = {(r.u, r.v): r for r in render.render_views(rows, views_, "shot", stop=stop).filter("shot = 0").collect()}
+        single = {(r.u, r.v): r for r in render.render(rows, view, stop=stop).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    projected = render.project(rows, view).withColumn("inverse_depth", 1 / F.col("depth"))
+    hits: dict = {}
+    for r in render.coverage(session.written(projected, "projected"), view).select("u", "v", "depth", "gid", "alpha", "inverse_depth", *render.COLOURS).collect():
+        hits.setdefault((r.u, r.v), []).append(r)
+    stopped = 0
+    for p, r in shown.items():
+        left, total = 1.0, np.zeros(4)
+        for h in sorted(hits.get(p, []), key=lambda h: (h.depth, h.gid)):
+            if left * (1 - h.alpha) < stop:
+                stopped += 1
+                break
+            total += left * h.alpha * np.array([h.red, h.green, h.blue, h.inverse_depth])
+            left *= 1 - h.alpha
+        want = [*np.clip(total[:3], 0, 1), total[3], left]
+        for got in (r, single[p]):
+            assert np.allclose([got.red, got.green, got.blue, got.inverse_depth, got.transmittance], want, atol=1e-9)
+    assert stopped > 10 and len(shown) == 320
+
+
 def filtered_png(v, palette=None, depth=8, kinds=(0, 1, 2, 3, 4)):
     """A PNG whose lines use all filters in turn."""
     h, w = v.shape[:2]

@@ -10,13 +10,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from pointloom.functions.maths import d, gaussian_window
+from pointloom.operators import rasters
 from pointloom.session import workers_import, written
 
 
@@ -47,12 +47,6 @@ def channel_psnr(both: DataFrame, keys: list[str]) -> DataFrame:
     return errors(both, [*keys, "c"]).groupBy(*keys).agg(F.avg("psnr").alias("psnr_channels"))
 
 
-def _plane(rows: pa.Table, column: str, shape: tuple[int, int]) -> np.ndarray:
-    out = np.zeros(shape)
-    out[rows["y"].to_numpy(), rows["x"].to_numpy()] = rows[column].to_numpy()
-    return out
-
-
 def _blurred(plane: np.ndarray, window: list[float]) -> np.ndarray:
     """A separable stencil, zeros beyond the border."""
     r = len(window) // 2
@@ -62,28 +56,34 @@ def _blurred(plane: np.ndarray, window: list[float]) -> np.ndarray:
     return plane
 
 
-def ssim(both: DataFrame, keys: list[str], size: int = 11, sigma: float = 1.5) -> DataFrame:
+def ssim(both: DataFrame, keys: list[str], size: int = 11, sigma: float = 1.5, tile: int = 256) -> DataFrame:
     """Structural similarity by image: a separable Gaussian stencil, zeros beyond the border and for missing pixels.
 
-    One shuffle brings the pixels of a channel of an image together, and its two planes are filtered as arrays: a task holds
-    one channel at a time. Images are means over the pixels of all their channels.
+    Planes are cut into tiles with as many of their neighbours' pixels around them as the stencil reaches, so a task holds
+    one tile of an image of any size; tiles give sums. Images are means over the pixels of all their channels, those of a
+    channel being the rectangle that its pixels reach. Where neither image has a pixel in reach, they are alike.
     """
     workers_import(both.sparkSession)
-    w = gaussian_window(size, sigma)
+    w, r = gaussian_window(size, sigma), size // 2
 
     def one(key: tuple, rows: pa.Table) -> pa.Table:
-        shape = pc.max(rows["y"]).as_py() + 1, pc.max(rows["x"]).as_py() + 1
-        a, b = _plane(rows, "a", shape), _plane(rows, "b", shape)
-        ma, mb, aa, bb, ab = (_blurred(p, w) for p in (a, b, a * a, b * b, a * b))
+        row, col = key[1].as_py(), key[2].as_py()
+        a, b = (rasters.plane(rows, v, row, col, tile, r, r, 0.0) for v in "ab")
+        ma, mb, aa, bb, ab = (_blurred(p, w)[r : r + tile, r : r + tile] for p in (a, b, a * a, b * b, a * b))
         aa, bb, ab = aa - ma * ma, bb - mb * mb, ab - ma * mb
         value = (2 * ma * mb + 1e-4) * (2 * ab + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (aa + bb + 9e-4))
-        return pa.table([*([k.as_py()] for k in key[: len(keys)]), [float(value.sum())], [value.size]], schema=out)
+        value = value[: rows["height"][0].as_py() - row * tile, : rows["width"][0].as_py() - col * tile]
+        return pa.table([*([key[0].as_py()[k]] for k in keys), [float(value.sum())], [value.size]], schema=out)
 
-    fields = [both.schema[k] for k in keys]
-    schema = StructType([*fields, StructField("_total", DoubleType()), StructField("_n", LongType())])
+    schema = StructType([*(both.schema[k] for k in keys), StructField("_total", DoubleType()), StructField("_n", LongType())])
     out = to_arrow_schema(schema)
-    rows = both.select(*keys, "c", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.col(v).cast("double").alias(v) for v in "ab"))
-    return rows.groupBy(*keys, "c").applyInArrow(one, schema).groupBy(*keys).agg((F.sum("_total") / F.sum("_n")).alias("ssim"))
+    rows = both.select(F.struct(*keys, "c").alias("_key"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.col(v).cast("double").alias(v) for v in "ab"))
+    frames = rows.groupBy("_key").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))  # a row a channel
+    near = rasters.dealt(rows, tile, r, r).join(frames, "_key").filter((F.col("row") * tile < F.col("height")) & (F.col("col") * tile < F.col("width")))
+    sums = near.groupBy("_key", "row", "col").applyInArrow(one, schema)
+    whole = frames.select(*(F.col("_key")[k].alias(k) for k in keys), F.lit(0.0).alias("_total"), F.lit(0).cast("long").alias("_n"), (F.col("height").cast("long") * F.col("width")).alias("_all"))
+    every = sums.withColumn("_all", F.lit(0).cast("long")).unionByName(whole).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("_total", "_n", "_all")))
+    return every.select(*keys, ((F.col("_total") + F.col("_all") - F.col("_n")) / F.col("_all")).alias("ssim"))
 
 
 def feature_distance(features: DataFrame, keys: list[str], eps: float = 1e-10) -> DataFrame:

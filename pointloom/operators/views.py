@@ -138,23 +138,6 @@ def validation_views(train: DataFrame, test: DataFrame, order: list[str], first:
     return picked.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 
 
-def bilinear(samples: DataFrame, pixels: DataFrame, by: list[str]) -> DataFrame:
-    """samples (by, sx, sy) with the interpolated pixel value v of pixels (by, x, y, v); borders are repeated."""
-    size = pixels.groupBy(*by).agg(F.max("x").alias("_w"), F.max("y").alias("_h"))
-    rows = samples.withColumn("_id", F.struct(*samples.columns)).join(size, by)
-    corners = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (0, 1) for i in (0, 1))))
-    rows = rows.withColumn("_c", corners)
-    fx, fy = F.col("sx") - F.floor("sx"), F.col("sy") - F.floor("sy")
-    weight = F.when(F.col("_c.i") == 1, fx).otherwise(1 - fx) * F.when(F.col("_c.j") == 1, fy).otherwise(1 - fy)
-
-    def inside(v: Column, top: str) -> Column:
-        return F.least(F.greatest(v, F.lit(0)), F.col(top)).cast("int")
-
-    rows = rows.withColumns({"x": inside(F.floor("sx") + F.col("_c.i"), "_w"), "y": inside(F.floor("sy") + F.col("_c.j"), "_h"), "_weight": weight})
-    got = rows.join(pixels, [*by, "x", "y"]).groupBy("_id").agg(F.sum(F.col("_weight") * F.col("v")).alias("v"))
-    return got.select("_id.*", "v")
-
-
 def override(command: dict, saved: dict) -> dict:
     """Saved settings, overridden by those given on the command line that are not None."""
     return saved | {k: v for k, v in command.items() if v is not None}

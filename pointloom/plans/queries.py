@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import harmonics, maths, text
 from pointloom.functions.maths import d
-from pointloom.operators import calibrate, density, metrics, neighbours, render, structure, views
+from pointloom.operators import calibrate, density, metrics, neighbours, rasters, render, structure, views
 from pointloom.session import written
 from pointloom.sources import files
 from pointloom.streaming import requests
@@ -516,7 +516,7 @@ SELECT vec_id, round(sum(k * a), 6) AS v FROM c JOIN pr USING (vec_id, x, y) GRO
 def bilinear_sample(spark, sf):
     pixels = image_pairs(spark, sf).select("vec_id", "x", "y", F.col("a").alias("v"))
     asked = table(spark, sf, "embeddings").select("vec_id", (d(0.37) + F.col("vec_id") % 9).alias("sx"), d(2.75).alias("sy"))
-    return views.bilinear(asked, pixels, ["vec_id"]).select("vec_id", r(F.col("v")).alias("v"))
+    return rasters.bilinear(asked, rasters.from_pixels(pixels, ["vec_id"], 4), ["vec_id"], 4).select("vec_id", r(F.col("v")).alias("v"))
 
 
 @query("""WITH f AS (SELECT vec_id, embedding[1:8]::DOUBLE[] AS a, embedding[9:16]::DOUBLE[] AS b FROM embeddings)

@@ -355,23 +355,8 @@ def export_capture(frames: DataFrame, cameras: DataFrame, points: DataFrame, fol
     write_model(cameras, images, points, folder, ext)
 
 
-def parse_dense(data: bytes) -> np.ndarray:
-    """A dense map: ASCII width&height&channels& and column-major float32; gives height x width (x channels)."""
-    parts = data.split(b"&", 3)
-    w, h, c = (int(v) for v in parts[:3])
-    return np.frombuffer(parts[3], "<f4").reshape((w, h, c), order="F").transpose(1, 0, 2).squeeze()
-
-
 def read_dense(spark: SparkSession, path: str) -> DataFrame:
     """Pixels of dense maps: path, x, y, c, v."""
-    workers_import(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                v = parse_dense(data.as_py())
-                v = v.reshape(*v.shape[:2], -1)
-                y, x, c = (i.ravel().astype(np.int32) for i in np.indices(v.shape))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * v.size), pa.array(x), pa.array(y), pa.array(c), pa.array(v.ravel().astype(float))], ["path", "x", "y", "c", "v"])
+    from pointloom.operators.rasters import read_dense_blocks, to_pixels
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, x int, y int, c int, v double")
+    return to_pixels(read_dense_blocks(spark, path), ["path", "c"]).select("path", "x", "y", "c", "v")

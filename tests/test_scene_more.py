@@ -332,3 +332,27 @@ def test_adam_keeps_what_is_not_visible(spark):
     rows = spark.createDataFrame([(1.0, 0.5, 0.0, 0.0, True), (1.0, 0.5, 0.0, 0.0, False)], "x double, grad_x double, m_x double, v_x double, seen boolean")
     a, b = maths.adam_groups(rows, {"xyz": (["x"], 0.1)}, 1, F.col("seen")).orderBy(F.desc("seen")).collect()
     assert math.isclose(a.x, 0.9) and math.isclose(a.m_x, 0.05) and (b.x, b.m_x, b.v_x) == (1.0, 0.0, 0.0)
+
+
+def brute_neighbours(p, k):
+    out = []
+    for i in range(len(p)):
+        d2 = np.sort(((np.delete(p, i, axis=0) - p[i]) ** 2).sum(axis=1))[:k]
+        out.append(float(d2.mean()) if len(d2) else 0.0)
+    return out
+
+
+@pytest.mark.parametrize(("block", "fan"), [(4, 3), (32, 64)])
+def test_neighbours_by_levels(spark, monkeypatch, block, fan):
+    """A tree of several levels over clusters, outliers, equal points and a plane: exact, and joined by equality only."""
+    monkeypatch.setattr(neighbours, "FAN", fan)
+    rng = np.random.default_rng(block)
+    p = np.concatenate([rng.normal(0, 1e-3, (150, 3)), rng.normal(5, 2, (150, 3)), [[1e9, -1e9, 1e9], [-1e12, 0, 0]], np.repeat(rng.random((3, 3)), 20, axis=0), np.c_[rng.random((80, 2)), np.zeros(80)]])
+    rows = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], "gid long, x double, y double, z double").repartition(4)
+    out = neighbours.mean_distance2(rows, 3, block)
+    assert np.allclose([r.dist2 for r in out.orderBy("gid").collect()], brute_neighbours(p, 3), rtol=1e-9)
+    plans = []
+    monkeypatch.setattr(neighbours, "written", lambda df, what: plans.append(df._jdf.queryExecution().executedPlan().toString()) or session.written(df, what))
+    neighbours.mean_distance2(rows, 3, block)
+    assert plans and not any("NestedLoop" in t or "Cartesian" in t for t in plans)
+    assert len(neighbours.levels(neighbours.written(spark.range(100).select(F.col("id").alias("block"), *(F.lit(0.0).alias(f"{n}_{c}") for c in "xyz" for n in ("low", "high"))), "b"), 100)) == (5 if fan == 3 else 2)

@@ -2,7 +2,9 @@
 
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds a dictionary trained on the archive's first
 records (at most SAMPLE_BYTES of them); then comes one frame per record. The reader loads the dictionary, decodes frame
-by frame, and checks version line, header syntax, lengths, closing blank lines and digests; it raises on any fault.
+by frame, and checks version line, header syntax, lengths, closing blank lines and digests; it raises on any fault. It also
+reads archives from elsewhere (``found_archives``): without a dictionary, with other types of records, which it passes over
+unless they are asked for, and with responses that lack a digest.
 
 Records whose payloads are equal are one response (largest page_id) and revisits, whose block keeps the HTTP header,
 with the length of the full payload. Archives go to the shared folder under names of their own; a rerun task writes
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pointloom.llm.common import fresh_folder, materialize, qualified, workers_import
 
-MAGIC = 0x184D2A5D
+MAGIC, FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 ARCHIVE_BYTES = 64 << 20
 DICTIONARY_BYTES = 16 << 10
 SAMPLE_BYTES = 1 << 20
@@ -66,35 +68,62 @@ def _headers(lines: list[bytes], what: str) -> dict[str, str]:
     return out
 
 
+def _matches(digest: str, data: bytes) -> bool:
+    """Whether data have a labelled digest, in base32 or hex; a digest of an unknown algorithm says nothing."""
+    name, _, value = digest.partition(":")
+    if name.lower().replace("-", "") not in hashlib.algorithms_available:
+        return True
+    raw = hashlib.new(name.lower().replace("-", ""), data)
+    return value.lower() == raw.hexdigest() or value.upper().rstrip("=") == base64.b32encode(raw.digest()).decode().rstrip("=")
+
+
 def parse_record(data: bytes) -> dict:
-    """A checked record: page_id, url, payload (None for a revisit), payload_bytes, payload_digest, record_type, refers_to."""
+    """A checked record: record_id, page_id, url, payload (of responses), payload_bytes, payload_digest, record_type, refers_to.
+
+    Other types of records (warcinfo, request, metadata, ...) have their block's length for payload_bytes. Digests are checked
+    where there are some, and lengths of HTTP bodies where there is one and the body is neither encoded nor cut off.
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
     first, *lines = head.split(b"\r\n")
-    if not gap or first != b"WARC/1.1":
-        raise ValueError(f"not a WARC/1.1 record: {first[:40]!r}")
+    if not gap or first not in (b"WARC/1.1", b"WARC/1.0"):
+        raise ValueError(f"not a WARC record: {first[:40]!r}")
     h = _headers(lines, "WARC")
     for need in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if need not in h:
             raise ValueError(f"record without {need}")
-    n = int(h["content-length"])
+    name, kind, n = h["warc-record-id"], h["warc-type"], int(h["content-length"])
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
-        raise ValueError(f"{h['warc-record-id']}: block of {len(rest) - 4} bytes, {n} announced")
-    http, gap, payload = rest[:n].partition(b"\r\n\r\n")
-    status, *lines = http.split(b"\r\n")
-    if not gap or not status.startswith(b"HTTP/"):
-        raise ValueError(f"{h['warc-record-id']}: no HTTP header")
-    size, kind = int(_headers(lines, "HTTP")["content-length"]), h["warc-type"]
-    digest = h["warc-payload-digest"].removeprefix("sha1:")
-    if kind == "response" and (len(payload) != size or sha1_base32(payload) != digest):
-        raise ValueError(f"{h['warc-record-id']}: payload differs from its length or digest")
-    if kind == "revisit" and payload:
-        raise ValueError(f"{h['warc-record-id']}: a revisit with a payload")
+        raise ValueError(f"{name}: block of {len(rest) - 4} bytes, {n} announced")
+    block = rest[:n]
+    if not _matches(h.get("warc-block-digest", ""), block):
+        raise ValueError(f"{name}: block differs from its digest")
+    payload, size, digest = None, n, h.get("warc-payload-digest", "")
+    if kind in ("response", "revisit"):
+        payload, size = block, n
+        if h.get("content-type", "application/http").startswith("application/http"):
+            http, gap, payload = block.partition(b"\r\n\r\n")
+            status, *lines = http.split(b"\r\n")
+            if not gap or not status.startswith(b"HTTP/"):
+                raise ValueError(f"{name}: no HTTP header")
+            told = _headers(lines, "HTTP")
+            size = int(told["content-length"]) if kind == "revisit" and "content-length" in told else len(payload)
+            exact = "content-length" in told and "transfer-encoding" not in told and "warc-truncated" not in h
+            if kind == "response" and exact and len(payload) != int(told["content-length"]):
+                raise ValueError(f"{name}: payload differs from its length")
+        if kind == "response" and "warc-truncated" not in h and not _matches(digest, payload):
+            raise ValueError(f"{name}: payload differs from its digest")
+        if kind == "revisit" and payload:
+            raise ValueError(f"{name}: a revisit with a payload")
+    digest = sha1_base32(payload) if kind == "response" else digest.removeprefix("sha1:") or None
 
     def ident(value: str | None) -> str | None:
         found = re.fullmatch(rf"<{URN}(.*)>", value or "")
         return found[1] if found and found[1] != "none" else None
 
-    return {"page_id": ident(h["warc-record-id"]), "url": h.get("warc-target-uri"), "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": ident(h.get("warc-refers-to"))}
+    return {
+        "record_id": name, "page_id": ident(name), "url": h.get("warc-target-uri"), "payload": payload if kind == "response" else None,
+        "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": ident(h.get("warc-refers-to")),
+    }
 
 
 def train(samples: list[bytes]) -> bytes:
@@ -127,15 +156,17 @@ def read_archive(source) -> Iterator[bytes]:
     if len(start) < 8:
         raise ValueError("archive without a first frame")
     magic, size = struct.unpack("<II", start)
-    if magic != MAGIC:
-        raise ValueError("the first frame is not a dictionary frame")
-    words = source.read(size)
-    if len(words) != size:
-        raise ValueError("the dictionary frame is cut short")
-    if words[:4] == b"\x28\xb5\x2f\xfd":
+    words = b""
+    if magic == MAGIC:
+        start, words = b"", source.read(size)
+        if len(words) != size:
+            raise ValueError("the dictionary frame is cut short")
+    elif start[:4] != FRAME:
+        raise ValueError("the first frame is neither a dictionary nor a record")
+    if words[:4] == FRAME:
         words = zstandard.ZstdDecompressor().decompress(words)
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-    rest = b""
+    rest = start
     while True:
         frame, parts = reader.decompressobj(), []
         if not rest and not (rest := source.read(1 << 18)):
@@ -181,7 +212,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             sink.close()
             path = f"{base}/{uuid.uuid4().hex}.warc.zst"
             store.move(temporary, path)
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([out.records], pa.int64()), pa.array([out.size], pa.int64())], ["path", "records", "bytes"])
+            place = f"{target.rstrip('/')}/{path.rsplit('/', 1)[1]}"
+            return pa.RecordBatch.from_arrays([pa.array([place]), pa.array([out.records], pa.int64()), pa.array([out.size], pa.int64())], ["path", "records", "bytes"])
 
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "url", "html", "refers_to")]
@@ -207,40 +239,51 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     return materialize(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
-    """Records of the archives that the manifest names; payload: with the bytes of responses."""
-    target = qualified(manifest.sparkSession, folder)
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payload]
-    schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * payload
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+def read_archives(manifest: DataFrame, payload: bool = False, kinds: tuple[str, ...] = ("response", "revisit")) -> DataFrame:
+    """Records, of the kinds asked for, of the archives that the manifest names; payload: with the bytes of responses.
+
+    An archive that the manifest has a number of records for must have as many.
+    """
+    names = ["record_id", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payload]
+    schema = "record_id string, page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * payload
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
     def batch(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=False)], names)
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=False)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(target)
         for got in batches:
             for path, records in zip(got.column("path").to_pylist(), got.column("records").to_pylist(), strict=True):
                 seen, rows = 0, []
-                with store.open_input_stream(path, compression=None) as source:
+                store, place = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(place, compression=None) as source:
                     for data in read_archive(source):
-                        rows.append(parse_record(data))
+                        row = parse_record(data)
                         seen += 1
+                        if row["record_type"] in kinds:
+                            rows.append(row)
                         if len(rows) == 256:
                             yield batch(rows)
                             rows = []
                 if rows:
                     yield batch(rows)
-                if seen != records:
+                if records is not None and seen != records:
                     raise ValueError(f"{path}: {seen} records, {records} were written")
 
     # a number of its own: adaptive execution would join the few small rows of a manifest into one task
     return manifest.select("path", "records").repartition(max(1, min(manifest.count(), 10_000))).mapInArrow(run, schema)
 
 
+def found_archives(spark: SparkSession, path: str) -> DataFrame:
+    """A manifest of archives from elsewhere: their paths, without numbers of records."""
+    workers_import(spark)
+    names = [(qualified(spark, r["path"]), None) for r in spark.read.format("binaryFile").load(path).select("path").collect()]  # names of files
+    return spark.createDataFrame(names, "path string, records long")
+
+
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write pages as archives in the shared folder and read them back: one row per page."""
     folder = fresh_folder(spark, "warc")
     kind = dict(pages.dtypes)["page_id"]
-    out = read_archives(write_archives(pages, folder), folder)
+    out = read_archives(write_archives(pages, folder))
     return out.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))

@@ -212,7 +212,7 @@ def test_warc(spark, sf):
     got = Counter(tuple(r) for r in warc.round_trip(spark, df).collect())
     assert got == want
     folder = common.fresh_folder(spark, "warc-test")
-    full = warc.read_archives(warc.write_archives(df, folder), folder, payload=True).filter("record_type = 'response'").collect()
+    full = warc.read_archives(warc.write_archives(df, folder), payload=True).filter("record_type = 'response'").collect()
     assert {bytes(r.payload) for r in full} == {(h or "").encode() for _, _, h in rows}
     assert warc.round_trip(spark, df.limit(0)).count() == 0
 
@@ -236,6 +236,44 @@ def test_warc_reader_refuses_faults():
             warc.parse_record(broken)
 
 
+def foreign(kind, block, more=(), version="WARC/1.1", content="application/http; msgtype=response"):
+    head = [version, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Type: {content}", *more, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_from_elsewhere(spark, tmp_path):
+    """Records of all types, responses without digest or length, encoded or cut off, with and without a dictionary."""
+    body = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nhello"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 99\r\n\r\n5\r\nhello\r\n0\r\n\r\n"
+    records = [
+        foreign("warcinfo", b"software: x\r\n", content="application/warc-fields"), foreign("request", b"GET / HTTP/1.1\r\n\r\n", content="application/http; msgtype=request"),
+        foreign("response", body, ["WARC-Target-URI: http://a/"]), foreign("response", chunked), foreign("metadata", b"", content="text/plain", version="WARC/1.0"),
+        foreign("response", b"10 20", content="text/dns"), foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 50\r\n\r\nhel", ["WARC-Truncated: length", "WARC-Payload-Digest: sha1:AAAA"]),
+        foreign("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", ["WARC-Payload-Digest: sha1:" + warc.sha1_base32(b"hello")]),
+        foreign("response", body, ["WARC-Payload-Digest: sha256:" + hashlib.sha256(b"hello").hexdigest(), "WARC-Block-Digest: sha1:" + warc.sha1_base32(body)]),
+    ]
+    plain = warc.zstandard.ZstdCompressor().compress
+    (tmp_path / "plain.warc.zst").write_bytes(b"".join(plain(r) for r in records))
+    with open(tmp_path / "words.warc.zst", "wb") as sink:
+        writer = warc.ArchiveWriter(sink, records * 10)
+        for r in records:
+            writer.add(r)
+    for name in ("plain", "words"):
+        found = warc.found_archives(spark, str(tmp_path / f"{name}.warc.zst"))
+        got = [(r.record_type, r.payload_bytes, r.payload_digest, None if r.payload is None else bytes(r.payload)) for r in warc.read_archives(found, payload=True).collect()]
+        hello, dns, cut = warc.sha1_base32(b"hello"), b"10 20", b"hel"
+        coded = chunked.partition(b"\r\n\r\n")[2]
+        assert got == [
+            ("response", 5, hello, b"hello"), ("response", len(coded), warc.sha1_base32(coded), coded), ("response", 5, warc.sha1_base32(dns), dns),
+            ("response", 3, warc.sha1_base32(cut), cut), ("revisit", 0, hello, None), ("response", 5, hello, b"hello"),
+        ]
+        others = warc.read_archives(found, kinds=("warcinfo", "request", "metadata")).collect()
+        assert [(r.record_type, r.payload_bytes, r.page_id) for r in others] == [("warcinfo", 13, None), ("request", 18, None), ("metadata", 0, None)]
+    for broken in (foreign("response", body, ["WARC-Payload-Digest: sha1:" + warc.sha1_base32(b"other")]), foreign("metadata", b"x", ["WARC-Block-Digest: sha1:" + warc.sha1_base32(b"y")]), foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\nhello"), foreign("response", b"hello")):
+        with pytest.raises(ValueError):
+            warc.parse_record(broken)
+
+
 # ---- mixing
 
 def test_mixing_takes_the_whole_supply(spark):

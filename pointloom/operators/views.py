@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.maths import d, inverse_depth, to_camera
+from pointloom.functions.permute import place
 from pointloom.functions.text import numbered, stem
 from pointloom.session import written
 
@@ -176,13 +177,26 @@ def epoch_slots(iterations: DataFrame, n: int) -> DataFrame:
 def epoch_order(views: DataFrame, epochs: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """epoch, slot and key: in which slot of each epoch a view is drawn, without replacement, in a fixed pseudo-random order.
 
-    views are counted by one row for each range, epochs (epoch) are few: rows are the answer's own, epochs times views.
+    Views are put in order by key once; slots come by formula (``permute``), so nothing sorts epochs times views, which are
+    the rows of the answer. epochs (epoch) are a table of its own, crossed as the planner sees fit.
     """
-    drawn = views.select(key).crossJoin(F.broadcast(epochs.select("epoch").distinct()))
-    drawn = drawn.withColumn("_h", _draw(seed, F.col("epoch"), F.col(key)))
-    rows = global_index(drawn, ["epoch", "_h", key], "_at")
-    first = rows.groupBy("epoch").agg(F.min("_at").alias("_first"))  # a row for each epoch
-    return rows.join(F.broadcast(first), "epoch").select("epoch", (F.col("_at") - F.col("_first")).alias("slot"), key)
+    rows = written(global_index(views.select(key), [key], "_view"), "views")
+    n = rows.count()
+    drawn = rows.crossJoin(written(epochs.select("epoch").distinct(), "epochs"))
+    return drawn.select("epoch", place(F.col("_view"), F.col("epoch"), n, seed, back=True).alias("slot"), key)
+
+
+def training_log(iterations: DataFrame, views: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """iterations (it) with epoch, slot and the key of the view that is drawn: every view once an epoch, without sorting epochs.
+
+    A row finds its view by the permutation's formula and one join on the view's place.
+    """
+    rows = written(global_index(views.select(key), [key], "_view"), "views")
+    n = rows.count()
+    if not n:
+        raise ValueError("no views to draw from")
+    log = epoch_slots(iterations, n)
+    return log.withColumn("_view", place(F.col("slot"), F.col("epoch"), n, seed)).join(rows, "_view").drop("_view")
 
 
 def paired(scenes: DataFrame, sources: DataFrame, order: str = "place") -> DataFrame:
@@ -197,6 +211,6 @@ def triggers(iterations: DataFrame, densify: tuple[int, int, int] = (500, 15_000
     active = it < last
     again = (it % reset == 0) | ((it == first) if white else F.lit(False))
     return iterations.select(
-        "it", (it % ramp == 0).alias("raise_degree"), (active & (it > first) & (it % every == 0)).alias("densify"), (active & again).alias("reset_opacity"),
+        *iterations.columns, (it % ramp == 0).alias("raise_degree"), (active & (it > first) & (it % every == 0)).alias("densify"), (active & again).alias("reset_opacity"),
         F.when(it > reset, F.lit(20)).cast("int").alias("size_limit"),
     )

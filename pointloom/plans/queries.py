@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.functions import harmonics, maths, text
+from pointloom.functions import harmonics, maths, permute, text
 from pointloom.functions.maths import d
 from pointloom.operators import calibrate, density, metrics, neighbours, rasters, render, structure, views
 from pointloom.session import written
@@ -162,14 +162,32 @@ def pose_asof(spark, sf):
     return views.as_of(events.filter(~is_pose).select("event_id", "user_id", "t"), poses, ["user_id"], "t", "event_id", ["pose"]).select("event_id", "user_id", "pose")
 
 
-@query("SELECT it, it // 200 AS epoch, it % 200 AS slot FROM range(0, 30000, 100) t(it)")
+def iterations(spark, sf) -> DataFrame:
+    """Events stand in for a training log, an iteration each."""
+    return table(spark, sf, "events").select((F.col("event_id") * 5).alias("it"))
+
+
+@query("SELECT it, it // n AS epoch, it % n AS slot FROM (SELECT event_id * 5 AS it FROM events), (SELECT count(*) AS n FROM supplier)")
 def epoch_sampling(spark, sf):
-    return views.epoch_slots(spark.range(0, 30000, 100).select(F.col("id").alias("it")), 200)
+    return views.epoch_slots(iterations(spark, sf), table(spark, sf, "supplier").count())
 
 
-@query("""SELECT epoch, s_suppkey, row_number() OVER (PARTITION BY epoch ORDER BY md5('7:' || epoch || ':' || s_suppkey), s_suppkey) - 1 AS slot FROM supplier, range(3) t(epoch)""")
+@query(f"""WITH RECURSIVE {permute.sql("SELECT count(*) FROM supplier", "SELECT DISTINCT n_nationkey::BIGINT FROM nation", 7)}
+SELECT epoch, s_suppkey, slot FROM perm JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS view FROM supplier) USING (view)""")
 def epoch_order(spark, sf):
-    return views.epoch_order(table(spark, sf, "supplier"), spark.range(3).select(F.col("id").alias("epoch")), "s_suppkey", 7)
+    """An epoch for each nation."""
+    return views.epoch_order(table(spark, sf, "supplier"), table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("epoch")), "s_suppkey", 7)
+
+
+@query(f"""WITH RECURSIVE log AS (SELECT event_id * 5 AS it, event_id * 5 // n AS epoch, event_id * 5 % n AS slot FROM events, (SELECT count(*) AS n FROM supplier)),
+{permute.sql("SELECT count(*) FROM supplier", "SELECT DISTINCT epoch FROM log", 3)}
+SELECT it, epoch, slot, s_suppkey, it % 1000 = 0 AS raise_degree, it < 15000 AND it > 500 AND it % 100 = 0 AS densify, it < 15000 AND it % 3000 = 0 AS reset_opacity,
+  CASE WHEN it > 3000 THEN 20 ELSE -1 END AS size_limit, least(it // 1000, 3)::INT AS degree
+FROM log JOIN perm USING (epoch, slot) JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS view FROM supplier) USING (view)""")
+def training_log(spark, sf):
+    """Which view, triggers and harmonics degree each iteration of a log has."""
+    log = views.training_log(iterations(spark, sf), table(spark, sf, "supplier"), "s_suppkey", 3)
+    return views.triggers(log).withColumn("size_limit", F.coalesce("size_limit", F.lit(-1))).withColumn("degree", maths.sh_degree(F.col("it")))
 
 
 @query("SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_name, s_suppkey) AS n FROM supplier) JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer) USING (n)")
@@ -179,9 +197,9 @@ def scene_sources(spark, sf):
 
 
 @query("""SELECT it, it % 1000 = 0 AS raise_degree, it < 15000 AND it > 500 AND it % 100 = 0 AS densify, it < 15000 AND it % 3000 = 0 AS reset_opacity,
-CASE WHEN it > 3000 THEN 20 ELSE -1 END AS size_limit FROM range(0, 30000, 50) t(it)""")
+CASE WHEN it > 3000 THEN 20 ELSE -1 END AS size_limit FROM (SELECT event_id * 5 AS it FROM events)""")
 def periodic_triggers(spark, sf):
-    return views.triggers(spark.range(0, 30000, 50).select(F.col("id").alias("it"))).withColumn("size_limit", F.coalesce("size_limit", F.lit(-1)))
+    return views.triggers(iterations(spark, sf)).withColumn("size_limit", F.coalesce("size_limit", F.lit(-1)))
 
 
 # ---- scalar maths
@@ -271,10 +289,10 @@ _T = "least(greatest(it::DOUBLE / 30000, 0), 1)"
 
 @query(f"""SELECT it, round(exp(ln(0.00016::DOUBLE) * (1 - {_T}) + ln(0.0000016::DOUBLE) * {_T}), 12) AS rate,
 round((0.01::DOUBLE + 0.99::DOUBLE * sin(0.5::DOUBLE * pi() * least(greatest(it::DOUBLE / 1000, 0), 1))) * exp(ln(0.01::DOUBLE) * (1 - {_T}) + ln(0.001::DOUBLE) * {_T}), 12) AS eased,
-least(it // 1000, 3)::INT AS degree FROM range(0, 30000, 250) t(it)""")
+least(it // 1000, 3)::INT AS degree FROM (SELECT event_id * 5 AS it FROM events)""")
 def lr_schedule(spark, sf):
-    it = F.col("id")
-    return spark.range(0, 30000, 250).select(it.alias("it"), r(maths.learning_rate(it, 0.00016, 0.0000016, 30000), 12).alias("rate"), r(maths.learning_rate(it, 0.01, 0.001, 30000, 1000, 0.01), 12).alias("eased"), maths.sh_degree(it).alias("degree"))
+    it = F.col("it")
+    return iterations(spark, sf).select(it, r(maths.learning_rate(it, 0.00016, 0.0000016, 30000), 12).alias("rate"), r(maths.learning_rate(it, 0.01, 0.001, 30000, 1000, 0.01), 12).alias("eased"), maths.sh_degree(it).alias("degree"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size * 113 AS w, p_size * 61 AS h, CASE p_partkey % 6 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 8 ELSE 640 END AS k FROM part),

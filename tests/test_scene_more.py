@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom import session
-from pointloom.functions import maths, text
+from pointloom.functions import maths, permute, text
 from pointloom.operators import calibrate, density, metrics, neighbours, render, views
 from pointloom.sources import files, sparse
 
@@ -356,3 +356,35 @@ def test_neighbours_by_levels(spark, monkeypatch, block, fan):
     neighbours.mean_distance2(rows, 3, block)
     assert plans and not any("NestedLoop" in t or "Cartesian" in t for t in plans)
     assert len(neighbours.levels(neighbours.written(spark.range(100).select(F.col("id").alias("block"), *(F.lit(0.0).alias(f"{n}_{c}") for c in "xyz" for n in ("low", "high"))), "b"), 100)) == (5 if fan == 3 else 2)
+
+
+def test_permutation_is_a_bijection(spark):
+    for n in (1, 2, 3, 7, 10, 97, 100, 1000, 4099):
+        for seed in (0, 5):
+            x, key = np.arange(n), permute.key_of(np.full(n, 3), seed)
+            y = permute.permuted(x, key, n)
+            assert sorted(y) == list(range(n)) and (permute.permuted(y, key, n, back=True) == x).all()
+    orders = [permute.permuted(np.arange(300), permute.key_of(np.full(300, e), 1), 300) for e in range(40)]
+    assert len({tuple(o) for o in orders}) == 40
+    # every view comes early and late alike
+    assert abs(np.mean([np.flatnonzero(o == 17)[0] for o in orders]) - 150) < 60 and np.std([o[0] for o in orders]) > 50
+    with pytest.raises(ValueError):
+        permute.permuted(np.array([5]), np.array([0]), 5)
+    rows = spark.createDataFrame([(0, 1), (4, 1), (None, 1), (2, None)], "slot long, epoch long")
+    got = rows.select(permute.place(F.col("slot"), F.col("epoch"), 5).alias("v")).collect()
+    assert got[2].v is None and got[3].v is None and {0 <= r.v < 5 for r in got[:2]} == {True}
+
+
+def test_training_log(spark):
+    named = spark.createDataFrame([(f"v{k:03d}",) for k in range(37)], "name string").repartition(3)
+    log = views.training_log(spark.range(0, 37 * 6).withColumnRenamed("id", "it"), named, "name", 9)
+    assert "Sort [epoch" not in log._jdf.queryExecution().optimizedPlan().toString()
+    drawn: dict = {}
+    for r in log.collect():
+        assert (r.epoch, r.slot) == divmod(r.it, 37)
+        drawn.setdefault(r.epoch, {})[r.slot] = r.name
+    assert all(sorted(e.values()) == [f"v{k:03d}" for k in range(37)] for e in drawn.values()) and len({tuple(sorted(e.items())) for e in drawn.values()}) == 6
+    order = views.epoch_order(named, spark.range(6).withColumnRenamed("id", "epoch"), "name", 9).collect()
+    assert len(order) == 222 and all(drawn[r.epoch][r.slot] == r.name for r in order)
+    with pytest.raises(ValueError, match="no views"):
+        views.training_log(log.select("it"), named.limit(0), "name")

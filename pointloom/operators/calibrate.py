@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.maths import d
@@ -10,18 +10,43 @@ from pointloom.operators.views import global_index
 from pointloom.session import written
 
 
+def medians(rows: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:
+    """by and the exact median of each value (column by name) that is not NULL, NULL where a group has none.
+
+    All values are put in order by ranges of (value's name, by, value), numbered as they are written. A row for each group and
+    range tells where a group's middle is; the one or two rows there are looked up by number. Nothing holds a group.
+    """
+    stacked = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), d(v).alias("v")) for k, v in enumerate(values.values()))))
+    flat = rows.select(F.struct(*by).alias("_by"), stacked.alias("_s")).select("_by", "_s.*").filter("v IS NOT NULL")
+    order = ["k", "_by", "v"]
+    placed = written(flat.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "values")
+    part = F.shiftright("at", 33).alias("part")
+    runs = placed.groupBy("k", "_by", part).agg(F.min("at").alias("low"), F.count("*").alias("n"))
+    whole = Window.partitionBy("k", "_by")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.withColumn("before", before).withColumn("all", F.sum("n").over(whole))
+    middle = F.explode(F.array(F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2))).alias("m")
+    asked = runs.select("low", "n", "before", middle).filter((F.col("m") >= F.col("before")) & (F.col("m") < F.col("before") + F.col("n")))
+    found = asked.select((F.col("low") + F.col("m") - F.col("before")).alias("at")).join(placed, "at")
+    each = [F.avg(F.when(F.col("k") == k, F.col("v"))).alias(name) for k, name in enumerate(values)]
+    return found.groupBy("_by").agg(*each).select("_by.*", *values)
+
+
 def spread(rows: DataFrame, by: list[str], values: dict[str, str], valid: str, model: str) -> DataFrame:
     """By group: exact medians t_NAME of valid values, mean absolute deviations s_NAME about them, n_valid, and _range of model.
 
-    Two passes, whatever the number of values: medians with counts, then deviations. values: column by name. A median's
-    buffer holds the distinct values of one group, the observations of one view.
+    values: column by name. rows are read three times, whatever the number of values: for medians, for counts, and for the
+    deviations. A group's medians reach its rows by a join, and all else is partial sums, so no task holds a group.
     """
     ok = F.col(valid)
-    middles = [F.median(F.when(ok, F.col(c))).alias(f"t_{n}") for n, c in values.items()]
-    first = rows.groupBy(*by).agg(*middles, F.count_if(ok).alias("n_valid"), (F.max(model) - F.min(model)).alias("_range"))
-    away = [F.avg(F.when(ok, F.abs(F.col(c) - F.col(f"t_{n}")))).alias(f"s_{n}") for n, c in values.items()]
-    same = [F.first(c).alias(c) for c in first.columns if c not in by]
-    return rows.join(first, by).groupBy(*by).agg(*same, *away)
+    middle = medians(rows, by, {f"t_{n}": F.when(ok, F.col(c)) for n, c in values.items()})
+    middle = written(middle, "medians")
+    first = rows.groupBy(*by).agg(F.count_if(ok).alias("n_valid"), (F.max(model) - F.min(model)).alias("_range"))
+    near = middle.select(F.struct(*by).alias("_by"), *(f"t_{n}" for n in values))
+    told = rows.select(F.struct(*by).alias("_by"), *(F.when(ok, F.col(c)).alias(f"v_{n}") for n, c in values.items())).join(near, "_by")
+    away = told.groupBy("_by").agg(*(F.avg(F.abs(F.col(f"v_{n}") - F.col(f"t_{n}"))).alias(f"s_{n}") for n in values))
+    out = first.withColumn("_by", F.struct(*by)).join(near, "_by", "left").join(away, "_by", "left")
+    return out.drop("_by")
 
 
 def calibrate(rows: DataFrame, by: list[str], model: str, prior: str, valid: str, least: int = 10, least_range: float = 1e-3) -> DataFrame:

@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -117,11 +118,39 @@ def total_loss(l1: Column, ssim_: Column, depth: Column, depth_weight: Column, m
     return (1 - mix) * l1 + mix * (1 - ssim_) + depth_weight * depth
 
 
+def affine_scan(x: pa.Array, new: np.ndarray, keep: float, gain: float, start: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """e[i] = keep e[i - 1] + gain x[i], from 0 where new, from start where the first row is not new (None: NULL before).
+
+    Gives e, whether it is NULL (from the first NULL x of a run on), and each row's place in its run from 1 on. Steps of the
+    scan double the rows that a result covers: affine maps are composed with those 1, 2, 4, ... rows before.
+    """
+    at = np.arange(len(x))
+    first = np.maximum.accumulate(np.where(new, at, 0))
+    missing = np.asarray(x.is_null())
+    b = gain * np.asarray(pc.fill_null(x, 0.0)).astype(float)
+    a = np.where(new, 0.0, keep)
+    broken = np.maximum.accumulate(np.where(missing, at, -1)) >= first
+    if not new[0]:
+        if start is None:
+            broken |= np.cumsum(new) == 0
+        else:
+            b[0] += keep * start
+        a[0] = 0.0
+    shift, longest = 1, int((at - first).max()) + 1
+    while shift < longest:
+        on = np.flatnonzero(a[shift:]) + shift
+        b[on] = b[on] + a[on] * b[on - shift]
+        a[on] = a[on] * a[on - shift]
+        shift *= 2
+    return b, broken, at - first + 1
+
+
 def smoothed(rows: DataFrame, by: list[str], order: list[str], value: str, keep: float = 0.6) -> DataFrame:
     """Exponential moving average e = (1 - keep) x + keep e before, from 0, in the order of a group's rows.
 
-    Rows are dealt by ranges of (by, order) and folded range by range, row after row. A fold is linear in its start, so what
-    a group has at the end of earlier ranges is added with keep to the power of the rows since. After a NULL value e is NULL.
+    Rows are dealt by ranges of (by, order) and scanned range by range, in whole arrays. A scan is linear in its start, so
+    what a group has at the end of earlier ranges is added with keep to the power of the rows since. After a NULL value e is
+    NULL.
     """
     workers_import(rows.sparkSession)
     dealt = rows.select(*by, *order, F.col(value).cast("double").alias("_x")).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_range", F.spark_partition_id())
@@ -129,16 +158,16 @@ def smoothed(rows: DataFrame, by: list[str], order: list[str], value: str, keep:
     def fold(batches):
         last, e, n = None, 0.0, 0
         for batch in batches:
-            es, ns = [], []
-            keys = zip(*(batch.column(c).to_pylist() for c in by), strict=True) if by else [()] * len(batch)
-            for key, x in zip(keys, batch.column("_x").to_pylist(), strict=True):
-                if key != last:
-                    last, e, n = key, 0.0, 0
-                e = None if e is None or x is None else (1 - keep) * x + keep * e
-                n += 1
-                es.append(e)
-                ns.append(n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, *order, "_range")), pa.array(es, pa.float64()), pa.array(ns, pa.int64())], [*by, *order, "_range", "_e", "_n"])
+            if not batch.num_rows:
+                continue
+            ids = [np.asarray(pc.fill_null(batch.column(c).dictionary_encode().indices, -1)) for c in by]
+            key = lambda k: tuple(batch.column(c)[k].as_py() for c in by)  # noqa: B023, E731
+            new = np.any([np.r_[True, i[1:] != i[:-1]] for i in ids], axis=0) if by else np.arange(batch.num_rows) == 0
+            new[0] = last is None or key(0) != last
+            es, broken, place = affine_scan(batch.column("_x"), new, keep, 1 - keep, e)
+            ns = place + (0 if new[0] else n * (np.cumsum(new) == 0))
+            last, e, n = key(batch.num_rows - 1), None if broken[-1] else float(es[-1]), int(ns[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, *order, "_range")), pa.array(es, mask=broken), pa.array(ns)], [*by, *order, "_range", "_e", "_n"])
 
     fields = {f.name: f for f in dealt.schema.fields}
     schema = StructType([*(fields[c] for c in (*by, *order, "_range")), StructField("_e", DoubleType()), StructField("_n", LongType())])

@@ -16,7 +16,7 @@ from pointloom.functions.maths import d
 from pointloom.operators import calibrate, density, metrics, neighbours, rasters, render, structure, views
 from pointloom.session import written
 from pointloom.sources import files
-from pointloom.streaming import requests
+from pointloom.streaming import control, requests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -664,6 +664,20 @@ def viewer_requests(spark, sf):
     return got.groupBy(F.col("fov_x").cast("int").alias("n_nationkey")).agg(F.count("*").alias("requests"), F.round(F.sum("scaling_modifier"), 2).alias("total"))
 
 
+@query("""WITH q AS (SELECT user_id, ts, event_id, event_id % 7 <> 0 AS sized, event_type <> 'error' AS train, event_type IN ('view', 'click') AS keep FROM events),
+w AS (SELECT *, row_number() OVER c AS n, coalesce(sum(train::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, lag(ts) OVER c AS since FROM q WINDOW c AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, train AND (before < 20 OR NOT keep) AS go FROM w),
+i AS (SELECT *, sum(go::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iteration FROM g)
+SELECT user_id, 'request' AS event, n, sized AS image, go AS released, iteration::BIGINT AS iteration, NOT go AS waiting FROM i
+UNION ALL SELECT user_id, 'lost', n - 1, false, false, (iteration - go::INT)::BIGINT, false FROM i WHERE ts > since + INTERVAL 6 HOUR""")
+def viewer_sessions(spark, sf):
+    """Events stand in for the requests of viewers; what the stateful stream answers, on a table."""
+    kind = F.col("event_type")
+    asked = table(spark, sf, "events").select(F.col("user_id").alias("client"), F.col("ts").alias("t"), F.col("event_id").alias("id"), (F.col("event_id") % 7).alias("width"), F.lit(5).alias("height"), (kind != "error").alias("train"), kind.isin("view", "click").alias("keep_alive"))
+    out = control.answers(asked, 20, "6 hours")
+    return out.select(F.col("client").alias("user_id"), "event", "n", "image", "released", "iteration", "waiting")
+
+
 @query("SELECT event_type, rank, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5")
 def first_k(spark, sf):
     return metrics.first_k(table(spark, sf, "events"), ["event_type"], [F.desc("value"), "event_id"], 5).select("event_type", "rank", "event_id")

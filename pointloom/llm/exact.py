@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 import pickle
+import sys
 import tempfile
 from collections.abc import Iterator
 
@@ -61,7 +62,7 @@ class Table:
         self.texts.append(text)
         self.least.append(least)
         self.counts.append(count)
-        self.bytes += len(text) + 200
+        self.bytes += sys.getsizeof(text) + 150  # characters beyond Latin-1 take two or four bytes each
         if 2 * len(self.texts) > len(self.slots):
             self.slots = np.full(2 * len(self.slots), -1, np.int64)
             for number, known in enumerate(self.hashes):
@@ -152,7 +153,8 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: in
             digest, least, n = zip(*out, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(digest, pa.string()), pa.array(least, arrow), pa.array(n, pa.int64())], ["text_sha256", "keep_id", "group_size"])
 
-        for _, body, least, n in grace(_records(batches), budget):
+        spill = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None  # where Spark itself spills
+        for _, body, least, n in grace(_records(batches), budget, 0, spill):
             out.append((hashlib.sha256(body.encode()).hexdigest(), least, n))
             if len(out) == 4096:
                 yield batch()

@@ -30,7 +30,7 @@ def _mixed(x: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def halves(n: int) -> tuple[int, int]:
     a = max(1, math.isqrt(n - 1) + 1) if n > 0 else 1
-    return a, max(1, -(-n // a))
+    return a, max(1, (n + a - 1) // a)
 
 
 def _once(x: np.ndarray, key: np.ndarray, a: int, b: int, back: bool) -> np.ndarray:
@@ -89,8 +89,8 @@ def sql(n: str, epochs: str, seed: int) -> str:
         steps.append(f"l{k} AS (SELECT {columns}, (l + {mixed('r', f'key + {7919 * k}')}) % a AS l, r FROM {f'r{k - 1}' if k else 'dom'})")
         steps.append(f"r{k} AS (SELECT {columns}, l, (r + {mixed('l', f'key + {7919 * k + 1}')}) % b AS r FROM l{k})")
     return f"""size AS (SELECT n::BIGINT AS n, ceil(sqrt(n))::BIGINT AS a FROM ({n}) t(n)),
-dom AS (SELECT epoch, u.x AS slot, (epoch * 104729 + {seed * 15485863}) & {MASK} AS key, a, -(-n // a) AS b, n, u.x // (-(-n // a)) AS l, u.x % (-(-n // a)) AS r
-  FROM (SELECT *, unnest(range(a * -(-n // a))) AS x FROM size) u, ({epochs}) e(epoch)),
+dom AS (SELECT epoch, u.x AS slot, (epoch * 104729 + {seed * 15485863}) & {MASK} AS key, a, (n + a - 1) // a AS b, n, u.x // ((n + a - 1) // a) AS l, u.x % ((n + a - 1) // a) AS r
+  FROM (SELECT *, unnest(range(a * ((n + a - 1) // a))) AS x FROM size) u, ({epochs}) e(epoch)),
 {", ".join(steps)},
 once AS (SELECT epoch, slot, l * b + r AS view, n FROM r{ROUNDS - 1}),
 walk AS (SELECT epoch, slot, view, n FROM once WHERE slot < n UNION ALL SELECT w.epoch, w.slot, o.view, w.n FROM walk w JOIN once o ON o.epoch = w.epoch AND o.slot = w.view WHERE w.view >= w.n),

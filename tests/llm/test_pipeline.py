@@ -109,16 +109,17 @@ def test_stages_and_run_equal_a_plain_chain(spark, rows, tmp_path):
 
 
 def test_copies_on_a_small_site_leave_one_text(spark, sf, tmp_path):
-    """Two exact copies on a site of 50 pages: neither is emptied, and one of them is encoded at the end."""
+    """Two exact copies on a site of 50 pages: neither is emptied, and one of them passes all filters."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     text = "\n".join(x for (x,) in docs.filter("lang = 'en'").orderBy("doc_id").select("text").limit(2).collect())
-    more = spark.createDataFrame([(5000 + k, text, "en", "src77", len(text)) for k in range(2)], COLUMNS)
-    others = docs.filter("doc_id < 48").withColumn("doc_id", F.col("doc_id") + 6000).withColumn("source", F.lit("src77"))
+    more = spark.createDataFrame([(5000 + k, text, "en", "site-1", len(text)) for k in range(2)], COLUMNS)
+    others = docs.filter("doc_id < 48").withColumn("doc_id", F.col("doc_id") + 6000).withColumn("source", F.lit("site-1"))
     docs.union(more).union(others).write.parquet(str(tmp_path / "documents.parquet"))
-    cut = corpus_pipeline.drop_boilerplate(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
-    assert {r.text for r in cut.filter("doc_id in (5000, 5001)").collect()} == {text}
-    ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
-    assert 5000 in ids and 5001 not in ids
+    left = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        left = common.materialize(stage(spark, left, str(tmp_path)), name)
+        assert {r.text for r in left.filter("doc_id in (5000, 5001)").collect()} == {text}, name
+    assert [r.doc_id for r in left.filter("doc_id in (5000, 5001)").collect()] == [5000]  # mixing then weighs it like others
 
 
 def test_stages_on_an_empty_table(spark, rows):

@@ -69,11 +69,11 @@ def ssim(both: DataFrame, keys: list[str], size: int = 11, sigma: float = 1.5, t
 
     def one(key: tuple, rows: pa.Table) -> pa.Table:
         row, col = key[1].as_py(), key[2].as_py()
-        a, b = (rasters.plane(rows, v, row, col, tile, r, r, 0.0) for v in "ab")
-        ma, mb, aa, bb, ab = (_blurred(p, w)[r : r + tile, r : r + tile] for p in (a, b, a * a, b * b, a * b))
+        size = min(tile, rows["height"][0].as_py() - row * tile), min(tile, rows["width"][0].as_py() - col * tile)
+        a, b = (rasters.plane(rows, v, row, col, tile, r, r, 0.0, size) for v in "ab")
+        ma, mb, aa, bb, ab = (_blurred(p, w)[r : r + size[0], r : r + size[1]] for p in (a, b, a * a, b * b, a * b))
         aa, bb, ab = aa - ma * ma, bb - mb * mb, ab - ma * mb
         value = (2 * ma * mb + 1e-4) * (2 * ab + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (aa + bb + 9e-4))
-        value = value[: rows["height"][0].as_py() - row * tile, : rows["width"][0].as_py() - col * tile]
         return pa.table([*([key[0].as_py()[k]] for k in keys), [float(value.sum())], [value.size]], schema=out)
 
     schema = StructType([*(both.schema[k] for k in keys), StructField("_total", DoubleType()), StructField("_n", LongType())])

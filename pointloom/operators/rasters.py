@@ -31,10 +31,10 @@ def dealt(pixels: DataFrame, block: int = BLOCK, low: int = 0, high: int = 0) ->
     return pixels.withColumn("row", span("y")).withColumn("col", span("x"))
 
 
-def plane(rows: pa.Table, column: str, row: int, col: int, block: int, low: int, high: int, empty: float) -> np.ndarray:
-    """The pixels of a block and its borders as an array; what no row gives is ``empty``."""
-    side = block + low + high
-    out = np.full((side, side), empty)
+def plane(rows: pa.Table, column: str, row: int, col: int, block: int, low: int, high: int, empty: float, size: tuple[int, int] | None = None) -> np.ndarray:
+    """The pixels of a block (of size, if it is smaller) and its borders as an array; what no row gives is ``empty``."""
+    h, w = size or (block, block)
+    out = np.full((h + low + high, w + low + high), empty)
     out[rows["y"].to_numpy() - row * block + low, rows["x"].to_numpy() - col * block + low] = rows[column].to_numpy()
     return out
 

@@ -3,7 +3,7 @@
 A merge can only join two symbols that stand side by side inside some vocabulary token. A pair of neighbouring bytes
 that occurs inside no token therefore is a certain cut: no merge ever crosses it. Each word is cut at those pairs, the
 fragments are merged independently, and the ids are concatenated. The pair that ends a word is judged apart, since the
-last symbol carries the end-of-word mark.
+last symbol carries the end-of-word mark. The fragments of all new words of some texts are merged side by side in arrays.
 
 Defined results: a null text is an empty one; an empty text has no ids and decodes to ''; texts of any length are
 encoded whole; the strings of added tokens inside a text become their ids. Repeated rows each get their result.
@@ -14,8 +14,10 @@ from __future__ import annotations
 import heapq
 import json
 from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -29,6 +31,12 @@ from pointloom.llm.common import Recent, append
 LATIN_BLANK = r"\t-\r \x85\xa0"
 #: Entries of each cache of a worker, at about 300 bytes.
 CACHE = 128_000
+#: Characters of texts that are looked up together; a longer text is alone.
+GROUP = 1 << 20
+#: Fragments of more bytes are merged one by one.
+LONG = 60
+#: The offer of neighbours that do not merge.
+NONE = 1 << 60
 
 
 def byte_symbols() -> list[str]:
@@ -40,6 +48,17 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+    ids, tokens = zip(*parts, strict=True) if parts else ((), ())
+    return b"".join(ids), " ".join(tokens)
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin, and how long they are."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return first, np.diff(np.r_[first, len(keys)])
+
+
 class Codec:
     """Encoder and decoder for a lower-casing byte-level BPE file whose words end in a suffix."""
 
@@ -60,57 +79,99 @@ class Codec:
             self.merges[self.vocab[a] << 16 | self.vocab[b]] = rank << 16 | self.vocab[a + b]
         if len(self.vocab) >= 1 << 16:
             raise ValueError("ids of 16 bits are expected")
-        self.inner, self.final = self._pairs()
         self.symbols = byte_symbols()
+        self.byte = {s: b for b, s in enumerate(self.symbols)}
+        self.plain = np.array([self.vocab.get(s, -1) for s in self.symbols])
+        self.last = np.array([self.vocab.get(s + self.suffix, -1) for s in self.symbols])
+        self.pair_keys = np.array(sorted(self.merges))
+        self.pair_made = np.array([self.merges[k] for k in self.pair_keys.tolist()])
+        self.allowed = self._allowed()
         self.library = Tokenizer.from_file(path)
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.latin = regex.compile(pattern.replace(r"[^\s", f"[^{LATIN_BLANK}"))
         self.high = regex.compile("[^\\x00-\\x1b\\x20-ɏ]")
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.words = Recent(lambda w: self._entry("".join(map(self.symbols.__getitem__, w.encode()))), CACHE)
-        self.chunks = Recent(self._chunk, CACHE)
-        self.pieces = Recent(self._entry, CACHE)
+        self.words, self.chunks, self.pieces = Recent(CACHE), Recent(CACHE), Recent(CACHE)
 
-    def _pairs(self) -> tuple[set[str], set[str]]:
-        """Neighbouring bytes inside tokens: those before the last symbol of a word, and those that end one."""
-        inner, final = set(), set()
+    def _allowed(self) -> np.ndarray:
+        """Whether a token holds two neighbouring bytes: [0] before the last symbol of a word, [1] at its end."""
+        out = np.zeros((2, 1 << 16), bool)
         for token in self.vocab:
             ends = bool(self.suffix) and token.endswith(self.suffix)
-            body = token[: -len(self.suffix)] if ends else token
-            pairs = [body[i : i + 2] for i in range(len(body) - 1)]
-            if ends and pairs:
-                final.add(pairs.pop())
-            inner.update(pairs)
-        return inner, (final if self.suffix else inner)
+            body = [self.byte.get(c) for c in (token[: -len(self.suffix)] if ends else token)]
+            for i, (x, y) in enumerate(zip(body, body[1:], strict=False)):
+                if x is not None and y is not None:
+                    out[int(ends and i == len(body) - 2), x << 8 | y] = True
+        return out if self.suffix else out[[0, 0]]
+
+    def _starts(self, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Where the fragments of words begin that stand one after the other in raw."""
+        ends = np.cumsum(sizes)
+        start = np.ones(len(raw), bool)
+        if len(raw) > 1:
+            final = np.zeros(len(raw) + 1, np.int64)
+            final[ends] = 1  # final[i + 1]: i is the last byte of its word
+            pair = raw[:-1].astype(np.int64) << 8 | raw[1:]
+            start[1:] = ~self.allowed[final[2:], pair]
+        start[ends[:-1]] = True
+        return np.flatnonzero(start)
 
     def fragments(self, word: str) -> list[str]:
-        """word cut at every pair of neighbours that no token holds."""
-        last, start, out = len(word) - 1, 0, []
-        for i in range(last):
-            if word[i : i + 2] not in (self.final if i == last - 1 else self.inner):
-                out.append(word[start : i + 1])
-                start = i + 1
-        out.append(word[start:])
-        return out
+        """word, given as byte symbols, cut at every pair of neighbours that no token holds."""
+        raw = np.frombuffer(bytes(map(self.byte.__getitem__, word)), np.uint8)
+        cuts = [*self._starts(raw, np.array([len(raw)])).tolist(), len(raw)]
+        return [word[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+
+    def _offers(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """rank << 16 | the token made, for each pair of neighbours; NONE where they do not merge."""
+        key = left << 16 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_made[at], NONE)
+
+    def merge_all(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Apply merges to all fragments side by side: in each round every fragment takes its pair of lowest rank, the
+        leftmost among equals. Returns the ids that stay and the places among the given ones where they begin."""
+        place = np.arange(len(ids))
+        piece = np.zeros(len(ids), np.int64)
+        piece[starts[1:]] = 1
+        piece = np.cumsum(piece)
+        offer = np.full(len(ids), NONE)
+        inside = np.flatnonzero(piece[1:] == piece[:-1])
+        offer[inside] = self._offers(ids[inside], ids[inside + 1])
+        done = []
+        while len(ids):
+            first, counts = runs(piece)
+            best = np.minimum.reduceat(offer, first)
+            ready = np.repeat(best == NONE, counts)
+            if ready.any():
+                done.append((place[ready], ids[ready]))
+                ids, place, piece, offer = (x[~ready] for x in (ids, place, piece, offer))
+                best, counts = best[best != NONE], counts[best != NONE]
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(offer == np.repeat(best, counts))
+            hit = hit[np.r_[True, piece[hit[1:]] != piece[hit[:-1]]]]
+            ids[hit] = best & 0xFFFF
+            stay = np.ones(len(ids), bool)
+            stay[hit + 1] = False
+            ids, place, piece, offer = (x[stay] for x in (ids, place, piece, offer))
+            hit -= np.arange(len(hit))  # one symbol is gone for each fragment before
+            last = len(ids) - 1
+            offer[hit] = NONE
+            after = hit[hit < last]
+            after = after[piece[after] == piece[after + 1]]
+            offer[after] = self._offers(ids[after], ids[after + 1])
+            before = hit[hit > 0] - 1
+            before = before[piece[before] == piece[before + 1]]
+            offer[before] = self._offers(ids[before], ids[before + 1])
+        if not done:
+            return ids, place
+        place, ids = (np.concatenate([d[k] for d in done]) for k in (0, 1))
+        order = np.argsort(place, kind="stable")
+        return ids[order], place[order]
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Apply merges, lowest rank first and leftmost among equals."""
-        if len(ids) > 60:
-            return self._merge_long(ids)
-        get, none = self.merges.get, 1 << 60
-        offers = [get(a << 16 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while offers and (best := min(offers)) < none:
-            i = offers.index(best)
-            ids[i : i + 2] = [best & 0xFFFF]
-            del offers[i]
-            if i < len(offers):
-                offers[i] = get(ids[i] << 16 | ids[i + 1], none)
-            if i:
-                offers[i - 1] = get(ids[i - 1] << 16 | ids[i], none)
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap, in n log n."""
+        """The same for one long fragment, with a heap, in n log n."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
@@ -135,47 +196,99 @@ class Codec:
                 offer(before[i], i)
         return [i for i in ids if i >= 0]
 
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word, given as its bytes; no word is empty."""
+        if not words:
+            return []
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        ids = self.plain[raw]
+        ids[ends - 1] = self.last[raw[ends - 1]]
+        if ids.min() < 0:
+            raise KeyError("the vocabulary lacks a byte of the text")
+        starts = self._starts(raw, sizes)
+        lengths = np.diff(np.r_[starts, len(raw)])
+        short = np.repeat(lengths <= LONG, lengths)
+        which = np.cumsum(lengths * (lengths <= LONG)) - lengths
+        parts, places = self.merge_all(ids[short], which[lengths <= LONG])
+        out, at = [parts], [np.flatnonzero(short)[places]]
+        for x, n in zip(starts[lengths > LONG].tolist(), lengths[lengths > LONG].tolist(), strict=True):
+            made = np.array(self.merge(ids[x : x + n].tolist()))
+            out.append(made)
+            at.append(x + np.arange(len(made)))
+        flat, at = np.concatenate(out), np.concatenate(at)
+        order = np.argsort(at, kind="stable")
+        edges = [0, *np.searchsorted(at[order], ends).tolist()]
+        flat = flat[order].tolist()
+        return [flat[x:y] for x, y in zip(edges, edges[1:], strict=False)]
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, given as byte symbols."""
-        out: list[int] = []
-        parts = self.fragments(word)
-        for k, part in enumerate(parts):
-            symbols = list(part)
-            if k == len(parts) - 1:
-                symbols[-1] += self.suffix
-            ids = [self.vocab[s] for s in symbols]
-            out += self.merge(ids) if len(ids) > 1 else ids
-        return out
-
-    def _entry(self, word: str) -> tuple[bytes, str]:
-        ids = self.encode_word(word)
-        return array("i", ids).tobytes(), " ".join(map(self.tokens.__getitem__, ids))
-
-    def _chunk(self, chunk: str) -> tuple[bytes, str] | tuple[()]:
-        """What stands between blanks: its words together; () if it has none."""
-        found = list(map(self.words.__getitem__, self.latin.findall(chunk)))
-        return found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), " ".join([f[1] for f in found])) if found else ()
-
-    def _split(self, text: str) -> list[tuple[bytes, str]]:
+        return self.encode_words([bytes(map(self.byte.__getitem__, word))])[0]
+
+    def _entries(self, words: list[str], raw: Callable[[str], bytes]) -> dict[str, tuple[bytes, str]]:
+        """Ids as int32 bytes, and their tokens joined by spaces, of each word."""
+        ids = self.encode_words(list(map(raw, words)))
+        name = self.tokens.__getitem__
+        return {w: (array("i", x).tobytes(), " ".join(map(name, x))) for w, x in zip(words, ids, strict=True)}
+
+    def _chunks(self, chunks: list[str]) -> dict[str, tuple[bytes, str]]:
+        """The same for what stands between blanks, its words together; () if it has none."""
+        parts = list(map(self.latin.findall, chunks))
+        words = self.words.fill(set().union(*parts), lambda new: self._entries(new, str.encode))
+        return {c: words[ws[0]] if len(ws) == 1 else ws and joined([words[w] for w in ws]) for c, ws in zip(chunks, parts, strict=True)}
+
+    def _split(self, text: str) -> tuple[bool, list[str]]:
+        """Whether a text without added tokens is split at blanks alone, and its chunks; else the pieces of the library."""
         if not self.high.search(text):
-            return list(filter(None, map(self.chunks.__getitem__, text.lower().split())))
+            return True, text.lower().split()
         normal = self.library.normalizer.normalize_str(text)
-        return [self.pieces[p] for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)] if normal else []
+        return False, [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)] if normal else []
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids of a whole text as int32 bytes, and what decoding them gives."""
+    def _plan(self, text: str | None) -> list[tuple[bool, list[str]] | str]:
+        """A text as splits, with the added tokens between them."""
         if not text:
-            return b"", ""
-        if self.special and self.special.search(text):
-            found, at = [], 0
-            for m in self.special.finditer(text):
-                found += self._split(text[at : m.start()])
-                found.append((array("i", [self.added[m[0]]]).tobytes(), m[0]))
-                at = m.end()
-            found += self._split(text[at:])
-        else:
-            found = self._split(text)
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+            return []
+        if not self.special or not self.special.search(text):
+            return [self._split(text)]
+        plan, at = [], 0
+        for m in self.special.finditer(text):
+            plan += [self._split(text[at : m.start()]), m[0]]
+            at = m.end()
+        return [*plan, self._split(text[at:])]
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, str]]:
+        """Ids of each whole text as int32 bytes, and what decoding them gives. Texts of about GROUP characters are looked
+        up, and their new words merged, together."""
+        plans, size = [], 0
+        for text in texts:
+            plans.append(self._plan(text))
+            size += len(text or "")
+            if size >= GROUP:
+                yield from self._encoded(plans)
+                plans, size = [], 0
+        yield from self._encoded(plans)
+
+    def _encoded(self, plans: list) -> Iterator[tuple[bytes, str]]:
+        keys: tuple[set, set] = set(), set()
+        for plan in plans:
+            for part in plan:
+                if not isinstance(part, str):
+                    keys[part[0]].update(part[1])
+        pieces = self.pieces.fill(keys[0], lambda new: self._entries(new, lambda p: bytes(map(self.byte.__getitem__, p))))
+        chunks = self.chunks.fill(keys[1], self._chunks)
+        for plan in plans:
+            found = []
+            for part in plan:
+                if isinstance(part, str):
+                    found.append((array("i", [self.added[part]]).tobytes(), part))
+                else:
+                    found += filter(None, map((chunks if part[0] else pieces).__getitem__, part[1]))
+            yield joined(found)
+
+    def encode(self, text: str | None) -> tuple[bytes, str]:
+        return next(self.encode_all([text]))
 
     def decode(self, ids) -> str:
         """Tokens joined by one space, special ones included, as a tokenizer without a decoder does it."""
@@ -195,7 +308,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids"
         codec = codec_of(path)
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            pairs = [codec.encode(t.as_py()) for t in texts]
+            pairs = list(codec.encode_all(t.as_py() for t in texts))
             ends, total = array("i", [0]), 0
             for raw, _ in pairs:
                 total += len(raw) // 4

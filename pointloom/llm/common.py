@@ -63,21 +63,25 @@ def append(
     return df.select(*(F.col(f"`{c}`") for c in order)).mapInArrow(run, schema)
 
 
-class Recent(dict):
-    """A bounded cache that fills itself: when full, its entries become the older half, which those in use outlive."""
+class Recent:
+    """A bounded cache for keys that are asked for in sets: when full, its entries become the older half, which those in use
+    outlive. Beyond its size it has the keys of one set; those longer than ``longest`` stay for that set only."""
 
-    def __init__(self, make: Callable, size: int, longest: int = 64):
-        super().__init__()
-        self.make, self.size, self.longest = make, size, longest
+    def __init__(self, size: int, longest: int = 64):
+        self.size, self.longest = size, longest
+        self.now: dict = {}
         self.older: dict = {}
-
-    def __missing__(self, key):
-        found = self.older.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.size:
-                self.older = self.copy()
-                self.clear()
-            self[key] = found
-        return found
+        self.long: list = []
+
+    def fill(self, keys: set, make: Callable[[list], dict]) -> dict:
+        """A dictionary with the entry of each key, until the next call; make gives those of new ones."""
+        for key in self.long:
+            del self.now[key]
+        if len(self.now) >= self.size:
+            self.older, self.now = self.now, {}
+        again = {key: self.older[key] for key in keys.difference(self.now) if key in self.older}
+        self.now |= again
+        new = list(keys.difference(self.now))
+        self.now |= make(new)
+        self.long = [key for key in new if len(key) > self.longest]
+        return self.now

@@ -71,6 +71,20 @@ def test_bpe_cuts_are_certain():
         assert codec.encode_word(word) == codec.merge(symbols)
 
 
+def test_bpe_small_caches_and_groups(monkeypatch):
+    """Texts that are looked up together, caches that turn over within them, fragments that are merged one by one."""
+    monkeypatch.setattr(bpe, "CACHE", 5)
+    monkeypatch.setattr(bpe, "GROUP", 40)
+    lib, codec, rng = library(), bpe.Codec(queries.vocabulary()), random.Random(5)
+    texts = ["", "the " * 30, "ab" * 700 + " tail", "日本語" * 90, "x" * 61 + " " + "x" * 60, " \u2028 ", "<|endoftext|>", "!!a?? <|endoftext|>don't<|endoftext|>"]
+    texts += ["".join(rng.choice("abct'!,é 1日\n\x1c") for _ in range(rng.randint(0, 90))) for _ in range(400)]
+    for text, (ids, decoded) in zip(texts, codec.encode_all([*texts]), strict=True):
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, np.int32).tolist() == want, repr(text)
+        assert decoded == lib.decode(want, skip_special_tokens=False)
+    assert len(codec.words.now) <= 5 + 40 and not any(len(k) > 64 for k in codec.words.older)
+
+
 # ---- line dedup
 
 def brute_lines(rows, ratio, prior):

@@ -141,6 +141,46 @@ def test_substring_many_buckets_and_batches(spark, sf):
     assert only.count() == 400 and only.agg(F.sum("n_removed")).first()[0] == sum(r.n_removed for r in got)
 
 
+def test_substring_rows_of_a_node_do_not_grow(spark, monkeypatch):
+    """A passage in a third of all documents, batches of a few documents, and a deep tree: right results, and as many rows at
+    a node whatever the number of batches."""
+    most, depth = [], []
+    whole = substring.settled
+
+    def watched(rows, tree, level, kind):
+        top = rows.groupBy("node").count().agg(F.max("count")).first()[0] or 0
+        most.append(top)
+        depth.append((tree.levels, level, tree.partitions))
+        assert top <= 4 * tree.fan + 8 and (level > 1 or rows.groupBy("source").count().agg(F.max("count")).first()[0] <= tree.fan)
+        return whole(rows, tree, level, kind)
+
+    monkeypatch.setattr(substring, "settled", watched)
+    rng = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(30))
+    for n in (60, 480):
+        rows = [(k, f"a{k} b{k} {passage if k % 3 == 0 else ''} c{k} " + " ".join(f"d{rng.randrange(5)}" for _ in range(40))) for k in range(n)]
+        df = frame(spark, rows).repartition(3)
+        got = substring.drop_repeats(df, window=8, bucket_bytes=n * 220 // (n // 4), batch_bytes=600, fan=5).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute_repeats(rows, 8)
+    assert max(d[0] for d in depth) >= 3 and any(level == 3 for _, level, _ in depth)
+
+
+def test_substring_tree_is_scaled():
+    for total in (0, 1, 500 << 20, 30 << 30, 10 << 40, 100 << 40):
+        tree = substring.Tree(total, substring.BUCKET_BYTES, substring.FAN)
+        assert tree.fan <= substring.FAN and tree.buckets >= total / substring.BUCKET_BYTES and tree.key_bits <= 64
+        assert total / substring.BATCH_BYTES / tree.buckets * tree.fan <= 3 * substring.FAN  # rows of a node
+        nodes = {tree.above(tree.group(b), 1, part) for b in range(50) for part in (0, tree.parts(1) - 1)}
+        assert all(0 <= v < tree.buckets for v in nodes)
+        at = 1
+        while at < tree.levels:
+            nodes = {tree.above(v // tree.parts(at), at + 1, tree.parts(at + 1) - 1) for v in nodes}
+            assert all(0 <= v < tree.buckets for v in nodes)
+            at += 1
+        if total:
+            assert {v // tree.parts(tree.levels) for v in nodes} == {0}
+
+
 def test_word_hashes_depend_on_the_word_alone():
     import zstandard
 
